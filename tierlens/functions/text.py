@@ -12,11 +12,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Python's str.split()/str.strip() white space: Unicode White_Space plus the
-# information separators U+001C..U+001F.
-WS_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
-NON_WS_RUN = WS_CLASS.replace("[", "[^", 1) + "+"
-STRIP_RE = r"^" + WS_CLASS + r"+|" + WS_CLASS + r"+$"
+# information separators U+001C..U+001F.  Java's (?U)\s is Unicode White_Space,
+# and its negated class is ~8x faster than the spelled-out list; RE2 (the DuckDB
+# oracle) has no Unicode \s, so the oracle uses the spelled-out list.
+WS_CLASS = r"(?U)[\s\x{1C}-\x{1F}]"
+NON_WS_RUN = r"(?U)[^\s\x{1C}-\x{1F}]+"
+STRIP_RE = r"(?U)^[\s\x{1C}-\x{1F}]+|[\s\x{1C}-\x{1F}]+$"
+PORTABLE_WS_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+PORTABLE_NON_WS_RUN = PORTABLE_WS_CLASS.replace("[", "[^", 1) + "+"
+PORTABLE_STRIP_RE = r"^" + PORTABLE_WS_CLASS + r"+|" + PORTABLE_WS_CLASS + r"+$"
 
 
 def col_of(c: Column | str) -> Column:

@@ -77,3 +77,82 @@ def with_ctes(body: str, **ctes: str) -> str:
 
 def fx(*names: str) -> dict[str, str]:
     return {n: FIXTURE_SQL[n] for n in names}
+
+
+# --------------------------------------------------------------------------- text features in DuckDB
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_contains_any(lower_sql: str, kws) -> str:
+    return "(" + " OR ".join(f"contains({lower_sql}, {_q(k)})" for k in kws) + ")"
+
+
+def sql_count_present(lower_sql: str, kws) -> str:
+    return "(" + " + ".join(f"CAST(contains({lower_sql}, {_q(k)}) AS INTEGER)" for k in kws) + ")"
+
+
+def sql_regex_count(s_sql: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({s_sql}, {_q(pattern)}))"
+
+
+def sql_token_count(p: str) -> str:
+    from ..functions.text import PORTABLE_NON_WS_RUN
+    return f"CAST(floor(CAST({sql_regex_count(p, PORTABLE_NON_WS_RUN)} AS DOUBLE) * CAST(1.3 AS DOUBLE)) AS INTEGER)"
+
+
+def sql_strip(p: str) -> str:
+    from ..functions.text import PORTABLE_STRIP_RE
+    return f"regexp_replace({p}, {_q(PORTABLE_STRIP_RE)}, '', 'g')"
+
+
+def sql_routing_features(p: str, ctx: str, base_c: str, base_f: str) -> str:
+    from .. import constants as C
+    from ..operators.features import unicode_digits
+    lo = f"lower({p})"
+    return ", ".join([
+        f"{sql_token_count(p)} AS token_count",
+        f"CAST({sql_contains_any(lo, C.ANALYZE_COMPARE_TERMS)} AS INTEGER) AS contains_analyze_compare",
+        f"CAST({base_c} + {sql_regex_count(lo, unicode_digits(C.ROUTING_CONSTRAINT_RE))} AS INTEGER) AS constraint_count",
+        f"CAST({ctx} AS INTEGER) AS context_provided",
+        f"CAST(CASE WHEN {sql_contains_any(lo, C.FORMAT_LEVEL3_TERMS)} THEN greatest({base_f}, 3) "
+        f"WHEN {sql_contains_any(lo, C.FORMAT_LEVEL2_TERMS)} THEN greatest({base_f}, 2) ELSE {base_f} END AS INTEGER) "
+        f"AS output_format_complexity"])
+
+
+def sql_diagnostic_features(p: str) -> str:
+    from .. import constants as C
+    from ..operators.features import unicode_digits
+    lo = f"lower({p})"
+    return ", ".join([
+        f"{sql_token_count(p)} AS token_count",
+        f"CAST({sql_count_present(lo, C.TIER1_KEYWORDS)} AS INTEGER) AS tier1_keyword_density",
+        f"CAST({sql_count_present(lo, C.TIER2_KEYWORDS)} AS INTEGER) AS tier2_keyword_density",
+        f"CAST({sql_count_present(lo, C.TIER3_KEYWORDS)} AS INTEGER) AS tier3_keyword_density",
+        f"CAST({sql_regex_count(lo, unicode_digits(C.DIAGNOSTIC_CONSTRAINT_RE))} AS INTEGER) AS constraint_count",
+        f"CAST({sql_contains_any(p, C.CODE_SYNTAX_MARKERS)} AS DOUBLE) AS contains_code_syntax",
+        f"CAST({sql_token_count(p)} > {C.LONG_CONTEXT_TOKENS} AS DOUBLE) AS is_long_context"])
+
+
+def sql_task_type(p: str) -> str:
+    from .. import constants as C
+    lo = f"lower({p})"
+    return (f"CASE WHEN {sql_contains_any(lo, C.SUMMARIZATION_TERMS)} THEN 'summarization' "
+            f"WHEN {sql_contains_any(lo, C.EXTRACTION_TERMS)} THEN 'extraction' ELSE 'classification' END")
+
+
+def corpus_ctes() -> dict[str, str]:
+    """D1 in DuckDB: 30 templates x documents, then the F12 features."""
+    from .. import constants as C
+    vals = ", ".join(f"({i}, {tier}, {_q(t)}, {str(ctx).upper()}, {bc}, {bf})"
+                     for i, (tier, t, ctx, bc, bf) in enumerate(C.CORPUS_TEMPLATES))
+    templates = (f"SELECT * FROM (VALUES {vals}) AS t(template_idx, tier_label, template, context_provided, "
+                 f"base_constraints, base_format)")
+    raw = (f"SELECT d.doc_id, t.template_idx, t.tier_label, "
+           f"replace(t.template, {_q(C.CORPUS_PLACEHOLDER)}, d.text) || {_q(C.CORPUS_SUFFIX_BEFORE)} || d.source || "
+           f"{_q(C.CORPUS_SUFFIX_AFTER)} AS prompt, t.context_provided, t.base_constraints, t.base_format "
+           f"FROM documents d CROSS JOIN templates t")
+    corpus = (f"SELECT doc_id, template_idx, prompt, tier_label, "
+              f"{sql_routing_features('prompt', 'context_provided', 'base_constraints', 'base_format')} "
+              f"FROM corpus_raw")
+    return {"templates": templates, "corpus_raw": raw, "corpus": corpus}

@@ -9,7 +9,25 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Scan one table.  ``spread=True`` is for CPU-heavy per-row work (regexes over
+    whole texts, JSON parsing): see :func:`spread_rows`."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_rows(df) if spread else df
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work at least one partition per core.
+
+    A big input already arrives in many file splits and is left alone (no shuffle).
+    A dataset stored as a single unsplittable row group would otherwise be
+    processed by one task; only then rows are dealt round-robin to all cores.
+    Checking the split count plans the scan (file listing) but runs no job.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
