@@ -105,7 +105,10 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def provider_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw provider payloads (openai / anthropic / ollama / unsupported) from ``lineitem``."""
-    li = read(spark, sf_dir, "lineitem")
+    return provider_responses_from(read(spark, sf_dir, "lineitem"))
+
+
+def provider_responses_from(li: DataFrame) -> DataFrame:
     ok = F.col("l_orderkey")
     ln = F.col("l_linenumber").cast("string")
     qty = F.col("l_quantity").cast("int").cast("string")

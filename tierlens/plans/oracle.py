@@ -156,3 +156,117 @@ def corpus_ctes() -> dict[str, str]:
               f"{sql_routing_features('prompt', 'context_provided', 'base_constraints', 'base_format')} "
               f"FROM corpus_raw")
     return {"templates": templates, "corpus_raw": raw, "corpus": corpus}
+
+
+# --------------------------------------------------------------------------- dimensions / verification in DuckDB
+def policy_values_sql(policy) -> str:
+    rows = ", ".join(f"({t}, {_q(r['tier_name'])}, {_q(r['description'])}, {_q(r['provider'])}, {_q(r['model_id'])}, "
+                     f"{_q(r['fallback_model_id'])}, {r['max_tokens']}, CAST({r['temperature']!r} AS DOUBLE))"
+                     for t, r in sorted(policy.routes.items()))
+    return (f"SELECT * FROM (VALUES {rows}) AS t(route_tier, tier_name, description, policy_provider, policy_model_id, "
+            f"fallback_model_id, max_tokens, temperature)")
+
+
+def aliases_values_sql() -> str:
+    from .. import constants as C
+    rows = [(k, k) for k, *_ in C.REGISTRY] + list(C.MODEL_ALIASES)
+    vals = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in rows)
+    return f"SELECT * FROM (VALUES {vals}) AS t(model_ref, registry_key)"
+
+
+def dims_ctes(policy) -> dict[str, str]:
+    return {"policy": policy_values_sql(policy), "aliases": aliases_values_sql(), "registry": registry_values_sql()}
+
+
+def sql_json_block(x: str) -> str:
+    return f"regexp_extract(replace({x}, chr(10), ''), '(?s)\\{{.*\\}}', 0)"
+
+
+def sql_extraction(cheap: str, gold: str) -> tuple[str, str, str]:
+    """(passed, score, reason) SQL of V1."""
+    from .. import constants as C
+    cb, gb = sql_json_block(cheap), sql_json_block(gold)
+    safe = lambda b: f"(CASE WHEN json_valid({b}) THEN {b} ELSE '{{}}' END)"
+    miss = f"list_filter(json_keys({safe(gb)}), lambda k: NOT list_contains(json_keys({safe(cb)}), k))"
+    cond = [f"{cb} = '' OR {gb} = ''", f"NOT (json_valid({cb}) AND json_valid({gb}))", f"len({miss}) > 0"]
+    passed = f"CASE WHEN {cond[0]} THEN false WHEN {cond[1]} THEN false WHEN {cond[2]} THEN false ELSE true END"
+    score = f"CASE WHEN {cond[0]} THEN 0.0 WHEN {cond[1]} THEN 0.0 WHEN {cond[2]} THEN 0.0 ELSE 1.0 END"
+    reason = (f"CASE WHEN {cond[0]} THEN {_q(C.MSG_EXTRACT_NO_BLOCK)} WHEN {cond[1]} THEN {_q(C.MSG_EXTRACT_BAD_JSON)} "
+              f"WHEN {cond[2]} THEN {_q(C.MSG_EXTRACT_MISSING)} || '[' || array_to_string(list_transform({miss}, "
+              f"lambda k: '''' || k || ''''), ', ') || ']' ELSE {_q(C.MSG_EXTRACT_OK)} END")
+    return passed, f"CAST({score} AS DOUBLE)", reason
+
+
+def sql_missing_keys(cheap: str, gold: str) -> str:
+    cb, gb = sql_json_block(cheap), sql_json_block(gold)
+    safe = lambda b: f"(CASE WHEN json_valid({b}) THEN {b} ELSE '{{}}' END)"
+    return f"list_filter(json_keys({safe(gb)}), lambda k: NOT list_contains(json_keys({safe(cb)}), k))"
+
+
+def sql_classification(cheap: str, gold: str) -> tuple[str, str, str]:
+    from .. import constants as C
+    c = f"regexp_replace(lower({cheap}), '[^a-z0-9]', '', 'g')"
+    g = f"regexp_replace(lower({gold}), '[^a-z0-9]', '', 'g')"
+    ok = f"(contains({c}, {g}) OR contains({g}, {c}))"
+    return (ok, f"CASE WHEN {ok} THEN 1.0 ELSE 0.0 END::DOUBLE",
+            f"CASE WHEN {ok} THEN {_q(C.MSG_CLASS_OK)} ELSE {_q(C.MSG_CLASS_FAIL_BEFORE)} || {gold} || "
+            f"{_q(C.MSG_CLASS_FAIL_AFTER)} END")
+
+
+PORTABLE_FLOAT_RE = None
+
+
+def _portable_float_re() -> str:
+    from ..functions.text import PORTABLE_WS_CLASS
+    d = r"[0-9](?:_?[0-9])*"
+    return (r"^" + PORTABLE_WS_CLASS + r"*[+-]?(?:(?:(?:" + d + r")?\." + d + r"|" + d + r"\.?)(?:[eE][+-]?" + d
+            + r")?|(?i:inf|infinity|nan))" + PORTABLE_WS_CLASS + r"*$")
+
+
+def sql_judge(j: str, mode: str) -> tuple[str, str, str, str]:
+    """(has_result, passed, score, reason) SQL of V5 (async) / V6 (sync)."""
+    from .. import constants as C
+    safe = f"(CASE WHEN json_valid({j}) THEN {j} ELSE '{{}}' END)"
+    valid = f"json_valid({j})"
+    is_obj = f"({valid} AND json_type({safe}) = 'OBJECT')"
+    st = f"json_type({safe}, '$.score')"
+    s_txt = f"json_extract_string({safe}, '$.score')"
+    num = f"{st} IN ('BIGINT', 'UBIGINT', 'DOUBLE')"
+    str_ok = f"({st} = 'VARCHAR' AND regexp_matches({s_txt}, {_q(_portable_float_re())}))"
+    score = (f"(CASE WHEN {st} IS NULL THEN 0.0::DOUBLE WHEN {st} = 'BOOLEAN' THEN "
+             f"CAST(CAST(json_extract({safe}, '$.score') AS BOOLEAN) AS DOUBLE) "
+             f"WHEN {num} THEN CAST(json_extract({safe}, '$.score') AS DOUBLE) "
+             f"WHEN {str_ok} THEN TRY_CAST(replace({sql_strip(s_txt)}, '_', '') AS DOUBLE) END)")
+    score_ok = f"({is_obj} AND ({st} IS NULL OR {st} = 'BOOLEAN' OR {num} OR {str_ok}))"
+    rt = f"json_type({safe}, '$.reason')"
+    reason = (f"(CASE WHEN {rt} = 'VARCHAR' THEN json_extract_string({safe}, '$.reason') WHEN {rt} = 'NULL' THEN 'None' "
+              f"WHEN {rt} = 'BOOLEAN' THEN CASE WHEN CAST(json_extract({safe}, '$.reason') AS BOOLEAN) THEN 'True' "
+              f"ELSE 'False' END WHEN {rt} IS NOT NULL THEN CAST(json_extract({safe}, '$.reason') AS VARCHAR) END)")
+    passes = f"(NOT isnan({score}) AND {score} >= {C.MIN_SUMMARY_SCORE})"
+    if mode == "async":
+        has = f"(NOT {valid} OR {score_ok})"
+        passed = f"CASE WHEN NOT {valid} THEN false WHEN {score_ok} THEN {passes} END"
+        sc = f"CASE WHEN NOT {valid} THEN 0.0::DOUBLE WHEN {score_ok} THEN {score} END"
+        rs = (f"CASE WHEN NOT {valid} THEN {_q(C.MSG_JUDGE_BAD_JSON_ASYNC)} WHEN {score_ok} THEN "
+              f"coalesce({reason}, {_q(C.MSG_JUDGE_NO_REASON_ASYNC)}) END")
+    else:
+        ok = f"({valid} AND {score_ok})"
+        has = "true"
+        passed = f"CASE WHEN {ok} THEN {passes} ELSE false END"
+        sc = f"CASE WHEN {ok} THEN {score} ELSE 0.0::DOUBLE END"
+        rs = f"CASE WHEN {ok} THEN coalesce({reason}, '') ELSE {_q(C.MSG_JUDGE_FAILED_SYNC)} END"
+    return has, passed, sc, rs
+
+
+def sql_dispatch(task: str, cheap: str, gold: str, judge: str, mode: str) -> tuple[str, str, str, str]:
+    """(has_result, passed, score, reason) SQL of V7."""
+    from .. import constants as C
+    e, c, s = sql_extraction(cheap, gold), sql_classification(cheap, gold), sql_judge(judge, mode)
+    unk_has = "false" if mode == "async" else "true"
+    unk = ("NULL", "NULL", "NULL") if mode == "async" else ("true", "1.0::DOUBLE", _q(C.MSG_UNKNOWN_TASK_SYNC))
+
+    def case(i_e, i_c, i_s, i_u):
+        return (f"CASE WHEN {task} = 'extraction' THEN {i_e} WHEN {task} = 'classification' THEN {i_c} "
+                f"WHEN {task} = 'summarization' THEN {i_s} ELSE {i_u} END")
+    has = case("true", "true", s[0], unk_has)
+    return has, case(e[0], c[0], s[1], unk[0]), case(e[1], c[1], s[2], unk[1]), case(e[2], c[2], s[3], unk[2])

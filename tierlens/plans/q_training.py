@@ -136,7 +136,7 @@ def q_d8(spark, sf_dir):
     path = scratch_path(spark, "model-v1")
     save_model(model, path, C.VERSION_FIRST_TRAIN)
     test = TR.score(split.where("is_test"), model, ["tier_label"]).select(
-        F.col("tier_label").alias("label"), F.col("predicted_tier").alias("prediction"))
+        F.col("tier_label").alias("label"), F.col("predicted_tier").alias("prediction")).cache()
     acc = TR.accuracy(test)
     cm = TR.confusion_matrix(test)
     ur = TR.under_routing(test)
