@@ -10,4 +10,5 @@ from . import q_telemetry  # noqa: F401  (registers queries)
 from . import q_text  # noqa: F401
 from . import q_training  # noqa: F401
 from . import q_routing  # noqa: F401
+from . import q_stream  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
