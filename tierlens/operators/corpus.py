@@ -2,26 +2,78 @@
 
 D1 expands every payload row through the 30 fixed templates with ``explode`` over
 a literal array: a per-row generator, so there is no join, no shuffle and no
-broadcast; the expansion is 30x the payload rows by definition.
+broadcast.
+
+The expansion repeats each payload 30 times, so features are not computed on the
+30 expanded prompts.  A prompt is ``head + payload + tail``; the payload is
+summarised once per payload row, before the expansion, and merged with the
+summaries of the short head and tail (``functions.textstats``).  The merge is exact
+when no keyword or regex match can contain the junction characters and lower-
+casing cannot change across the junction: each template is checked for that at
+plan time, and a template that fails the check is featurised on its full prompt.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .features import routing_feature_cols
+from ..functions.textstats import Spec, View, merge, summary
+from .features import (ALL_SPEC, F12_SPEC, F13_SPEC, TASK_SPEC, diagnostic_features_from, routing_features_from,
+                       task_type_from)
 
 FEATURES = C.FEATURE_COLUMNS
+_JUNCTION_CHARS = "'\""
+
+
+def _split_template(text: str):
+    """(head, tail) around the single placeholder, or None."""
+    if text.count(C.CORPUS_PLACEHOLDER) != 1:
+        return None
+    head, tail = text.split(C.CORPUS_PLACEHOLDER)
+    return head, tail
+
+
+def junction_safe(text: str) -> bool:
+    """True when features of head + payload + tail equal the merge of the three parts'.
+
+    The payload is fenced by a quote on both sides, preceded by white space and
+    followed by white space or ``.``/``,`` + white space: no keyword, marker or regex
+    alternative contains a quote, so no match crosses a junction; and those
+    neighbours stop Unicode case-mapping context (final sigma) at the junction.
+    """
+    parts = _split_template(text)
+    if parts is None:
+        return False
+    head, tail = parts
+    q = head[-1:] if head else ""
+    if q not in _JUNCTION_CHARS or q in ALL_SPEC.chars():
+        return False
+    if len(head) < 2 or not head[-2].isspace():
+        return False
+    tail_full = tail + C.CORPUS_SUFFIX_BEFORE
+    if not tail_full.startswith(q) or len(tail_full) < 3:
+        return False
+    return tail_full[1].isspace() or (tail_full[1] in ".," and tail_full[2].isspace())
 
 
 def _template_array():
-    return F.array(*[
-        F.struct(F.lit(i).alias("template_idx"), F.lit(tier).alias("tier_label"),
-                 F.lit(text).alias("template"), F.lit(ctx).alias("context_provided"),
-                 F.lit(base_c).alias("base_constraints"), F.lit(base_f).alias("base_format"))
-        for i, (tier, text, ctx, base_c, base_f) in enumerate(C.CORPUS_TEMPLATES)])
+    rows = []
+    for i, (tier, text, ctx, base_c, base_f) in enumerate(C.CORPUS_TEMPLATES):
+        split = _split_template(text) if junction_safe(text) else None
+        head, tail = split if split else ("", "")
+        rows.append(F.struct(F.lit(i).alias("template_idx"), F.lit(tier).alias("tier_label"),
+                             F.lit(text).alias("template"), F.lit(ctx).alias("context_provided"),
+                             F.lit(base_c).alias("base_constraints"), F.lit(base_f).alias("base_format"),
+                             F.lit(split is not None).alias("split"), F.lit(head).alias("head"),
+                             F.lit(tail).alias("tail")))
+    return F.array(*rows)
+
+
+def _prompt(template: Column, payload: Column, domain: Column) -> Column:
+    return F.concat(F.replace(template, F.lit(C.CORPUS_PLACEHOLDER), payload),
+                    F.lit(C.CORPUS_SUFFIX_BEFORE), domain, F.lit(C.CORPUS_SUFFIX_AFTER))
 
 
 def expand_templates(payloads: DataFrame, key: str = "doc_id", payload: str = "text",
@@ -30,22 +82,59 @@ def expand_templates(payloads: DataFrame, key: str = "doc_id", payload: str = "t
     suffix.  Columns: key, template_idx, tier_label, prompt, context_provided,
     base_constraints, base_format."""
     t = payloads.select(key, payload, domain, F.explode(_template_array()).alias("t"))
-    prompt = F.concat(F.replace(F.col("t.template"), F.lit(C.CORPUS_PLACEHOLDER), F.col(payload)),
-                      F.lit(C.CORPUS_SUFFIX_BEFORE), F.col(domain), F.lit(C.CORPUS_SUFFIX_AFTER))
     return t.select(key, F.col("t.template_idx").alias("template_idx"),
-                    F.col("t.tier_label").alias("tier_label"), prompt.alias("prompt"),
+                    F.col("t.tier_label").alias("tier_label"),
+                    _prompt(F.col("t.template"), F.col(payload), F.col(domain)).alias("prompt"),
                     F.col("t.context_provided").alias("context_provided"),
                     F.col("t.base_constraints").alias("base_constraints"),
                     F.col("t.base_format").alias("base_format"))
 
 
+def corpus_summaries(payloads: DataFrame, spec: Spec, key: str = "doc_id", payload: str = "text",
+                     domain: str = "source") -> DataFrame:
+    """Expanded corpus rows with the prompt and its summary ``_s`` under ``spec``.
+
+    The payload summary is computed in the projection below the generator, i.e.
+    once per payload row; the per-row work after the expansion only touches the
+    short template parts (constants are folded by the optimizer).
+    """
+    p = payloads.select(key, payload, domain, summary(F.col(payload), spec).alias("_d"))
+    t = p.select(key, payload, domain, "_d", F.explode(_template_array()).alias("t"))
+    tail = F.concat(F.col("t.tail"), F.lit(C.CORPUS_SUFFIX_BEFORE), F.col(domain), F.lit(C.CORPUS_SUFFIX_AFTER))
+    prompt = _prompt(F.col("t.template"), F.col(payload), F.col(domain))
+    # one projection per level: each summary / merge is a column, read by reference
+    t = t.select(key, F.col("t.template_idx").alias("template_idx"), F.col("t.tier_label").alias("tier_label"),
+                 prompt.alias("prompt"), F.col("t.context_provided").alias("context_provided"),
+                 F.col("t.base_constraints").alias("base_constraints"), F.col("t.base_format").alias("base_format"),
+                 F.col("t.split").alias("_split"), "_d", summary(F.col("t.head"), spec).alias("_h"),
+                 summary(tail, spec).alias("_t"))
+    t = t.select("*", merge(F.col("_h"), F.col("_d"), spec).alias("_hd"))
+    t = t.select("*", merge(F.col("_hd"), F.col("_t"), spec).alias("_m"))
+    s = F.when(F.col("_split"), F.col("_m")).otherwise(summary(F.col("prompt"), spec))
+    return t.select(key, "template_idx", "tier_label", "prompt", "context_provided", "base_constraints",
+                    "base_format", s.alias("_s"))
+
+
 def labelled_corpus(payloads: DataFrame, key: str = "doc_id", payload: str = "text",
                     domain: str = "source") -> DataFrame:
     """(key, template_idx, prompt, tier_label, five F12 features)."""
-    e = expand_templates(payloads, key, payload, domain)
-    return e.select(key, "template_idx", "prompt", "tier_label",
-                    *routing_feature_cols("prompt", F.col("context_provided"),
-                                          F.col("base_constraints"), F.col("base_format")))
+    c = corpus_summaries(payloads, F12_SPEC, key, payload, domain)
+    v = View(F.col("_s"), F12_SPEC)
+    return c.select(key, "template_idx", "prompt", "tier_label",
+                    *routing_features_from(v, F.col("context_provided"), F.col("base_constraints"),
+                                           F.col("base_format")))
+
+
+def corpus_diagnostics(payloads: DataFrame, key: str = "doc_id") -> DataFrame:
+    """F13 over the expanded corpus."""
+    c = corpus_summaries(payloads, F13_SPEC, key)
+    return c.select(key, "template_idx", *diagnostic_features_from(View(F.col("_s"), F13_SPEC)))
+
+
+def corpus_task_types(payloads: DataFrame, key: str = "doc_id") -> DataFrame:
+    """P4 over the expanded corpus."""
+    c = corpus_summaries(payloads, TASK_SPEC, key)
+    return c.select(key, "template_idx", task_type_from(View(F.col("_s"), TASK_SPEC)).alias("task_type"))
 
 
 def shape_audit(corpus: DataFrame) -> DataFrame:

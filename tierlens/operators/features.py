@@ -1,4 +1,10 @@
-"""Text features (F1-F13) as column expressions and the two feature-set selects."""
+"""Text features (F1-F13) and task type inputs, read from mergeable text summaries.
+
+Every feature is a built-in expression: substring tests, non-overlapping regex
+counts and a word count.  The summary of a prompt is computed once per row and all
+features read from it, so the lower-cased text is scanned once per keyword and
+once per regex, with no Python in the loop.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import col_of, contains_any, count_present, regex_count, token_count
+from ..functions.text import col_of
+from ..functions.textstats import Spec, View, summary
 
 
 def unicode_digits(pattern: str) -> str:
@@ -14,64 +21,74 @@ def unicode_digits(pattern: str) -> str:
     return pattern.replace(r"\d", r"\p{Nd}")
 
 
-def f_token_count(prompt: Column) -> Column:                       # F1
-    return token_count(prompt)
-
-
-def f_contains_analyze_compare(lower: Column) -> Column:           # F2
-    return contains_any(lower, C.ANALYZE_COMPARE_TERMS).cast("int")
-
-
-def f_constraint_count(lower: Column, base: Column) -> Column:     # F3
-    return (base.cast("int") + regex_count(lower, unicode_digits(C.ROUTING_CONSTRAINT_RE))).cast("int")
-
+def _fast(pattern: str, first_chars: str) -> str:
+    """Same matches, with a look-ahead that skips positions no alternative can start at."""
+    return f"(?=[{first_chars}])" + pattern
 
-def f_context_provided(flag: Column) -> Column:                    # F4
-    return flag.cast("boolean").cast("int")
 
+ROUTING_RE = _fast(unicode_digits(C.ROUTING_CONSTRAINT_RE), r"\p{Nd}msdnabeo")
+DIAGNOSTIC_RE = _fast(unicode_digits(C.DIAGNOSTIC_CONSTRAINT_RE), r"\p{Nd}msdnaf")
 
-def f_output_format_complexity(lower: Column, base: Column) -> Column:  # F5
-    b = base.cast("int")
-    return (F.when(contains_any(lower, C.FORMAT_LEVEL3_TERMS), F.greatest(b, F.lit(3)))
-             .when(contains_any(lower, C.FORMAT_LEVEL2_TERMS), F.greatest(b, F.lit(2)))
-             .otherwise(b)).cast("int")
+F12_SPEC = Spec(keywords=tuple(C.ANALYZE_COMPARE_TERMS + C.FORMAT_LEVEL3_TERMS + C.FORMAT_LEVEL2_TERMS),
+                regexes=(ROUTING_RE,))
+F13_SPEC = Spec(keywords=tuple(C.TIER1_KEYWORDS + C.TIER2_KEYWORDS + C.TIER3_KEYWORDS),
+                markers=tuple(C.CODE_SYNTAX_MARKERS), regexes=(DIAGNOSTIC_RE,))
+TASK_SPEC = Spec(keywords=tuple(C.SUMMARIZATION_TERMS + C.EXTRACTION_TERMS), words=False)
+ALL_SPEC = F12_SPEC.union(F13_SPEC).union(TASK_SPEC)
 
 
-def f_keyword_density(lower: Column, tier: int) -> Column:         # F6-F8
-    kws = {1: C.TIER1_KEYWORDS, 2: C.TIER2_KEYWORDS, 3: C.TIER3_KEYWORDS}[tier]
-    return count_present(lower, kws)
+def tokens_from(v: View) -> Column:                                              # F1
+    return F.floor(v.words().cast("double") * F.lit(C.TOKEN_MULTIPLIER)).cast("int")
 
 
-def f_diagnostic_constraints(lower: Column) -> Column:             # F9
-    return regex_count(lower, unicode_digits(C.DIAGNOSTIC_CONSTRAINT_RE))
+def routing_features_from(v: View, context_provided: Column, base_constraints: Column,
+                          base_format: Column) -> list[Column]:
+    """F12 (F1-F5) in model column order."""
+    b = base_format.cast("int")
+    fmt = (F.when(v.any_of(C.FORMAT_LEVEL3_TERMS), F.greatest(b, F.lit(3)))
+            .when(v.any_of(C.FORMAT_LEVEL2_TERMS), F.greatest(b, F.lit(2)))
+            .otherwise(b))
+    return [tokens_from(v).alias("token_count"),
+            v.any_of(C.ANALYZE_COMPARE_TERMS).cast("int").alias("contains_analyze_compare"),
+            (base_constraints.cast("int") + v.count(ROUTING_RE)).cast("int").alias("constraint_count"),
+            context_provided.cast("boolean").cast("int").alias("context_provided"),
+            fmt.cast("int").alias("output_format_complexity")]
 
 
-def f_code_syntax(prompt: Column) -> Column:                       # F10 (original case)
-    return contains_any(prompt, C.CODE_SYNTAX_MARKERS).cast("double")
+def diagnostic_features_from(v: View) -> list[Column]:
+    """F1, F6-F11."""
+    tokens = tokens_from(v)
+    return [tokens.alias("token_count"),
+            v.n_present(C.TIER1_KEYWORDS).alias("tier1_keyword_density"),
+            v.n_present(C.TIER2_KEYWORDS).alias("tier2_keyword_density"),
+            v.n_present(C.TIER3_KEYWORDS).alias("tier3_keyword_density"),
+            v.count(DIAGNOSTIC_RE).cast("int").alias("constraint_count"),
+            v.any_marker(C.CODE_SYNTAX_MARKERS).cast("double").alias("contains_code_syntax"),
+            (tokens > C.LONG_CONTEXT_TOKENS).cast("double").alias("is_long_context")]
 
 
-def f_long_context(tokens: Column) -> Column:                      # F11
-    return (tokens > C.LONG_CONTEXT_TOKENS).cast("double")
+def task_type_from(v: View) -> Column:
+    """First matching keyword list wins."""
+    return (F.when(v.any_of(C.SUMMARIZATION_TERMS), F.lit("summarization"))
+             .when(v.any_of(C.EXTRACTION_TERMS), F.lit("extraction"))
+             .otherwise(F.lit("classification")))
 
 
-def routing_feature_cols(prompt: Column | str, context_provided: Column, base_constraints: Column,
-                         base_format: Column) -> list[Column]:
-    """the classifier's five inputs, in model column order."""
-    p = col_of(prompt)
-    lower = F.lower(p)
-    return [f_token_count(p).alias("token_count"),
-            f_contains_analyze_compare(lower).alias("contains_analyze_compare"),
-            f_constraint_count(lower, base_constraints).alias("constraint_count"),
-            f_context_provided(context_provided).alias("context_provided"),
-            f_output_format_complexity(lower, base_format).alias("output_format_complexity")]
+# --------------------------------------------------------------------------- per-prompt API
+def _staged(df: DataFrame, prompt: Column, spec: Spec) -> DataFrame:
+    """Summary in its own projection (an expensive struct read many times is not
+    inlined by the optimizer, so each text is scanned once)."""
+    return df.select("*", summary(prompt, spec).alias("_s"))
 
 
 def routing_features(df: DataFrame, prompt: str = "prompt", context_provided: str | Column = "context_provided",
                      base_constraints: str | Column = "base_constraints",
                      base_format: str | Column = "base_format", keep: list[str] | None = None) -> DataFrame:
     """F12 as a select; ``keep`` are pass-through columns placed first."""
-    return df.select(*(keep or []), *routing_feature_cols(prompt, col_of(context_provided),
-                                                          col_of(base_constraints), col_of(base_format)))
+    st = _staged(df, col_of(prompt), F12_SPEC)
+    v = View(F.col("_s"), F12_SPEC)
+    return st.select(*(keep or []), *routing_features_from(v, col_of(context_provided), col_of(base_constraints),
+                                                           col_of(base_format)))
 
 
 def online_routing_features(df: DataFrame, prompt: str = "prompt", keep: list[str] | None = None) -> DataFrame:
@@ -80,19 +97,19 @@ def online_routing_features(df: DataFrame, prompt: str = "prompt", keep: list[st
                             F.lit(C.ONLINE_BASE_FORMAT), keep)
 
 
-def diagnostic_feature_cols(prompt: Column | str) -> list[Column]:
-    """F1, F6-F11."""
-    p = col_of(prompt)
-    lower = F.lower(p)
-    tokens = f_token_count(p)
-    return [tokens.alias("token_count"),
-            f_keyword_density(lower, 1).alias("tier1_keyword_density"),
-            f_keyword_density(lower, 2).alias("tier2_keyword_density"),
-            f_keyword_density(lower, 3).alias("tier3_keyword_density"),
-            f_diagnostic_constraints(lower).alias("constraint_count"),
-            f_code_syntax(p).alias("contains_code_syntax"),
-            f_long_context(tokens).alias("is_long_context")]
+def diagnostic_features(df: DataFrame, prompt: str = "prompt", keep: list[str] | None = None) -> DataFrame:
+    """F13 as a select."""
+    st = _staged(df, col_of(prompt), F13_SPEC)
+    return st.select(*(keep or []), *diagnostic_features_from(View(F.col("_s"), F13_SPEC)))
 
 
-def diagnostic_features(df: DataFrame, prompt: str = "prompt", keep: list[str] | None = None) -> DataFrame:
-    return df.select(*(keep or []), *diagnostic_feature_cols(prompt))
+def routing_feature_cols(prompt: Column | str, context_provided: Column, base_constraints: Column,
+                         base_format: Column) -> list[Column]:
+    """F12 as column expressions (for use inside another select)."""
+    return routing_features_from(View(summary(col_of(prompt), F12_SPEC), F12_SPEC), context_provided,
+                                 base_constraints, base_format)
+
+
+def diagnostic_feature_cols(prompt: Column | str) -> list[Column]:
+    return diagnostic_features_from(View(summary(col_of(prompt), F13_SPEC), F13_SPEC))
+

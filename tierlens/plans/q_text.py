@@ -57,8 +57,7 @@ def q_recurrence(spark, sf_dir):
 @register("p4_corpus_task_type", _corpus_sql(
     f"SELECT doc_id, template_idx, {O.sql_task_type('prompt')} AS task_type FROM corpus_raw"))
 def q_corpus_task(spark, sf_dir):
-    e = D.expand_templates(read(spark, sf_dir, "documents", spread=True))
-    return e.select("doc_id", "template_idx", P.task_type_col("prompt").alias("task_type"))
+    return D.corpus_task_types(read(spark, sf_dir, "documents", spread=True))
 
 
 # --------------------------------------------------------------------------- features
@@ -71,8 +70,7 @@ def q_f12(spark, sf_dir):
 @register("f13_diagnostic_features_corpus", _corpus_sql(
     f"SELECT doc_id, template_idx, {O.sql_diagnostic_features('prompt')} FROM corpus_raw"))
 def q_f13_corpus(spark, sf_dir):
-    e = D.expand_templates(read(spark, sf_dir, "documents", spread=True))
-    return Fe.diagnostic_features(e, keep=["doc_id", "template_idx"])
+    return D.corpus_diagnostics(read(spark, sf_dir, "documents", spread=True))
 
 
 @register("f13_diagnostic_features_documents",
