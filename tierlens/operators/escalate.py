@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..sources.dims import Policy
 from .routing import lookup_model, resolve_route
-from .verify import dispatch
+from .verify import staged_verdicts
 
 
 def escalate(requests: DataFrame, policy: Policy, strict_sla: bool | Column = True, tier: str = "predicted_tier",
@@ -23,8 +23,8 @@ def escalate(requests: DataFrame, policy: Policy, strict_sla: bool | Column = Tr
     routed = resolve_route(requests, policy, tier)
     routed = lookup_model(routed, "policy_model_id", prefix="cheap_")
     routed = lookup_model(routed, "fallback_model_id", prefix="fb_")
-    verdict = dispatch(F.col(task), F.col(cheap), F.col(gold), F.col(judge), mode="sync")
-    v = routed.select("*", F.when(~strict, verdict).alias("_v"))
+    v = staged_verdicts(routed, "sync", task, cheap, gold, judge)
+    v = v.select("*", F.when(~strict, F.col("_verdict")).alias("_v"))
     escalated = F.coalesce(~strict & ~F.col("_v.passed"), F.lit(False))
     gap = F.when(F.col(task) == "summarization", F.lit(C.MIN_SUMMARY_SCORE) - F.col("_v.score")).otherwise(
         F.lit(C.NON_SUMMARY_QUALITY_GAP))

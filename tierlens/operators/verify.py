@@ -38,12 +38,11 @@ def missing_keys(cheap: Column, gold: Column) -> Column:
     return F.array_except(top_level_keys(json_block(gold)), top_level_keys(json_block(cheap)))
 
 
-def verify_extraction(cheap: Column, gold: Column) -> Column:
-    """V1: JSON key coverage of the cheap output against the gold output."""
-    cb, gb = json_block(cheap), json_block(gold)
-    miss = F.array_except(top_level_keys(gb), top_level_keys(cb))
+def extraction_from(cb: Column, gb: Column, cb_ok: Column, gb_ok: Column, ck: Column, gk: Column) -> Column:
+    """V1 verdict from pre-computed parts: blocks, their validity, their key lists."""
+    miss = F.array_except(gk, ck)
     no_block = (cb == "") | (gb == "")
-    bad = ~(is_json(cb) & is_json(gb))
+    bad = ~(cb_ok & gb_ok)
     return (F.when(no_block, _result(F.lit(False), F.lit(0.0), F.lit(C.MSG_EXTRACT_NO_BLOCK), "extraction"))
              .when(bad, _result(F.lit(False), F.lit(0.0), F.lit(C.MSG_EXTRACT_BAD_JSON), "extraction"))
              .when(F.size(miss) > 0, _result(F.lit(False), F.lit(0.0),
@@ -51,6 +50,12 @@ def verify_extraction(cheap: Column, gold: Column) -> Column:
              .otherwise(_result(F.lit(True), F.lit(1.0), F.lit(C.MSG_EXTRACT_OK), "extraction")))
 
 
+def verify_extraction(cheap: Column, gold: Column) -> Column:
+    """V1: JSON key coverage of the cheap output against the gold output."""
+    cb, gb = json_block(cheap), json_block(gold)
+    return extraction_from(cb, gb, is_json(cb), is_json(gb), top_level_keys(cb), top_level_keys(gb))
+
+
 def _label_norm(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
 
@@ -71,8 +76,8 @@ def judge_prompt(original_prompt: Column, cheap: Column) -> Column:
                     F.lit(C.JUDGE_PROMPT_TAIL))
 
 
-def _judge_parts(verdict: Column):
-    """(valid_json, is_object, score_ok, score, reason_or_null) of a judge verdict text."""
+def judge_parse(verdict: Column) -> Column:
+    """Parsed judge verdict: struct(valid, score_ok, score, reason)."""
     valid = is_json(verdict)
     is_obj = valid & py_strip(verdict).startswith("{")
     parsed = F.from_json(verdict, "score variant, reason variant", {"allowSingleQuotes": "false"})
@@ -91,48 +96,92 @@ def _judge_parts(verdict: Column):
                .when(rt == "VOID", F.lit("None"))
                .when(rt == "BOOLEAN", F.when(F.try_variant_get(rv, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
                .when(rv.isNotNull(), F.to_json(rv)))
-    return valid, is_obj, score_ok, score, reason
+    return F.struct(valid.alias("valid"), F.coalesce(score_ok, F.lit(False)).alias("score_ok"),
+                    score.alias("score"), reason.alias("reason"))
 
 
 def _passes(score: Column) -> Column:
     return ~F.isnan(score) & (score >= C.MIN_SUMMARY_SCORE)
 
 
+def judge_async_from(j: Column) -> Column:
+    """V5 from a parsed verdict: invalid JSON fails with 0.0; a valid verdict with an
+    unusable score (or not an object) gives NULL = no result; otherwise pass iff
+    score >= 4.0."""
+    return (F.when(~j["valid"], _result(F.lit(False), F.lit(0.0), F.lit(C.MSG_JUDGE_BAD_JSON_ASYNC), "summarization"))
+             .when(j["score_ok"], _result(_passes(j["score"]), j["score"],
+                                          F.coalesce(j["reason"], F.lit(C.MSG_JUDGE_NO_REASON_ASYNC)),
+                                          "summarization")))
+
+
+def judge_async_has_result(j: Column) -> Column:
+    return ~j["valid"] | j["score_ok"]
+
+
+def judge_sync_from(j: Column) -> Column:
+    """V6 from a parsed verdict: as V5 but reason defaults to '' and every failure is
+    a 0.0 fail."""
+    ok = j["valid"] & j["score_ok"]
+    return F.when(ok, _result(_passes(j["score"]), j["score"], F.coalesce(j["reason"], F.lit("")), "summarization")
+                  ).otherwise(_result(F.lit(False), F.lit(0.0), F.lit(C.MSG_JUDGE_FAILED_SYNC), "summarization"))
+
+
 def judge_verdict_async(verdict: Column) -> Column:
-    """V5: invalid JSON fails with 0.0; a valid verdict with an unusable score (or not
-    an object) gives NULL = no result; otherwise pass iff score >= 4.0."""
-    valid, is_obj, score_ok, score, reason = _judge_parts(verdict)
-    return (F.when(~valid, _result(F.lit(False), F.lit(0.0), F.lit(C.MSG_JUDGE_BAD_JSON_ASYNC), "summarization"))
-             .when(score_ok, _result(_passes(score), score,
-                                     F.coalesce(reason, F.lit(C.MSG_JUDGE_NO_REASON_ASYNC)), "summarization")))
+    """V5 on a verdict text."""
+    return judge_async_from(judge_parse(verdict))
 
 
 def judge_verdict_sync(verdict: Column) -> Column:
-    """V6: as V5 but reason defaults to '' and every failure is a 0.0 fail."""
-    valid, is_obj, score_ok, score, reason = _judge_parts(verdict)
-    return F.when(valid & score_ok, _result(_passes(score), score, F.coalesce(reason, F.lit("")), "summarization")
-                  ).otherwise(_result(F.lit(False), F.lit(0.0), F.lit(C.MSG_JUDGE_FAILED_SYNC), "summarization"))
+    """V6 on a verdict text."""
+    return judge_sync_from(judge_parse(verdict))
 
 
-def dispatch(task: Column, cheap: Column, gold: Column, judge: Column, mode: str = "async") -> Column:
-    """V7: route each row to V1 / V3 / V5-V6 by task type.  Unknown task: NULL
-    (skipped) in async mode, a 1.0 pass in sync mode."""
-    summ = judge_verdict_async(judge) if mode == "async" else judge_verdict_sync(judge)
+def _dispatch_from(task: Column, ext: Column, cls: Column, j: Column, mode: str) -> Column:
+    summ = judge_async_from(j) if mode == "async" else judge_sync_from(j)
     unknown = (F.lit(None) if mode == "async" else
                _result(F.lit(True), F.lit(1.0), F.lit(C.MSG_UNKNOWN_TASK_SYNC), task))
-    return (F.when(task == "extraction", verify_extraction(cheap, gold))
-             .when(task == "classification", verify_classification(cheap, gold))
-             .when(task == "summarization", summ)
-             .otherwise(unknown))
+    return (F.when(task == "extraction", ext).when(task == "classification", cls)
+             .when(task == "summarization", summ).otherwise(unknown))
+
+
+def dispatch(task: Column, cheap: Column, gold: Column, judge: Column, mode: str = "async") -> Column:
+    """V7 as one column expression: route each row to V1 / V3 / V5-V6 by task type.
+    Unknown task: NULL (skipped) in async mode, a 1.0 pass in sync mode."""
+    return _dispatch_from(task, verify_extraction(cheap, gold), verify_classification(cheap, gold),
+                          judge_parse(judge), mode)
+
+
+def staged_verdicts(df: DataFrame, mode: str = "async", task: str = "task_type", cheap: str = "cheap_output",
+                    gold: str = "gold_output", judge: str = "judge_output") -> DataFrame:
+    """V7 over a table as staged projections, adding the struct column ``_verdict``.
+
+    Each payload is parsed once: the JSON blocks, their validity and key lists, and
+    the parsed judge verdict are columns of their own (only on rows of the task that
+    needs them), and the verdict reads them by reference.  In async mode rows with
+    no result are filtered on the judge columns alone, so only the short verdict
+    text can be parsed a second time by the pushed-down filter.
+    """
+    t = F.col(task)
+    s1 = df.select("*", F.when(t == "extraction", json_block(F.col(cheap))).alias("_cb"),
+                   F.when(t == "extraction", json_block(F.col(gold))).alias("_gb"))
+    s2 = s1.select("*", is_json(F.col("_cb")).alias("_cbv"), is_json(F.col("_gb")).alias("_gbv"),
+                   top_level_keys(F.col("_cb")).alias("_ck"), top_level_keys(F.col("_gb")).alias("_gk"),
+                   F.when(t == "summarization", judge_parse(F.col(judge))).alias("_j"))
+    if mode == "async":
+        s2 = s2.where(t.isin("extraction", "classification")
+                      | ((t == "summarization") & judge_async_has_result(F.col("_j"))))
+    ext = extraction_from(F.col("_cb"), F.col("_gb"), F.col("_cbv"), F.col("_gbv"), F.col("_ck"), F.col("_gk"))
+    v = _dispatch_from(t, ext, verify_classification(F.col(cheap), F.col(gold)), F.col("_j"), mode)
+    return s2.select(*df.columns, v.alias("_verdict"))
 
 
 def verify_pairs(pairs: DataFrame, mode: str = "async", key: str = "pair_id", task: str = "task_type",
                  cheap: str = "cheap_output", gold: str = "gold_output", judge: str = "judge_output",
                  keep: list[str] | None = None) -> DataFrame:
     """V7 over a table; rows without a result (async skip / no result) are dropped."""
-    v = dispatch(F.col(task), F.col(cheap), F.col(gold), F.col(judge), mode)
-    return (pairs.select(key, *(keep or []), v.alias("v")).where(F.col("v").isNotNull())
-            .select(key, *(keep or []), "v.task_type", "v.passed", "v.score", "v.reason"))
+    v = staged_verdicts(pairs.select(key, task, cheap, gold, judge, *(keep or [])), mode, task, cheap, gold, judge)
+    return v.select(key, *(keep or []), "_verdict.task_type", "_verdict.passed", "_verdict.score",
+                    "_verdict.reason")
 
 
 def verdict_errors(pairs: DataFrame, key: str = "pair_id", task: str = "task_type",

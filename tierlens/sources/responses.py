@@ -16,38 +16,39 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.text import py_strip
 
-OPENAI = ("struct<choices: array<struct<message: struct<content: string>>>, "
-          "usage: struct<prompt_tokens: bigint, completion_tokens: bigint>>")
-ANTHROPIC = "struct<content: array<struct<text: string>>, usage: struct<input_tokens: bigint, output_tokens: bigint>>"
-OLLAMA = "struct<message: struct<content: string>, prompt_eval_count: bigint, eval_count: bigint>"
+# One schema covering the three providers' fields (no field has two types), so
+# each payload is parsed once.
+PAYLOAD = ("struct<choices: array<struct<message: struct<content: string>>>, "
+           "usage: struct<prompt_tokens: bigint, completion_tokens: bigint, input_tokens: bigint, output_tokens: bigint>, "
+           "content: array<struct<text: string>>, message: struct<content: string>, "
+           "prompt_eval_count: bigint, eval_count: bigint>")
 SUPPORTED = ["openai", "anthropic", "ollama"]
 
 
 def normalise_responses(raw: DataFrame, provider: str = "provider", payload: str = "raw_json",
                         model: str = "model_key", keep: list[str] | None = None) -> DataFrame:
-    p = F.lower(F.col(provider))
-    oa = F.from_json(F.col(payload), OPENAI)
-    an = F.from_json(F.col(payload), ANTHROPIC)
-    ol = F.from_json(F.col(payload), OLLAMA)
-    oa_msg = oa["choices"][0]["message"]
-    text = (F.when(p == "openai", F.coalesce(oa_msg["content"], F.lit("")))
-             .when(p == "anthropic", an["content"][0]["text"])
-             .when(p == "ollama", ol["message"]["content"]))
-    tin = (F.when(p == "openai", oa["usage"]["prompt_tokens"])
-            .when(p == "anthropic", an["usage"]["input_tokens"])
-            .when(p == "ollama", F.coalesce(ol["prompt_eval_count"], F.lit(0).cast("bigint"))))
-    tout = (F.when(p == "openai", oa["usage"]["completion_tokens"])
-             .when(p == "anthropic", an["usage"]["output_tokens"])
-             .when(p == "ollama", F.coalesce(ol["eval_count"], F.lit(0).cast("bigint"))))
-    unsupported = ~p.isin(SUPPORTED)
-    malformed = ~unsupported & (text.isNull() | tin.isNull() | tout.isNull())
-    error = (F.when(unsupported, F.concat(F.lit(C.PROVIDER_ERROR_BEFORE), p, F.lit(C.PROVIDER_ERROR_MIDDLE),
-                                          F.col(model), F.lit(C.PROVIDER_ERROR_AFTER), p))
-              .when(malformed, F.concat(F.lit(C.PROVIDER_ERROR_BEFORE), p, F.lit(C.PROVIDER_ERROR_MIDDLE),
-                                        F.col(model), F.lit(". Error: malformed provider payload"))))
+    staged = raw.select(*(keep or []), F.lower(F.col(provider)).alias("_p"), F.col(model),
+                        F.when(F.lower(F.col(provider)).isin(SUPPORTED), F.from_json(F.col(payload), PAYLOAD))
+                        .alias("_r"))
+    p, r = F.col("_p"), F.col("_r")
+    text = (F.when(p == "openai", F.coalesce(r["choices"][0]["message"]["content"], F.lit("")))
+             .when(p == "anthropic", r["content"][0]["text"])
+             .when(p == "ollama", r["message"]["content"]))
+    tin = (F.when(p == "openai", r["usage"]["prompt_tokens"])
+            .when(p == "anthropic", r["usage"]["input_tokens"])
+            .when(p == "ollama", F.coalesce(r["prompt_eval_count"], F.lit(0).cast("bigint"))))
+    tout = (F.when(p == "openai", r["usage"]["completion_tokens"])
+             .when(p == "anthropic", r["usage"]["output_tokens"])
+             .when(p == "ollama", F.coalesce(r["eval_count"], F.lit(0).cast("bigint"))))
+    staged = staged.select(*(keep or []), "_p", model, text.alias("_text"), tin.alias("_in"), tout.alias("_out"))
+    unsupported = ~F.col("_p").isin(SUPPORTED)
+    malformed = ~unsupported & (F.col("_text").isNull() | F.col("_in").isNull() | F.col("_out").isNull())
+    prefix = F.concat(F.lit(C.PROVIDER_ERROR_BEFORE), F.col("_p"), F.lit(C.PROVIDER_ERROR_MIDDLE), F.col(model))
+    error = (F.when(unsupported, F.concat(prefix, F.lit(C.PROVIDER_ERROR_AFTER), F.col("_p")))
+              .when(malformed, F.concat(prefix, F.lit(". Error: malformed provider payload"))))
     ok = error.isNull()
-    return raw.select(*(keep or []), p.alias("provider"), F.col(model),
-                      F.when(ok, py_strip(text)).alias("output_text"),
-                      F.when(ok, tin).alias("input_tokens"),
-                      F.when(ok, tout).alias("output_tokens"),
-                      error.alias("error"))
+    return staged.select(*(keep or []), F.col("_p").alias("provider"), F.col(model),
+                         F.when(ok, py_strip(F.col("_text"))).alias("output_text"),
+                         F.when(ok, F.col("_in")).alias("input_tokens"),
+                         F.when(ok, F.col("_out")).alias("output_tokens"),
+                         error.alias("error"))
