@@ -124,10 +124,18 @@ FROM s8 s JOIN registry r ON r.key = s.model_key WHERE s.error IS NULL""",
                       **O.fx("provider_responses"), s8=_S8_SQL, registry=O.registry_values_sql())
 
 
+def _priced_inputs(spark, sf_dir):
+    """Rows of supported providers.  The filter is on the provider name (pushed to
+    the scan, before any parsing); a malformed payload of a supported provider keeps
+    its row with NULL tokens and therefore NULL cost."""
+    from ..sources.responses import SUPPORTED
+    r = _responses(spark, sf_dir).where(F.col("provider").isin(SUPPORTED))
+    return r.drop("error", "provider", "output_text")
+
+
 @register("r4_request_cost", _R4_SQL.replace("{extra}", ""))
 def q_r4(spark, sf_dir):
-    ok = _responses(spark, sf_dir).where(F.col("error").isNull()).drop("error", "provider", "output_text")
-    return R.with_cost(ok)
+    return R.with_cost(_priced_inputs(spark, sf_dir))
 
 
 @register("r7_completion_facts", _R4_SQL.replace(
@@ -135,8 +143,7 @@ def q_r4(spark, sf_dir):
           "CAST(1.0 AS DOUBLE) AS confidence_score"))
 def q_r7(spark, sf_dir):
     """R7 with the default route of D9 (no classifier artifact: tier 1, confidence 1.0)."""
-    ok = _responses(spark, sf_dir).where(F.col("error").isNull()).drop("error", "provider", "output_text")
-    facts = R.completion_facts(R.with_cost(ok))
+    facts = R.completion_facts(R.with_cost(_priced_inputs(spark, sf_dir)))
     return facts.select("*", F.lit(C.DEFAULT_TIER).alias("complexity_tier_assigned"),
                         F.lit(C.DEFAULT_CONFIDENCE).alias("confidence_score"))
 
