@@ -46,8 +46,9 @@ def telemetry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verification_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cheap/gold/judge outputs per request, from ``orders``."""
-    o = read(spark, sf_dir, "orders")
+    """Cheap/gold/judge outputs per request, from ``orders`` (verification is CPU-heavy
+    per row: JSON and regex work, so the rows are spread over the cores)."""
+    o = read(spark, sf_dir, "orders", spread=True)
     k = F.col("o_orderkey")
     st = F.col("o_orderstatus")
     pr = F.col("o_orderpriority")
