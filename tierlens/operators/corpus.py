@@ -59,6 +59,7 @@ def junction_safe(text: str) -> bool:
 
 
 def _template_array():
+    """The 30 templates (with head / tail around the placeholder) as a literal array."""
     rows = []
     for i, (tier, text, ctx, base_c, base_f) in enumerate(C.CORPUS_TEMPLATES):
         split = _split_template(text) if junction_safe(text) else None
@@ -101,18 +102,20 @@ def corpus_summaries(payloads: DataFrame, spec: Spec, key: str = "doc_id", paylo
     p = payloads.select(key, payload, domain, summary(F.col(payload), spec).alias("_d"))
     t = p.select(key, payload, domain, "_d", F.explode(_template_array()).alias("t"))
     tail = F.concat(F.col("t.tail"), F.lit(C.CORPUS_SUFFIX_BEFORE), F.col(domain), F.lit(C.CORPUS_SUFFIX_AFTER))
-    prompt = _prompt(F.col("t.template"), F.col(payload), F.col(domain))
-    # one projection per level: each summary / merge is a column, read by reference
-    t = t.select(key, F.col("t.template_idx").alias("template_idx"), F.col("t.tier_label").alias("tier_label"),
-                 prompt.alias("prompt"), F.col("t.context_provided").alias("context_provided"),
+    # one projection per level: each summary / merge is a column, read by reference.
+    # The prompt text itself is only built where it is used (output, unsplit templates).
+    t = t.select(key, payload, domain, F.col("t.template").alias("_tpl"),
+                 F.col("t.template_idx").alias("template_idx"), F.col("t.tier_label").alias("tier_label"),
+                 F.col("t.context_provided").alias("context_provided"),
                  F.col("t.base_constraints").alias("base_constraints"), F.col("t.base_format").alias("base_format"),
                  F.col("t.split").alias("_split"), "_d", summary(F.col("t.head"), spec).alias("_h"),
                  summary(tail, spec).alias("_t"))
     t = t.select("*", merge(F.col("_h"), F.col("_d"), spec).alias("_hd"))
     t = t.select("*", merge(F.col("_hd"), F.col("_t"), spec).alias("_m"))
-    s = F.when(F.col("_split"), F.col("_m")).otherwise(summary(F.col("prompt"), spec))
-    return t.select(key, "template_idx", "tier_label", "prompt", "context_provided", "base_constraints",
-                    "base_format", s.alias("_s"))
+    prompt = _prompt(F.col("_tpl"), F.col(payload), F.col(domain))
+    s = F.when(F.col("_split"), F.col("_m")).otherwise(summary(prompt, spec))
+    return t.select(key, "template_idx", "tier_label", prompt.alias("prompt"), "context_provided",
+                    "base_constraints", "base_format", s.alias("_s"))
 
 
 def labelled_corpus(payloads: DataFrame, key: str = "doc_id", payload: str = "text",
