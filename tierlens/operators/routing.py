@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..sources.dims import Policy, model_aliases, model_registry, policy_frame
+from ..sources.dims import Policy, model_aliases, model_registry, policy_frame, registry_entry
 
 
 def resolve_route(df: DataFrame, policy: Policy, tier: str = "tier") -> DataFrame:
@@ -96,13 +96,12 @@ def completion_facts(df: DataFrame, tokens_in: str = "input_tokens", tokens_out:
 
 
 def verification_queue(df: DataFrame, tier: str) -> DataFrame:
-    """Requests below tier 3 are verified against the gold model."""
-    spark = df.sparkSession
-    gold = (model_registry(spark).where(F.col("key") == C.GOLD_MODEL_KEY)
-            .select(F.col("key").alias("gold_model_key"), F.col("model_id").alias("gold_model_id"),
-                    F.col("provider").alias("gold_provider")))
-    q = df.where(F.col(tier) < C.FALLBACK_TIER).withColumn("_g", F.lit(C.GOLD_MODEL_KEY))
-    return q.join(F.broadcast(gold), F.col("_g") == F.col("gold_model_key")).drop("_g")
+    """Requests below tier 3 are verified against the gold model.  The gold model
+    is one configuration entry, attached as literal columns (no join)."""
+    key, provider, model_id, *_ = registry_entry(C.GOLD_MODEL_KEY)
+    return df.where(F.col(tier) < C.FALLBACK_TIER).select(
+        "*", F.lit(key).alias("gold_model_key"), F.lit(model_id).alias("gold_model_id"),
+        F.lit(provider).alias("gold_provider"))
 
 
 def retry_eligible(status: Column | str, policy: Policy) -> Column:

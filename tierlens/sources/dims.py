@@ -48,6 +48,14 @@ def model_registry(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(rows, REGISTRY_SCHEMA)
 
 
+def registry_entry(key: str) -> tuple:
+    """Strict configuration lookup of one registry row (unknown key -> KeyError)."""
+    for row in C.REGISTRY:
+        if row[0] == key:
+            return row
+    raise KeyError(f"Model keys must be listed in the registry: {key} not found")
+
+
 def model_aliases(spark: SparkSession) -> DataFrame:
     """Policy model id -> registry key; registry keys map to themselves."""
     rows = [(k, k) for k, *_ in C.REGISTRY] + list(C.MODEL_ALIASES)
