@@ -265,6 +265,16 @@ def q_v5(spark, sf_dir):
                                         v.score.alias("score"), v.reason.alias("reason"))
 
 
+_h5 = O.sql_judge("judge_output", "async")[0]
+
+
+@register("v5_verdict_errors", _pairs_sql(
+    f"SELECT pair_id, judge_output FROM verification_pairs WHERE task_type = 'summarization' AND NOT ({_h5})"))
+def q_v5_errors(spark, sf_dir):
+    """V5 error output: summarization verdicts that give no result."""
+    return V.verdict_errors(_pairs(spark, sf_dir))
+
+
 @register("v6_judge_verdict_sync", _judge_q("sync"))
 def q_v6(spark, sf_dir):
     v = V.judge_verdict_sync(F.col("judge_output"))

@@ -54,6 +54,18 @@ def q_recurrence(spark, sf_dir):
     return P.prompt_recurrence(fx_.request_logs(spark, sf_dir))
 
 
+@register("p3_recurring_prompt_requests", O.with_ctes("""
+SELECT id, prompt_hash, routed_model FROM request_logs
+WHERE prompt_hash IN (SELECT prompt_hash FROM request_logs GROUP BY prompt_hash HAVING count(*) > 1)""",
+                                                   **O.fx("request_logs")))
+def q_recurring(spark, sf_dir):
+    """P3 lookup / deduplication: requests whose prompt hash recurs (semi join on the
+    hashes with more than one request)."""
+    logs = fx_.request_logs(spark, sf_dir).select("id", "prompt_hash", "routed_model")
+    hot = P.prompt_recurrence(logs.withColumn("timestamp", F.lit(None))).where(F.col("requests") > 1)
+    return P.lookup_by_hash(logs, hot)
+
+
 @register("p4_corpus_task_type", _corpus_sql(
     f"SELECT doc_id, template_idx, {O.sql_task_type('prompt')} AS task_type FROM corpus_raw"))
 def q_corpus_task(spark, sf_dir):

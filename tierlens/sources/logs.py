@@ -82,12 +82,15 @@ def append_request_telemetry(records: DataFrame, path: str) -> None:
 
 def _scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parquet scan with a fixed schema; a table that does not exist yet reads as empty."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    from pyspark.errors import AnalysisException
+    try:
+        df = spark.read.schema(schema).parquet(path)
+        df.schema  # noqa: B018 - resolves the path now (Spark Connect resolves lazily)
+        return df
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def scan_request_log(spark: SparkSession, path: str) -> DataFrame:

@@ -27,7 +27,11 @@ def spread_rows(df: DataFrame) -> DataFrame:
     Checking the split count plans the scan (file listing) but runs no job.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: keep the scan's splits
+        return df
+    if splits >= cores:
         return df
     return df.repartition(cores)
