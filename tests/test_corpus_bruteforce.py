@@ -16,6 +16,12 @@ PAYLOADS = [
     "'quoted'", "{data}", "think step by step: summary of schema", "mustshouldo not alwayshould",
     "tl;dr format: yes", "١. arabic digit", "x\u001cy", "evaluate", "source code\r\n",
 ]
+# domains sit between two fixed texts; these probe both of those junctions
+SOURCES = ["src7", "", " ", "not", "code", "json", "Σ", "ΟΣ ", "1.", "must", "step", " and contrast", "x\u001c"]
+
+
+def source_of(i):
+    return SOURCES[i % len(SOURCES)]
 
 
 def brute(prompt, ctx, base_c, base_f):
@@ -42,14 +48,14 @@ def expected_rows(payloads):
     out = {}
     for i, text in enumerate(payloads):
         for t, (tier, tpl, ctx, bc, bf) in enumerate(C.CORPUS_TEMPLATES):
-            prompt = tpl.replace("{data}", text) + C.CORPUS_SUFFIX_BEFORE + "src7" + C.CORPUS_SUFFIX_AFTER
+            prompt = tpl.replace("{data}", text) + C.CORPUS_SUFFIX_BEFORE + source_of(i) + C.CORPUS_SUFFIX_AFTER
             out[(i, t)] = (brute(prompt, ctx, bc, bf), brute_diag(prompt))
     return out
 
 
 @pytest.fixture(scope="module")
 def payload_df(spark):
-    return spark.createDataFrame([(i, t, "src7") for i, t in enumerate(PAYLOADS)],
+    return spark.createDataFrame([(i, t, source_of(i)) for i, t in enumerate(PAYLOADS)],
                                  "doc_id long, text string, source string")
 
 
@@ -74,7 +80,7 @@ def test_prompt_text_equals_python_replace(payload_df):
     rows = D.labelled_corpus(payload_df).select("doc_id", "template_idx", "prompt").collect()
     for r in rows:
         tpl = C.CORPUS_TEMPLATES[r.template_idx][1]
-        assert r.prompt == (tpl.replace("{data}", PAYLOADS[r.doc_id]) + C.CORPUS_SUFFIX_BEFORE + "src7"
+        assert r.prompt == (tpl.replace("{data}", PAYLOADS[r.doc_id]) + C.CORPUS_SUFFIX_BEFORE + source_of(r.doc_id)
                             + C.CORPUS_SUFFIX_AFTER)
 
 
@@ -86,6 +92,18 @@ def test_junction_guard_rejects_unsafe_templates():
     assert not D.junction_safe("two '{data}' and '{data}'")
 
 
+def test_open_end_guard():
+    assert D.open_end_safe("applies to the ")
+    assert not D.open_end_safe("applies to the")            # no white space before the open end
+    assert not D.open_end_safe("please do ")                # "do not" could run across
+    assert not D.open_end_safe("compare ")                  # "compare and contrast"
+    assert not D.open_end_safe("see source ")               # "source code"
+    assert D.template_parts("Check '{data}' now")[0] == "split"
+    assert D.template_parts("no placeholder")[0] == "fixed"
+    assert D.template_parts("Check {data} now")[0] == "full"
+    assert D._alternatives(r"(a|b.*)") is None              # not a plain alternation: never merged
+
+
 def test_first_sample_and_audits(payload_df):
     c = D.labelled_corpus(payload_df)
     first = {r.tier_label: r.prompt_preview for r in D.first_sample_per_label(c).collect()}

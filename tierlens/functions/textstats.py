@@ -54,16 +54,22 @@ def summary(text: Column, spec: Spec) -> Column:
     return F.struct(*fields)
 
 
-def merge(a: Column, b: Column, spec: Spec) -> Column:
-    """Summary of the concatenation a + b (junction-safe parts only)."""
-    joined = (a["ne"] & b["ne"] & a["ls"] & b["fs"]).cast("long")
-    fields = [(a["ne"] | b["ne"]).alias("ne"), (a["w"] + b["w"] - joined).alias("w"),
-              F.when(a["ne"], a["fs"]).otherwise(b["fs"]).alias("fs"),
-              F.when(b["ne"], b["ls"]).otherwise(a["ls"]).alias("ls")]
-    fields += [(a[f"k{i}"] | b[f"k{i}"]).alias(f"k{i}") for i in range(len(spec.keywords))]
-    fields += [(a[f"m{i}"] | b[f"m{i}"]).alias(f"m{i}") for i in range(len(spec.markers))]
-    fields += [(a[f"r{i}"] + b[f"r{i}"]).alias(f"r{i}") for i in range(len(spec.regexes))]
-    return F.struct(*fields)
+def merge(a: str, b: str, spec: Spec) -> Column:
+    """Summary of the concatenation a + b (junction-safe parts only).
+
+    ``a`` and ``b`` are SQL expressions of two summaries (e.g. column names).  The
+    merge is written as one SQL expression, so building it costs one call into
+    the JVM however many fields the summary has.
+    """
+    A, B = f"({a})", f"({b})"
+    fields = [("ne", f"{A}.ne OR {B}.ne"),
+              ("w", f"{A}.w + {B}.w - CAST({A}.ne AND {B}.ne AND {A}.ls AND {B}.fs AS BIGINT)"),
+              ("fs", f"CASE WHEN {A}.ne THEN {A}.fs ELSE {B}.fs END"),
+              ("ls", f"CASE WHEN {B}.ne THEN {B}.ls ELSE {A}.ls END")]
+    fields += [(f"k{i}", f"{A}.k{i} OR {B}.k{i}") for i in range(len(spec.keywords))]
+    fields += [(f"m{i}", f"{A}.m{i} OR {B}.m{i}") for i in range(len(spec.markers))]
+    fields += [(f"r{i}", f"{A}.r{i} + {B}.r{i}") for i in range(len(spec.regexes))]
+    return F.expr("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields) + ")")
 
 
 class View:

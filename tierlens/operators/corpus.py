@@ -1,20 +1,24 @@
 """Labelled corpus (D1) and its audits.
 
-D1 expands every payload row through the 30 fixed templates with ``explode`` over
-a literal array: a per-row generator, so there is no join, no shuffle and no
-broadcast.
+D1 expands every payload row through the 30 fixed templates with ``explode`` (a
+per-row generator: no cross join and no shuffle).
 
 The expansion repeats each payload 30 times, so features are not computed on the
-30 expanded prompts.  A prompt is ``head + payload + tail``; the payload is
-summarised once per payload row, before the expansion, and merged with the
-summaries of the short head and tail (``functions.textstats``).  The merge is exact
-when no keyword or regex match can contain the junction characters and lower-
-casing cannot change across the junction: each template is checked for that at
-plan time, and a template that fails the check is featurised on its full prompt.
+30 expanded prompts.  A prompt is ``head + payload + fixed + domain + suffix``.
+The payload, and ``domain + suffix``, are summarised once per payload row, before
+the expansion; the constant parts are summarised once per template, in a 30-row
+template frame that is broadcast (its size is set by the constants) and joined by
+template index.  The expanded rows only merge these summaries
+(``functions.textstats``).  The merge is exact when no keyword or regex match can
+contain the junction characters and lower-casing cannot change across the
+junction: each template is checked for that at plan time, and a template that
+fails the check is featurised on its full prompt.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,20 +62,85 @@ def junction_safe(text: str) -> bool:
     return tail_full[1].isspace() or (tail_full[1] in ".," and tail_full[2].isspace())
 
 
+def _alternatives(pattern: str):
+    """Literal alternatives of a constraint regex and whether it has the digit-dot
+    alternative; None when the pattern is not such a plain alternation."""
+    body = re.sub(r"^\(\?=\[[^\]]*\]\)", "", pattern)
+    if not (body.startswith("(") and body.endswith(")")):
+        return None
+    literals, digit_dot = [], False
+    for alt in body[1:-1].split("|"):
+        if alt in (r"\p{Nd}\.", r"\d\."):
+            digit_dot = True
+        elif re.fullmatch(r"[a-z :;]+", alt):
+            literals.append(alt)
+        else:
+            return None
+    return literals, digit_dot
+
+
+def open_end_safe(fixed: str, spec: Spec = ALL_SPEC) -> bool:
+    """True when, for every text s, features of ``fixed + s`` equal the merge of the
+    two parts' summaries.
+
+    ``fixed`` must end in white space (which stops case-mapping context), and no
+    keyword, marker or regex literal may start inside ``fixed`` and run past its end.
+    """
+    if not fixed or not fixed[-1].isspace():
+        return False
+    lower = fixed.lower()
+    pieces = [(k, lower) for k in spec.keywords] + [(m, fixed) for m in spec.markers]
+    for r in spec.regexes:
+        alts = _alternatives(r)
+        if alts is None:
+            return False
+        pieces += [(a, lower) for a in alts[0]]
+    return not any(side.endswith(k[:i]) for k, side in pieces for i in range(1, len(k)))
+
+
+def template_parts(text: str):
+    """(mode, head, fixed) of a template.
+
+    split: ``head + payload + fixed + domain + suffix``; fixed: no payload, the prompt
+    is ``fixed + domain + suffix``; full: featurised on the whole prompt per row.
+    """
+    parts = _split_template(text)
+    if parts is not None and junction_safe(text) and open_end_safe(parts[1] + C.CORPUS_SUFFIX_BEFORE):
+        return "split", parts[0], parts[1] + C.CORPUS_SUFFIX_BEFORE
+    if C.CORPUS_PLACEHOLDER not in text and open_end_safe(text + C.CORPUS_SUFFIX_BEFORE):
+        return "fixed", "", text + C.CORPUS_SUFFIX_BEFORE
+    return "full", "", ""
+
+
 def _template_array():
-    """The 30 templates (with head / tail around the placeholder) as a literal array."""
+    """The 30 templates as a literal array of structs."""
     rows = []
     for i, (tier, text, ctx, base_c, base_f) in enumerate(C.CORPUS_TEMPLATES):
-        split = _split_template(text) if junction_safe(text) else None
-        head, tail = split if split else ("", "")
         rows.append(F.struct(F.lit(i).alias("template_idx"), F.lit(tier).alias("tier_label"),
                              F.lit(text).alias("template"), F.lit(ctx).alias("context_provided"),
-                             F.lit(base_c).alias("base_constraints"), F.lit(base_f).alias("base_format"),
-                             F.lit(split is not None).alias("split"), F.lit(head).alias("head"),
-                             F.lit(tail).alias("tail")))
+                             F.lit(base_c).alias("base_constraints"), F.lit(base_f).alias("base_format")))
     return F.array(*rows)
 
 
+def template_frame(spark, spec: Spec) -> DataFrame:
+    """One row per fixed template, with the summaries of its constant parts.
+
+    A local relation of ``len(CORPUS_TEMPLATES)`` rows: its size is set by the
+    constants, not by the data, so it is safe to broadcast.  The summaries are
+    computed once, over these 30 rows, instead of once per expanded prompt.
+    """
+    rows = []
+    for i, (tier, text, ctx, base_c, base_f) in enumerate(C.CORPUS_TEMPLATES):
+        mode, head, fixed = template_parts(text)
+        rows.append((i, tier, text, bool(ctx), base_c, base_f, mode == "split", mode == "full", head, fixed))
+    df = spark.createDataFrame(rows, "template_idx int, tier_label int, template string, context_provided boolean, "
+                                     "base_constraints int, base_format int, payload boolean, full boolean, "
+                                     "head string, fixed string")
+    return df.select("template_idx", "tier_label", "template", "context_provided", "base_constraints",
+                     "base_format", "payload", "full", summary(F.col("head"), spec).alias("h"),
+                     summary(F.col("fixed"), spec).alias("x"))
+
+
 def _prompt(template: Column, payload: Column, domain: Column) -> Column:
     return F.concat(F.replace(template, F.lit(C.CORPUS_PLACEHOLDER), payload),
                     F.lit(C.CORPUS_SUFFIX_BEFORE), domain, F.lit(C.CORPUS_SUFFIX_AFTER))
@@ -95,25 +164,36 @@ def corpus_summaries(payloads: DataFrame, spec: Spec, key: str = "doc_id", paylo
                      domain: str = "source") -> DataFrame:
     """Expanded corpus rows with the prompt and its summary ``_s`` under ``spec``.
 
-    The payload summary is computed in the projection below the generator, i.e.
-    once per payload row; the per-row work after the expansion only touches the
-    short template parts (constants are folded by the optimizer).
+    Below the generator, once per payload row: the payload summary ``_d`` and the
+    summary ``_y`` of ``domain + suffix``.  The template parts are planning-time
+    literals, so the per-row work after the expansion is merges of small structs
+    (and the whole-prompt summary for a template that fails the junction checks).
     """
-    p = payloads.select(key, payload, domain, summary(F.col(payload), spec).alias("_d"))
-    t = p.select(key, payload, domain, "_d", F.explode(_template_array()).alias("t"))
-    tail = F.concat(F.col("t.tail"), F.lit(C.CORPUS_SUFFIX_BEFORE), F.col(domain), F.lit(C.CORPUS_SUFFIX_AFTER))
-    # one projection per level: each summary / merge is a column, read by reference.
-    # The prompt text itself is only built where it is used (output, unsplit templates).
+    p = payloads.select(key, payload, domain, summary(F.col(payload), spec).alias("_d"),
+                        summary(F.concat(F.col(domain), F.lit(C.CORPUS_SUFFIX_AFTER)), spec).alias("_y"))
+    n = len(C.CORPUS_TEMPLATES)
+    p = p.select(key, payload, domain, "_d", "_y",
+                 F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("template_idx"))
+    t = p.join(F.broadcast(template_frame(payloads.sparkSession, spec)), "template_idx").select(
+        key, payload, domain, "_d", "_y", F.struct(*[F.col(c) for c in (
+            "template", "template_idx", "tier_label", "context_provided", "base_constraints", "base_format",
+            "payload", "full", "h", "x")]).alias("t"))
+    # one projection per level: each merge is a column, read by reference.
+    # The prompt text itself is only built where it is used (output, whole-prompt templates).
     t = t.select(key, payload, domain, F.col("t.template").alias("_tpl"),
                  F.col("t.template_idx").alias("template_idx"), F.col("t.tier_label").alias("tier_label"),
                  F.col("t.context_provided").alias("context_provided"),
                  F.col("t.base_constraints").alias("base_constraints"), F.col("t.base_format").alias("base_format"),
-                 F.col("t.split").alias("_split"), "_d", summary(F.col("t.head"), spec).alias("_h"),
-                 summary(tail, spec).alias("_t"))
-    t = t.select("*", merge(F.col("_h"), F.col("_d"), spec).alias("_hd"))
-    t = t.select("*", merge(F.col("_hd"), F.col("_t"), spec).alias("_m"))
+                 F.col("t.full").alias("_full"), "_y",
+                 F.when(F.col("t.payload"), merge("t.h", "_d", spec)).otherwise(F.col("t.h"))
+                 .alias("_hd"), F.col("t.x").alias("_x"))
+    t = t.select("*", merge("_hd", "_x", spec).alias("_hx"))
+    t = t.select("*", merge("_hx", "_y", spec).alias("_m"))
     prompt = _prompt(F.col("_tpl"), F.col(payload), F.col(domain))
-    s = F.when(F.col("_split"), F.col("_m")).otherwise(summary(prompt, spec))
+    if any(template_parts(text)[0] == "full" for _, text, *_ in C.CORPUS_TEMPLATES):
+        s = F.when(F.col("_full"), summary(prompt, spec)).otherwise(F.col("_m"))
+    else:
+        s = F.col("_m")
     return t.select(key, "template_idx", "tier_label", prompt.alias("prompt"), "context_provided",
                     "base_constraints", "base_format", s.alias("_s"))
 

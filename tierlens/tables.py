@@ -9,6 +9,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+SPREAD_PER_CORE = 4
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """Scan one table.  ``spread=True`` is for CPU-heavy per-row work (regexes over
     whole texts, JSON parsing): see :func:`spread_rows`."""
@@ -19,11 +22,13 @@ def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> D
 
 
 def spread_rows(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row work at least one partition per core.
+    """Give CPU-heavy row work several partitions per core.
 
     A big input already arrives in many file splits and is left alone (no shuffle).
-    A dataset stored as a single unsplittable row group would otherwise be
-    processed by one task; only then rows are dealt round-robin to all cores.
+    A dataset stored as a few unsplittable row groups would otherwise be processed
+    by a few tasks; only then rows are dealt round-robin to ``SPREAD_PER_CORE``
+    partitions per core, so a partition that happens to hold the longest texts
+    does not keep the other cores waiting.
     Checking the split count plans the scan (file listing) but runs no job.
     """
     spark = df.sparkSession
@@ -34,4 +39,4 @@ def spread_rows(df: DataFrame) -> DataFrame:
         return df
     if splits >= cores:
         return df
-    return df.repartition(cores)
+    return df.repartition(SPREAD_PER_CORE * cores)
