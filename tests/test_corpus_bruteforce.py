@@ -115,3 +115,9 @@ def test_first_sample_and_audits(payload_df):
         1: len(PAYLOADS) * 10, 2: len(PAYLOADS) * 10, 3: len(PAYLOADS) * 10}
     means = D.feature_means(c).where(F.col("tier_label") == 1).collect()[0]
     assert means.context_provided == pytest.approx(0.9)
+
+
+def test_sql_string_literal_round_trip(spark):
+    texts = ["it's", "back\\slash \\n not a newline", "'{data}'", "%s {} \"q\"", "ΟΔΟΣ\t"]
+    got = spark.range(1).select(*[F.expr(D._sql_string(t)).alias(f"c{i}") for i, t in enumerate(texts)]).first()
+    assert list(got) == texts

@@ -194,6 +194,21 @@ def test_d6_d7_exact_split_and_weights(spark):
     assert w == {1: 1.0, 2: 1.0, 3: 1.0}
 
 
+@pytest.mark.parametrize("bits", [2, 5, 20])
+def test_d6_split_equals_window_over_label(spark, bits):
+    """Boundary-bucket split == row_number over the whole label, also when buckets
+    are crowded (few bits) and for labels with 1-3 rows (targets 0 and 1)."""
+    from pyspark.sql import Window
+    rows = [(k, 1 + k % 3) for k in range(600)] + [(1000, 7), (1001, 8), (1002, 8), (1003, 8), (1004, 9)]
+    df = spark.createDataFrame(rows, "k long, label int")
+    got = {r.k: r.is_test for r in TR.stratified_split(df, "label", ["k"], bucket_bits=bits).collect()}
+    n = df.groupBy("label").count().withColumnRenamed("count", "n")
+    rn = F.row_number().over(Window.partitionBy("label").orderBy(TR.split_hash(["k"]), "k"))
+    exp = {r.k: r.t for r in df.join(n, "label").select("k", (rn <= F.floor((F.col("n") * 2 + 5) / 10)).alias("t"))
+           .collect()}
+    assert len(got) == len(rows) and got == exp
+
+
 def test_d11_d12_never_predicted_class(spark):
     rows = [(1, 1), (1, 2), (2, 2), (3, 2), (3, 1)]
     df = spark.createDataFrame(rows, "label int, prediction int")

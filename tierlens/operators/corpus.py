@@ -112,14 +112,20 @@ def template_parts(text: str):
     return "full", "", ""
 
 
+def _sql_string(text: str) -> str:
+    """A Spark SQL string literal holding ``text``."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _template_array():
-    """The 30 templates as a literal array of structs."""
+    """The 30 templates as a literal array of structs (one SQL expression, so it
+    is built with a single call into the JVM)."""
     rows = []
     for i, (tier, text, ctx, base_c, base_f) in enumerate(C.CORPUS_TEMPLATES):
-        rows.append(F.struct(F.lit(i).alias("template_idx"), F.lit(tier).alias("tier_label"),
-                             F.lit(text).alias("template"), F.lit(ctx).alias("context_provided"),
-                             F.lit(base_c).alias("base_constraints"), F.lit(base_f).alias("base_format")))
-    return F.array(*rows)
+        rows.append(f"named_struct('template_idx', {int(i)}, 'tier_label', {int(tier)}, "
+                    f"'template', {_sql_string(text)}, 'context_provided', {str(bool(ctx)).lower()}, "
+                    f"'base_constraints', {int(base_c)}, 'base_format', {int(base_f)})")
+    return F.expr("array(" + ", ".join(rows) + ")")
 
 
 def template_frame(spark, spec: Spec) -> DataFrame:

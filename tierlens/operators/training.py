@@ -1,8 +1,8 @@
 """Split, weighting, forest training, scoring and evaluation.
 
 Everything is distributed: the exact stratified split ranks rows inside a label
-by a hash, using bucket counts instead of a window over the label, so a label
-holding a third of all rows is never sorted in one task.
+by a hash, using bucket counts instead of a window over the label's rows, so a
+label holding a third of all rows is never sorted in one task.
 """
 
 from __future__ import annotations
@@ -34,49 +34,49 @@ def _target(n: Column, fraction: float) -> Column:
     return ((n * (2 * fr.numerator) + fr.denominator) / (2 * fr.denominator)).cast("long")
 
 
+SPLIT_BUCKET_BITS = 20
+
+
 def stratified_split(df: DataFrame, label: str, key_cols: list[str],
-                     test_fraction: float = C.TEST_FRACTION, seed: int = C.FOREST_SEED) -> DataFrame:
+                     test_fraction: float = C.TEST_FRACTION, seed: int = C.FOREST_SEED,
+                     bucket_bits: int = SPLIT_BUCKET_BITS) -> DataFrame:
     """Adds ``is_test``: exactly round(fraction * n_label) rows per label are test,
     namely the first ones in (hash, key) order.  Repeatable for a given seed.
 
-    Three passes over small aggregates: counts per (label, 16-bit bucket) locate the
-    boundary bucket; counts per second 16 bits inside it locate the boundary cell;
-    only rows of that cell (about n / 2^32 per label) are ranked with a window.
-    The per-label boundary tables have one row per label and are broadcast.
+    The first ``bucket_bits`` bits of the hash put each row in a bucket.  One
+    aggregation counts rows per (label, bucket); running and total counts per label
+    (windows over that count table, not over the rows) locate each label's boundary
+    bucket and how many of its rows are still needed.  Rows outside the boundary
+    bucket are decided by comparing buckets; only the boundary bucket's rows (about
+    n_label / 2^bits) are ranked with a window.  The two parts are unioned: no join
+    of the rows with a per-row table, and no label is ever sorted whole.  The
+    per-label boundary table has one row per label and is broadcast.
     """
+    if not 1 <= bucket_bits <= 28:
+        raise ValueError("bucket_bits must be in 1..28")
+    nhex = (bucket_bits + 3) // 4
     h = split_hash(key_cols, seed)
-    base = df.select("*", h.alias("_h")).select(
-        "*", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int").alias("_b1"),
-        F.conv(F.substring("_h", 5, 4), 16, 10).cast("int").alias("_b2"))
-
-    def boundary(rows: DataFrame, bucket: str, need: DataFrame, need_col: str, out_b: str, out_r: str) -> DataFrame:
-        c = rows.groupBy(label, bucket).agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(label).orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        c = c.select(label, bucket, "_n", F.sum("_n").over(w).alias("_cum"))
-        c = c.join(F.broadcast(need), label)
-        hit = c.where(F.col("_cum") >= F.col(need_col))
-        return (hit.groupBy(label).agg(F.min_by(F.struct(F.col(bucket).alias("b"),
-                                                         (F.col(need_col) - F.col("_cum") + F.col("_n")).alias("r")),
-                                                F.col(bucket)).alias("m"))
-                .select(label, F.col("m.b").alias(out_b), F.col("m.r").alias(out_r)))
-
-    need1 = (df.groupBy(label).agg(F.count(F.lit(1)).alias("_cnt"))
-             .select(label, _target(F.col("_cnt"), test_fraction).alias("_k")))
-    need1 = need1.where(F.col("_k") > 0)
-    b1 = boundary(base, "_b1", need1, "_k", "_b1s", "_r1")
-    in_b1 = base.join(F.broadcast(b1), label).where(F.col("_b1") == F.col("_b1s"))
-    b2 = boundary(in_b1, "_b2", b1.select(label, "_r1"), "_r1", "_b2s", "_r2")
-    cell = (in_b1.join(F.broadcast(b2), label).where(F.col("_b2") == F.col("_b2s"))
-            .select(label, *key_cols, "_h", "_r2"))
-    w3 = Window.partitionBy(label).orderBy("_h", *key_cols)
-    picked = (cell.select(label, *key_cols, (F.row_number().over(w3) <= F.col("_r2")).alias("_pick"))
-              .where("_pick"))
-    bounds = b1.join(b2, label)
-    out = (base.join(F.broadcast(bounds), label, "left")
-           .join(picked, [label, *key_cols], "left"))
-    is_test = (F.col("_b1") < F.col("_b1s")) | (
-        (F.col("_b1") == F.col("_b1s")) & ((F.col("_b2") < F.col("_b2s")) | F.coalesce(F.col("_pick"), F.lit(False))))
-    return out.select(*df.columns, F.coalesce(is_test, F.lit(False)).alias("is_test"))
+    bucket = F.shiftright(F.conv(F.substring("_h", 1, nhex), 16, 10).cast("long"), 4 * nhex - bucket_bits)
+    base = df.select("*", h.alias("_h")).select("*", bucket.alias("_b"))
+
+    counts = base.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    per_label = Window.partitionBy(label)
+    running = per_label.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.select(label, "_b", "_n", F.sum("_n").over(running).alias("_cum"),
+                           _target(F.sum("_n").over(per_label), test_fraction).alias("_k"))
+    hit = counts.where((F.col("_k") > 0) & (F.col("_cum") >= F.col("_k")))
+    bounds = (hit.groupBy(label)
+              .agg(F.min_by(F.struct(F.col("_b").alias("b"), (F.col("_k") - F.col("_cum") + F.col("_n")).alias("r")),
+                            F.col("_b")).alias("m"))
+              .select(label, F.col("m.b").alias("_bs"), F.col("m.r").alias("_r")))
+
+    rows = base.join(F.broadcast(bounds), label, "left")
+    decided = (rows.where(F.col("_bs").isNull() | (F.col("_b") != F.col("_bs")))
+               .select(*df.columns, F.coalesce(F.col("_b") < F.col("_bs"), F.lit(False)).alias("is_test")))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", *key_cols))
+    edge = (rows.where(F.col("_b") == F.col("_bs"))
+            .select(*df.columns, (rank <= F.col("_r")).alias("is_test")))
+    return decided.unionByName(edge)
 
 
 # --------------------------------------------------------------------------- D7
