@@ -39,7 +39,33 @@ class Spec:
         return set("".join(self.keywords + self.markers))
 
 
-def summary(text: Column, spec: Spec) -> Column:
+def _raw(text: str) -> str:
+    """A raw SQL string literal (kept verbatim, whatever the parser's escape setting)."""
+    return "r'" + text + "'"
+
+
+def _summary_sql(text: str, spec: Spec) -> Column:
+    T = f"({text})"
+    lower = f"lower({T})"
+    if spec.words:
+        fields = [("ne", f"length({T}) > 0"), ("w", f"CAST(regexp_count({T}, {_raw(NON_WS_RUN)}) AS BIGINT)"),
+                  ("fs", f"regexp_like({T}, {_raw(_FIRST_NON_WS)})"), ("ls", f"regexp_like({T}, {_raw(_LAST_NON_WS)})")]
+    else:
+        fields = [("ne", f"length({T}) > 0"), ("w", "CAST(0 AS BIGINT)"), ("fs", "false"), ("ls", "false")]
+    fields += [(f"k{i}", f"contains({lower}, {_raw(k)})") for i, k in enumerate(spec.keywords)]
+    fields += [(f"m{i}", f"contains({T}, {_raw(m)})") for i, m in enumerate(spec.markers)]
+    fields += [(f"r{i}", f"CAST(regexp_count({lower}, {_raw(r)}) AS BIGINT)") for i, r in enumerate(spec.regexes)]
+    return F.expr("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields) + ")")
+
+
+def summary(text: Column | str, spec: Spec) -> Column:
+    """Summary struct of a text.  ``text`` is a Column, or a column name / SQL
+    expression: then the summary is one SQL expression, built with a single call
+    into the JVM however many keywords the spec has."""
+    literals = (NON_WS_RUN, _FIRST_NON_WS, _LAST_NON_WS) + spec.keywords + spec.markers + spec.regexes
+    if isinstance(text, str) and not any("'" in x for x in literals):
+        return _summary_sql(text, spec)
+    text = F.col(text) if isinstance(text, str) else text
     lower = F.lower(text)
     if spec.words:
         fields = [(F.length(text) > 0).alias("ne"), F.regexp_count(text, F.lit(NON_WS_RUN)).cast("long").alias("w"),

@@ -143,8 +143,8 @@ def template_frame(spark, spec: Spec) -> DataFrame:
                                      "base_constraints int, base_format int, payload boolean, full boolean, "
                                      "head string, fixed string")
     return df.select("template_idx", "tier_label", "template", "context_provided", "base_constraints",
-                     "base_format", "payload", "full", summary(F.col("head"), spec).alias("h"),
-                     summary(F.col("fixed"), spec).alias("x"))
+                     "base_format", "payload", "full", summary("head", spec).alias("h"),
+                     summary("fixed", spec).alias("x"))
 
 
 def _prompt(template: Column, payload: Column, domain: Column) -> Column:
@@ -175,8 +175,8 @@ def corpus_summaries(payloads: DataFrame, spec: Spec, key: str = "doc_id", paylo
     literals, so the per-row work after the expansion is merges of small structs
     (and the whole-prompt summary for a template that fails the junction checks).
     """
-    p = payloads.select(key, payload, domain, summary(F.col(payload), spec).alias("_d"),
-                        summary(F.concat(F.col(domain), F.lit(C.CORPUS_SUFFIX_AFTER)), spec).alias("_y"))
+    p = payloads.select(key, payload, domain, F.concat(F.col(domain), F.lit(C.CORPUS_SUFFIX_AFTER)).alias("_ys"))
+    p = p.select(key, payload, domain, summary(f"`{payload}`", spec).alias("_d"), summary("_ys", spec).alias("_y"))
     n = len(C.CORPUS_TEMPLATES)
     p = p.select(key, payload, domain, "_d", "_y",
                  F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("template_idx"))

@@ -78,7 +78,7 @@ def task_type_from(v: View) -> Column:
 def _staged(df: DataFrame, prompt: Column, spec: Spec) -> DataFrame:
     """Summary in its own projection (an expensive struct read many times is not
     inlined by the optimizer, so each text is scanned once)."""
-    return df.select("*", summary(prompt, spec).alias("_s"))
+    return df.select("*", prompt.alias("_txt")).select("*", summary("_txt", spec).alias("_s")).drop("_txt")
 
 
 def routing_features(df: DataFrame, prompt: str = "prompt", context_provided: str | Column = "context_provided",
