@@ -76,13 +76,18 @@ def judge_prompt(original_prompt: Column, cheap: Column) -> Column:
                     F.lit(C.JUDGE_PROMPT_TAIL))
 
 
-def judge_parse(verdict: Column) -> Column:
-    """Parsed judge verdict: struct(valid, score_ok, score, reason)."""
-    valid = is_json(verdict)
+_VERDICT_SCHEMA = "score variant, reason variant"
+
+
+def _parse_verdict(verdict: Column) -> Column:
+    return F.from_json(verdict, _VERDICT_SCHEMA, {"allowSingleQuotes": "false"})
+
+
+def judge_from_parts(verdict: Column, valid: Column, parsed: Column, st: Column, rt: Column) -> Column:
+    """Judge verdict struct(valid, score_ok, score, reason) from its parts: the text,
+    its strict validity, the parsed (score, reason) variants and their type names."""
     is_obj = valid & py_strip(verdict).startswith("{")
-    parsed = F.from_json(verdict, "score variant, reason variant", {"allowSingleQuotes": "false"})
     sv, rv = parsed["score"], parsed["reason"]
-    st = F.schema_of_variant(sv)
     s_text = F.try_variant_get(sv, "$", "string")
     numeric = st.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | st.startswith("DECIMAL")
     str_ok = (st == "STRING") & F.regexp_like(s_text, F.lit(PY_FLOAT_RE))
@@ -91,7 +96,6 @@ def judge_parse(verdict: Column) -> Column:
               .when(numeric, F.try_variant_get(sv, "$", "double"))
               .when(str_ok, F.replace(py_strip(s_text), F.lit("_"), F.lit("")).cast("double")))
     score_ok = is_obj & (sv.isNull() | (st == "BOOLEAN") | numeric | str_ok)
-    rt = F.schema_of_variant(rv)
     reason = (F.when(rt == "STRING", F.try_variant_get(rv, "$", "string"))
                .when(rt == "VOID", F.lit("None"))
                .when(rt == "BOOLEAN", F.when(F.try_variant_get(rv, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
@@ -100,6 +104,13 @@ def judge_parse(verdict: Column) -> Column:
                     score.alias("score"), reason.alias("reason"))
 
 
+def judge_parse(verdict: Column) -> Column:
+    """Parsed judge verdict: struct(valid, score_ok, score, reason)."""
+    parsed = _parse_verdict(verdict)
+    return judge_from_parts(verdict, is_json(verdict), parsed, F.schema_of_variant(parsed["score"]),
+                            F.schema_of_variant(parsed["reason"]))
+
+
 def _passes(score: Column) -> Column:
     return ~F.isnan(score) & (score >= C.MIN_SUMMARY_SCORE)
 
@@ -151,23 +162,36 @@ def dispatch(task: Column, cheap: Column, gold: Column, judge: Column, mode: str
                           judge_parse(judge), mode)
 
 
+VERIFIED_TASKS = ("extraction", "classification", "summarization")
+
+
 def staged_verdicts(df: DataFrame, mode: str = "async", task: str = "task_type", cheap: str = "cheap_output",
-                    gold: str = "gold_output", judge: str = "judge_output") -> DataFrame:
+                    gold: str = "gold_output", judge: str = "judge_output", drop_no_result: bool = True) -> DataFrame:
     """V7 over a table as staged projections, adding the struct column ``_verdict``.
 
     Each payload is parsed once: the JSON blocks, their validity and key lists, and
     the parsed judge verdict are columns of their own (only on rows of the task that
     needs them), and the verdict reads them by reference.  In async mode rows with
     no result are filtered on the judge columns alone, so only the short verdict
-    text can be parsed a second time by the pushed-down filter.
+    text can be parsed a second time by the pushed-down filter.  With
+    ``drop_no_result=False`` those rows stay, with a NULL ``_verdict``: an
+    aggregate over the verdicts can then count only non-NULL verdicts instead of
+    filtering rows, and no parse is pushed into the scan.
     """
     t = F.col(task)
+    # Spark does not share a subexpression between the branches of a CASE, so every
+    # parse that a branch reads more than once is a column of an earlier projection.
     s1 = df.select("*", F.when(t == "extraction", json_block(F.col(cheap))).alias("_cb"),
-                   F.when(t == "extraction", json_block(F.col(gold))).alias("_gb"))
+                   F.when(t == "extraction", json_block(F.col(gold))).alias("_gb"),
+                   F.when(t == "summarization", F.col(judge)).alias("_jt"))
+    s1 = s1.select("*", is_json(F.col("_jt")).alias("_jv"), _parse_verdict(F.col("_jt")).alias("_jp"))
+    s1 = s1.select("*", F.schema_of_variant(F.col("_jp.score")).alias("_jst"),
+                   F.schema_of_variant(F.col("_jp.reason")).alias("_jrt"))
+    j = judge_from_parts(F.col("_jt"), F.col("_jv"), F.col("_jp"), F.col("_jst"), F.col("_jrt"))
     s2 = s1.select("*", is_json(F.col("_cb")).alias("_cbv"), is_json(F.col("_gb")).alias("_gbv"),
                    top_level_keys(F.col("_cb")).alias("_ck"), top_level_keys(F.col("_gb")).alias("_gk"),
-                   F.when(t == "summarization", judge_parse(F.col(judge))).alias("_j"))
-    if mode == "async":
+                   F.when(t == "summarization", j).alias("_j"))
+    if mode == "async" and drop_no_result:
         s2 = s2.where(t.isin("extraction", "classification")
                       | ((t == "summarization") & judge_async_has_result(F.col("_j"))))
     ext = extraction_from(F.col("_cb"), F.col("_gb"), F.col("_cbv"), F.col("_gbv"), F.col("_ck"), F.col("_gk"))

@@ -303,11 +303,18 @@ SELECT task_type, count(*) AS verified, count_if(passed) AS passed_count,
   CAST(coalesce(sum(CASE WHEN passed THEN CAST(gold_cost - cheap_cost AS DECIMAL(20,10)) END), 0) AS DOUBLE) AS captured_savings
 FROM v GROUP BY task_type""", v=_dispatch_sql("async", ", gold_cost, cheap_cost")))
 def q_v8(spark, sf_dir):
+    """Rows without a verdict are not filtered out (that filter would be pushed into
+    the scan and parse every judge text again); they are left out of the counts,
+    and a task group left with no verdict at all is dropped after aggregation."""
     from ..functions.money import money_sum
-    v = V.verify_pairs(_pairs(spark, sf_dir), "async", keep=["gold_cost", "cheap_cost"])
+    pairs = (_pairs(spark, sf_dir).where(F.col("task_type").isin(*V.VERIFIED_TASKS))
+             .select("pair_id", "task_type", "cheap_output", "gold_output", "judge_output", "gold_cost", "cheap_cost"))
+    r = F.col("_verdict")
+    v = V.staged_verdicts(pairs, "async", drop_no_result=False)
     return (v.groupBy("task_type")
-            .agg(F.count(F.lit(1)).alias("verified"), F.count_if("passed").alias("passed_count"),
-                 money_sum(V.captured_savings(v)).alias("captured_savings")))
+            .agg(F.count(r).alias("verified"), F.count_if(r["passed"]).alias("passed_count"),
+                 money_sum(F.when(r["passed"], F.col("gold_cost") - F.col("cheap_cost"))).alias("captured_savings"))
+            .where(F.col("verified") > 0))
 
 
 @register("v9_failure_feed", _pairs_sql(
