@@ -125,10 +125,6 @@ def judge_async_from(j: Column) -> Column:
                                           "summarization")))
 
 
-def judge_async_has_result(j: Column) -> Column:
-    return ~j["valid"] | j["score_ok"]
-
-
 def judge_sync_from(j: Column) -> Column:
     """V6 from a parsed verdict: as V5 but reason defaults to '' and every failure is
     a 0.0 fail."""
@@ -172,11 +168,9 @@ def staged_verdicts(df: DataFrame, mode: str = "async", task: str = "task_type",
     Each payload is parsed once: the JSON blocks, their validity and key lists, and
     the parsed judge verdict are columns of their own (only on rows of the task that
     needs them), and the verdict reads them by reference.  In async mode rows with
-    no result are filtered on the judge columns alone, so only the short verdict
-    text can be parsed a second time by the pushed-down filter.  With
-    ``drop_no_result=False`` those rows stay, with a NULL ``_verdict``: an
-    aggregate over the verdicts can then count only non-NULL verdicts instead of
-    filtering rows, and no parse is pushed into the scan.
+    no result are dropped after the verdict (see below); with
+    ``drop_no_result=False`` they stay, with a NULL ``_verdict``, for an aggregate
+    that counts only non-NULL verdicts.
     """
     t = F.col(task)
     # Spark does not share a subexpression between the branches of a CASE, so every
@@ -191,12 +185,16 @@ def staged_verdicts(df: DataFrame, mode: str = "async", task: str = "task_type",
     s2 = s1.select("*", is_json(F.col("_cb")).alias("_cbv"), is_json(F.col("_gb")).alias("_gbv"),
                    top_level_keys(F.col("_cb")).alias("_ck"), top_level_keys(F.col("_gb")).alias("_gk"),
                    F.when(t == "summarization", j).alias("_j"))
-    if mode == "async" and drop_no_result:
-        s2 = s2.where(t.isin("extraction", "classification")
-                      | ((t == "summarization") & judge_async_has_result(F.col("_j"))))
     ext = extraction_from(F.col("_cb"), F.col("_gb"), F.col("_cbv"), F.col("_gbv"), F.col("_ck"), F.col("_gk"))
     v = _dispatch_from(t, ext, verify_classification(F.col(cheap), F.col(gold)), F.col("_j"), mode)
-    return s2.select(*df.columns, v.alias("_verdict"))
+    out = s2.select(*df.columns, v.alias("_verdict"))
+    if mode == "async" and drop_no_result:
+        # Rows without a verdict are dropped by a generator over a one-element array,
+        # not by a filter: a filter on the verdict would be pushed below the staged
+        # projections (down to the scan) and parse every payload a second time.
+        kept = F.filter(F.array(F.col("_verdict")), lambda x: x.isNotNull())
+        out = out.select(*df.columns, F.explode(kept).alias("_verdict"))
+    return out
 
 
 def verify_pairs(pairs: DataFrame, mode: str = "async", key: str = "pair_id", task: str = "task_type",
