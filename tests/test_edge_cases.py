@@ -218,3 +218,13 @@ def test_d11_d12_never_predicted_class(spark):
     assert rep["3"].precision == 0.0 and rep["3"].f1_score == 0.0 and rep["3"].support == 2
     assert rep["accuracy"].f1_score == pytest.approx(2 / 5)
     assert TR.under_routing(df).collect()[0].under_routing_faults == 1
+
+
+def test_py_list_repr_sql_and_column_forms_match_python(spark):
+    from tierlens.functions.json import py_list_repr
+    keys = ["a", "it's", 'say "hi"', "both ' and \"", "back\\slash", "", "ΟΔΟΣ"]
+    odd = ["tab\tx"]   # non-printable escapes are a documented difference from repr
+    df = spark.createDataFrame([(keys,), ([],), (odd,)], "k array<string>")
+    rows = df.select(py_list_repr("k").alias("s"), py_list_repr(F.col("k")).alias("c")).collect()
+    assert [(r.s, r.c) for r in rows[:2]] == [(repr(keys), repr(keys)), ("[]", "[]")]
+    assert rows[2].s == rows[2].c

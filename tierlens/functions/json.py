@@ -28,12 +28,21 @@ def top_level_keys(obj_text: Column) -> Column:
     return F.array_distinct(F.map_keys(F.from_json(obj_text, "map<string,string>", _STRICT)))
 
 
-def py_list_repr(keys: Column) -> Column:
+def py_list_repr(keys: Column | str) -> Column:
     """Python ``repr`` of a list of plain strings, e.g. ``['a', 'b']``.
 
     Quotes follow Python: single quotes, or double quotes when the text holds a
-    single quote and no double quote.  Backslashes are doubled.
+    single quote and no double quote.  Backslashes are doubled.  ``keys`` may be a
+    Column or a SQL expression (e.g. a column name): then the result is one SQL
+    expression, with the quote and backslash characters written as ``chr`` codes.
     """
+    if isinstance(keys, str):
+        q, dq, bs = "chr(39)", "chr(34)", "chr(92)"
+        k2 = f"replace(k, {bs}, concat({bs}, {bs}))"
+        one = (f"CASE WHEN contains(k, {q}) AND NOT contains(k, {dq}) THEN concat({dq}, {k2}, {dq}) "
+               f"ELSE concat({q}, replace({k2}, {q}, concat({bs}, {q})), {q}) END")
+        return F.expr(f"concat('[', array_join(transform(({keys}), k -> {one}), ', '), ']')")
+
     def one(k):
         k2 = F.replace(k, F.lit("\\"), F.lit("\\\\"))
         dq = k.contains("'") & ~k.contains('"')

@@ -38,15 +38,19 @@ def missing_keys(cheap: Column, gold: Column) -> Column:
     return F.array_except(top_level_keys(json_block(gold)), top_level_keys(json_block(cheap)))
 
 
-def extraction_from(cb: Column, gb: Column, cb_ok: Column, gb_ok: Column, ck: Column, gk: Column) -> Column:
-    """V1 verdict from pre-computed parts: blocks, their validity, their key lists."""
-    miss = F.array_except(gk, ck)
+def extraction_from(cb: Column, gb: Column, cb_ok: Column, gb_ok: Column, ck: Column, gk: Column,
+                    miss: Column | None = None, miss_text: Column | None = None) -> Column:
+    """V1 verdict from pre-computed parts: blocks, their validity, their key lists
+    (and, optionally, the missing keys and their rendering)."""
+    miss = F.array_except(gk, ck) if miss is None else miss
     no_block = (cb == "") | (gb == "")
     bad = ~(cb_ok & gb_ok)
     return (F.when(no_block, _result(F.lit(False), F.lit(0.0), F.lit(C.MSG_EXTRACT_NO_BLOCK), "extraction"))
              .when(bad, _result(F.lit(False), F.lit(0.0), F.lit(C.MSG_EXTRACT_BAD_JSON), "extraction"))
              .when(F.size(miss) > 0, _result(F.lit(False), F.lit(0.0),
-                                             F.concat(F.lit(C.MSG_EXTRACT_MISSING), py_list_repr(miss)), "extraction"))
+                                             F.concat(F.lit(C.MSG_EXTRACT_MISSING),
+                                                      py_list_repr(miss) if miss_text is None else miss_text),
+                                             "extraction"))
              .otherwise(_result(F.lit(True), F.lit(1.0), F.lit(C.MSG_EXTRACT_OK), "extraction")))
 
 
@@ -185,7 +189,9 @@ def staged_verdicts(df: DataFrame, mode: str = "async", task: str = "task_type",
     s2 = s1.select("*", is_json(F.col("_cb")).alias("_cbv"), is_json(F.col("_gb")).alias("_gbv"),
                    top_level_keys(F.col("_cb")).alias("_ck"), top_level_keys(F.col("_gb")).alias("_gk"),
                    F.when(t == "summarization", j).alias("_j"))
-    ext = extraction_from(F.col("_cb"), F.col("_gb"), F.col("_cbv"), F.col("_gbv"), F.col("_ck"), F.col("_gk"))
+    s2 = s2.select("*", F.array_except(F.col("_gk"), F.col("_ck")).alias("_miss"))
+    ext = extraction_from(F.col("_cb"), F.col("_gb"), F.col("_cbv"), F.col("_gbv"), F.col("_ck"), F.col("_gk"),
+                          F.col("_miss"), py_list_repr("_miss"))
     v = _dispatch_from(t, ext, verify_classification(F.col(cheap), F.col(gold)), F.col("_j"), mode)
     out = s2.select(*df.columns, v.alias("_verdict"))
     if mode == "async" and drop_no_result:
