@@ -1,6 +1,7 @@
 """Plan lint over every registered query: no Cartesian products, no nested-loop
-joins, no window or sort that gathers all rows into one partition, and no Python
-UDF evaluation in the physical plan."""
+joins, no window or sort that gathers all rows into one partition, no Python
+UDF evaluation in the physical plan, and no filter that parses text (a filter on a
+parsed value is pushed into the scan and parses every row a second time)."""
 
 import re
 
@@ -32,3 +33,13 @@ def test_plan_is_distributed(spark, name):
         if "Exchange SinglePartition" in line:
             # only partial aggregates (one row per partition) may meet in one partition
             assert "partial_" in lines[i + 1], f"{name}: {lines[i + 1][:200]}"
+
+
+PARSING_FILTER = re.compile(r"^[\s+\-:]*Filter .*(from_json|RLIKE|regexp_)")
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_no_filter_parses_text(spark, name):
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    bad = [line.strip()[:160] for line in plan.splitlines() if PARSING_FILTER.search(line)]
+    assert not bad, f"{name}: {bad}"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.json import is_json, py_list_repr, top_level_keys
+from ..functions.rows import keep_rows
 from ..functions.text import py_strip
 
 BLOCK_RE = r"(?s)\{.*\}"
@@ -195,11 +196,8 @@ def staged_verdicts(df: DataFrame, mode: str = "async", task: str = "task_type",
     v = _dispatch_from(t, ext, verify_classification(F.col(cheap), F.col(gold)), F.col("_j"), mode)
     out = s2.select(*df.columns, v.alias("_verdict"))
     if mode == "async" and drop_no_result:
-        # Rows without a verdict are dropped by a generator over a one-element array,
-        # not by a filter: a filter on the verdict would be pushed below the staged
-        # projections (down to the scan) and parse every payload a second time.
-        kept = F.filter(F.array(F.col("_verdict")), lambda x: x.isNotNull())
-        out = out.select(*df.columns, F.explode(kept).alias("_verdict"))
+        # not a filter: it would be pushed below the staged projections (see keep_rows)
+        out = keep_rows(out, F.col("_verdict").isNotNull())
     return out
 
 
@@ -215,9 +213,9 @@ def verify_pairs(pairs: DataFrame, mode: str = "async", key: str = "pair_id", ta
 def verdict_errors(pairs: DataFrame, key: str = "pair_id", task: str = "task_type",
                    judge: str = "judge_output") -> DataFrame:
     """V5 error output: summarization rows whose verdict gave no result."""
-    return (pairs.where(F.col(task) == "summarization")
-            .select(key, judge_verdict_async(F.col(judge)).alias("v"), F.col(judge))
-            .where(F.col("v").isNull()).select(key, F.col(judge).alias("judge_output")))
+    v = (pairs.where(F.col(task) == "summarization")
+         .select(key, judge_verdict_async(F.col(judge)).alias("v"), F.col(judge)))
+    return keep_rows(v, F.col("v").isNull()).select(key, F.col(judge).alias("judge_output"))
 
 
 def captured_savings(verdicts: DataFrame, gold_cost: str = "gold_cost", cheap_cost: str = "cheap_cost") -> Column:
@@ -227,6 +225,6 @@ def captured_savings(verdicts: DataFrame, gold_cost: str = "gold_cost", cheap_co
 
 def failure_feed(verdicts: DataFrame, key: str, prompt: str, assigned_tier: Column, true_tier: Column) -> DataFrame:
     """V9: failed verdicts as routing-failure rows (input of S2 / D14)."""
-    return verdicts.where(~F.col("passed")).select(
+    return keep_rows(verdicts, ~F.col("passed")).select(
         F.col(key).alias("id"), F.col(prompt).alias("prompt"),
         assigned_tier.cast("int").alias("assigned_tier"), true_tier.cast("int").alias("true_tier"))

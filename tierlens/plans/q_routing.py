@@ -230,12 +230,14 @@ def q_v1(spark, sf_dir):
     f"WHERE task_type = 'extraction' AND json_valid({O.sql_json_block('cheap_output')}) "
     f"AND json_valid({O.sql_json_block('gold_output')})"))
 def q_v2(spark, sf_dir):
-    from ..functions.json import is_json
-    p = _pairs(spark, sf_dir).where(
-        (F.col("task_type") == "extraction") & is_json(V.json_block(F.col("cheap_output")))
-        & is_json(V.json_block(F.col("gold_output"))))
-    m = V.missing_keys(F.col("cheap_output"), F.col("gold_output"))
-    return p.select("pair_id", m.alias("missing_keys"), F.size(m).alias("n_missing"))
+    from ..functions.json import is_json, top_level_keys
+    from ..functions.rows import keep_rows
+    p = _pairs(spark, sf_dir).where(F.col("task_type") == "extraction")
+    b = p.select("pair_id", V.json_block(F.col("cheap_output")).alias("_cb"),
+                 V.json_block(F.col("gold_output")).alias("_gb"))
+    b = keep_rows(b, is_json(F.col("_cb")) & is_json(F.col("_gb")))
+    m = F.array_except(top_level_keys(F.col("_gb")), top_level_keys(F.col("_cb")))
+    return b.select("pair_id", m.alias("missing_keys"), F.size(m).alias("n_missing"))
 
 
 @register("v3_classification_check", _v_query(f"{_c[0]} AS passed, {_c[1]} AS score, {_c[2]} AS reason"))
