@@ -228,3 +228,14 @@ def test_py_list_repr_sql_and_column_forms_match_python(spark):
     rows = df.select(py_list_repr("k").alias("s"), py_list_repr(F.col("k")).alias("c")).collect()
     assert [(r.s, r.c) for r in rows[:2]] == [(repr(keys), repr(keys)), ("[]", "[]")]
     assert rows[2].s == rows[2].c
+
+
+def test_keep_rows_is_a_filter_without_pushdown(spark):
+    from tierlens.functions.rows import keep_rows
+    df = spark.createDataFrame([(1, True, "a"), (2, False, "b"), (3, None, "c"), (4, True, None)],
+                               "id long, f boolean, s string")
+    kept = keep_rows(df, F.col("f"))
+    assert kept.columns == df.columns
+    assert sorted(kept.collect()) == sorted(df.where("f").collect())
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" not in plan
