@@ -18,24 +18,23 @@ def request_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _logs(ev: DataFrame, raw: bool) -> DataFrame:
-    eid = F.col("event_id")
-    d10 = eid % 10
-    err_esc = (F.col("event_type") == "error") & (eid % 4 == 0)
-    prompt = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    escalated = F.when((d10 < 9) & err_esc, 1).otherwise(0)
-    return ev.select(
-        eid.alias("id"),
-        F.col("ts").alias("timestamp"),
-        prompt.alias("prompt") if raw else F.sha2(prompt, 256).alias("prompt_hash"),
-        F.when(d10 < 6, 1).when(d10 < 9, 2).otherwise(3).alias("complexity_tier_assigned"),
-        F.when(d10 == 9, "gpt-4o").when(err_esc, "gpt-4o (Escalated)")
-         .when(d10 >= 6, "gpt-4o-mini").when(d10 == 5, "llama3.1:8b")
-         .otherwise("claude-3-haiku").alias("routed_model"),
-        (F.col("value") / 100000).alias("cost"),
-        ((eid % 200).cast("double") / 100).alias("latency"),
-        F.when((d10 < 9) & (eid % 5 == 1), F.lit(None).cast("double"))
-         .otherwise(1 + ((eid * 37) % 401).cast("double") / 100).alias("quality_score"),
-        (escalated == 1).alias("was_escalated") if raw else escalated.alias("was_escalated"),
+    # one SQL projection (a single call into the JVM to build it)
+    prompt = "concat('u', CAST(user_id AS STRING))"
+    err_esc = "(event_type = 'error' AND event_id % 4 = 0)"
+    escalated = f"CASE WHEN event_id % 10 < 9 AND {err_esc} THEN 1 ELSE 0 END"
+    return ev.selectExpr(
+        "event_id AS id",
+        "ts AS timestamp",
+        f"{prompt} AS prompt" if raw else f"sha2({prompt}, 256) AS prompt_hash",
+        "CASE WHEN event_id % 10 < 6 THEN 1 WHEN event_id % 10 < 9 THEN 2 ELSE 3 END AS complexity_tier_assigned",
+        f"CASE WHEN event_id % 10 = 9 THEN 'gpt-4o' WHEN {err_esc} THEN 'gpt-4o (Escalated)' "
+        "WHEN event_id % 10 >= 6 THEN 'gpt-4o-mini' WHEN event_id % 10 = 5 THEN 'llama3.1:8b' "
+        "ELSE 'claude-3-haiku' END AS routed_model",
+        "value / 100000 AS cost",
+        "CAST(event_id % 200 AS DOUBLE) / 100 AS latency",
+        "CASE WHEN event_id % 10 < 9 AND event_id % 5 = 1 THEN CAST(NULL AS DOUBLE) "
+        "ELSE 1 + CAST((event_id * 37) % 401 AS DOUBLE) / 100 END AS quality_score",
+        f"({escalated}) = 1 AS was_escalated" if raw else f"{escalated} AS was_escalated",
     )
 
 
@@ -49,40 +48,36 @@ def verification_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheap/gold/judge outputs per request, from ``orders`` (verification is CPU-heavy
     per row: JSON and regex work, so the rows are spread over the cores)."""
     o = read(spark, sf_dir, "orders", spread=True)
-    k = F.col("o_orderkey")
-    st = F.col("o_orderstatus")
-    pr = F.col("o_orderpriority")
+    # one SQL projection (a single call into the JVM to build it); chr(10) is a
+    # newline and chr(39) a single quote
+    k, st, pr = "o_orderkey", "o_orderstatus", "o_orderpriority"
     extraction_cheap = (
-        F.when(k % 7 == 0, F.concat(F.lit('{"name": "'), st, F.lit('", "amount": 1, "date": "d"}')))
-         .when(k % 7 == 1, F.concat(F.lit('Sure! {"name": "'), st, F.lit('",\n "date": "d", "amount": 2} done')))
-         .when(k % 7 == 2, F.concat(F.lit('{"name": "'), st, F.lit('"}')))
-         .when(k % 7 == 3, F.lit('{"name": 1} and {"date": 2, "amount": 3}'))
-         .when(k % 7 == 4, F.lit("no structured output"))
-         .when(k % 7 == 5, F.lit("{}"))
-         .otherwise(F.lit("{'name': 1}")))
-    cheap = (F.when(k % 4 == 0, extraction_cheap)
-              .when(k % 5 == 0, F.lit("something else"))
-              .when(k % 5 == 1, F.lit(""))
-              .otherwise(F.concat(F.lit("The label is "), F.upper(pr), F.lit("."))))
-    judge = (F.when(k % 6 == 0, F.lit('{"score": 4, "reason": "ok"}'))
-              .when(k % 6 == 1, F.lit('{"score": 3.5}'))
-              .when(k % 6 == 2, F.lit('{"reason": "none"}'))
-              .when(k % 6 == 3, F.lit("Score: 5"))
-              .when(k % 6 == 4, F.lit('{"score": "4.5", "reason": "str"}'))
-              .otherwise(F.lit('{"score": "high", "reason": "bad"}')))
-    return o.select(
-        k.alias("pair_id"),
-        F.when(k % 4 == 0, "extraction").when(k % 4 == 1, "classification")
-         .when(k % 4 == 2, "summarization").otherwise("translation").alias("task_type"),
-        F.concat(F.lit("Order "), k.cast("string"), F.lit(" "), pr).alias("original_prompt"),
-        cheap.alias("cheap_output"),
-        F.when(k % 4 == 0, F.concat(F.lit('{"name": "'), st, F.lit('", "date": "d", "amount": 1}')))
-         .otherwise(pr).alias("gold_output"),
-        judge.alias("judge_output"),
-        (F.col("o_totalprice") / 100000000).alias("cheap_cost"),
-        (F.col("o_totalprice") / 10000000).alias("gold_cost"),
-        (1 + k % 2).cast("int").alias("predicted_tier"),
-        (k % 9 == 0).alias("primary_failed"),
+        f"CASE WHEN {k} % 7 = 0 THEN concat('{{\"name\": \"', {st}, '\", \"amount\": 1, \"date\": \"d\"}}') "
+        f"WHEN {k} % 7 = 1 THEN concat('Sure! {{\"name\": \"', {st}, '\",', chr(10), ' \"date\": \"d\", \"amount\": 2}} done') "
+        f"WHEN {k} % 7 = 2 THEN concat('{{\"name\": \"', {st}, '\"}}') "
+        f"WHEN {k} % 7 = 3 THEN '{{\"name\": 1}} and {{\"date\": 2, \"amount\": 3}}' "
+        f"WHEN {k} % 7 = 4 THEN 'no structured output' "
+        f"WHEN {k} % 7 = 5 THEN '{{}}' "
+        f"ELSE concat('{{', chr(39), 'name', chr(39), ': 1}}') END")
+    return o.selectExpr(
+        f"{k} AS pair_id",
+        f"CASE WHEN {k} % 4 = 0 THEN 'extraction' WHEN {k} % 4 = 1 THEN 'classification' "
+        f"WHEN {k} % 4 = 2 THEN 'summarization' ELSE 'translation' END AS task_type",
+        f"concat('Order ', CAST({k} AS STRING), ' ', {pr}) AS original_prompt",
+        f"CASE WHEN {k} % 4 = 0 THEN {extraction_cheap} WHEN {k} % 5 = 0 THEN 'something else' "
+        f"WHEN {k} % 5 = 1 THEN '' ELSE concat('The label is ', upper({pr}), '.') END AS cheap_output",
+        f"CASE WHEN {k} % 4 = 0 THEN concat('{{\"name\": \"', {st}, '\", \"date\": \"d\", \"amount\": 1}}') "
+        f"ELSE {pr} END AS gold_output",
+        f"CASE WHEN {k} % 6 = 0 THEN '{{\"score\": 4, \"reason\": \"ok\"}}' "
+        f"WHEN {k} % 6 = 1 THEN '{{\"score\": 3.5}}' "
+        f"WHEN {k} % 6 = 2 THEN '{{\"reason\": \"none\"}}' "
+        f"WHEN {k} % 6 = 3 THEN 'Score: 5' "
+        f"WHEN {k} % 6 = 4 THEN '{{\"score\": \"4.5\", \"reason\": \"str\"}}' "
+        f"ELSE '{{\"score\": \"high\", \"reason\": \"bad\"}}' END AS judge_output",
+        "o_totalprice / 100000000 AS cheap_cost",
+        "o_totalprice / 10000000 AS gold_cost",
+        f"CAST(1 + {k} % 2 AS INT) AS predicted_tier",
+        f"{k} % 9 = 0 AS primary_failed",
     )
 
 
