@@ -38,7 +38,7 @@ from .common import map_text, pick
 from .unicode_words import byte_chars, looked_up, pattern, tier
 
 SHORT = 40
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 NONE = np.int32(2**31 - 1)
 
 

@@ -43,7 +43,7 @@ MIN_BITS = 16
 BLOCK = 1024
 SEGMENT = 1 << 17
 SHARD_IDS = 8 << 20
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 
 
 class LibraryIds:
