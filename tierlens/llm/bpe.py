@@ -17,7 +17,7 @@ blank).  Special strings inside a text become their ids, as in the library.
 A null or empty text has no ids and decodes to the empty text; unknown ids are left
 out by decoding; repeated rows give repeated results; an empty table an empty result;
 other columns are ignored.  Each distinct word of a task is merged once; the word
-cache is emptied when it passes ``CACHE_WORDS``, so memory is bounded.
+caches hold at most twice ``CACHE_WORDS`` entries and some, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ import json
 import re
 from functools import cache
 from hashlib import blake2b
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_text, pick
-from .unicode_words import byte_chars, looked_up, pattern, tier
+from .unicode_words import Recent, byte_chars, joined, looked_up, pattern, tier
 
 SHORT = 40
 CACHE_WORDS = 200_000
@@ -77,8 +76,7 @@ class RankBPE:
         self.keys, self.ranks, self.made = np.append(keys, np.int64(2**62)), np.append(first, NONE).astype(np.int32), made
         self.pair_rank = dict(zip(keys.tolist(), first.tolist()))
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.cache: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunks = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.size + b
@@ -146,28 +144,24 @@ class RankBPE:
                 heapq.heappush(heap, (r, h, part[h], part[i]))
         return np.array([p for p in part if p >= 0], dtype="<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> dict[str, bytes]:
         by_len: dict[int, list[str]] = {}
+        out = {}
         for w in words:
             b = w.encode("utf-8", "surrogatepass")
             if len(b) > SHORT:
-                self.cache[w] = self.merge_long(b)
+                out[w] = self.merge_long(b)
             else:
                 by_len.setdefault(len(b), []).append(w)
         for same in by_len.values():
             for i in range(0, len(same), 20_000):
                 some = same[i:i + 20_000]
-                self.cache.update(zip(some, self.merge_short([w.encode("utf-8", "surrogatepass") for w in some])))
+                out.update(zip(some, self.merge_short([w.encode("utf-8", "surrogatepass") for w in some])))
+        return out
 
-    def _chunk_ids(self, chunks: set[str]) -> None:
+    def _chunk_ids(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of runs of characters other than white space: splitting never joins two runs."""
-        words = {c: pattern(WORD, tier(c)).findall(c) for c in chunks}
-        new: set[str] = set()
-        for ws in words.values():
-            new.update(filterfalse(self.cache.__contains__, ws))
-        self.learn(new)
-        get = self.cache.__getitem__
-        self.chunks.update([(c, get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))) for c, ws in words.items()])
+        return joined(chunks, [pattern(WORD, tier(c)).findall(c) for c in chunks], self.words, self.learn)
 
     @staticmethod
     def _runs(text: str) -> list[str]:
@@ -184,11 +178,8 @@ class RankBPE:
         cut = self.split_special
         parts = [[t or ""] if t is None or cut is None or "<" not in t else cut.split(t) for t in texts]
         todo = [sum([[p] if i % 2 else self._runs(p) for i, p in enumerate(ps)], []) for ps in parts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        if len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
-        self.chunks.update([(t, i.to_bytes(4, "little")) for t, i in self.special.items()])
+        # a special string as a part of its own stands for itself
+        self.chunks.new.update([(t, i.to_bytes(4, "little")) for t, i in self.special.items()])
         return [b"".join(x) for x in looked_up(todo, self.chunks, self._chunk_ids)]
 
     def decode(self, ids: list[bytes | None]) -> list[str]:

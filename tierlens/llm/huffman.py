@@ -22,8 +22,8 @@ segments; its checksum is combined from theirs.
 
 from __future__ import annotations
 
-import re
 import zlib
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -37,13 +37,15 @@ from pyspark.sql import types as T
 from tierlens.session import scratch_path
 
 from .common import map_text, pick
-from .unicode_words import looked_up
+from .unicode_words import Recent, byte_chars, joined, looked_up, members, pattern, tier
 
 MIN_BITS = 16
 BLOCK = 1024
 SEGMENT = 1 << 17
 SHARD_IDS = 8 << 20
 CACHE_CHUNKS = 200_000
+#: Fixed value: the byte-level vocabularies' split into endings, words, numbers, marks, blanks.
+SPLIT = "'(?:s|t|re|ve|m|ll|d)| ?[%L]+| ?[%N]+| ?[^%S%L%N]+|[%S]+(?![^%S])|[%S]+"
 
 
 class LibraryIds:
@@ -64,28 +66,26 @@ class LibraryIds:
         spec = json.loads(spec)
         pre = spec["pre_tokenizer"] or {}
         self.by_parts = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
-        marks = [re.escape(t["content"]) for t in spec["added_tokens"]]
-        self.whole = re.compile("|".join([*marks, r"  ", r"\s \s", "[\x1c-\x1f]"]))
-        self.pre, self.bpe = self.lib.pre_tokenizer, self.lib.model
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, parts: set[str]) -> None:
-        for p in parts:
-            out = []
-            for w, _ in self.pre.pre_tokenize_str(p):
-                ids = self.words.get(w)
-                if ids is None:
-                    ids = self.words[w] = np.array([t.id for t in self.bpe.tokenize(w)], "<u4").tobytes()
-                out.append(ids)
-            self.known[p] = b"".join(out)
+        white = [chr(c) for c in members(r"\s", 0x10000) if c != 32]
+        # where one of these occurs, cutting before blanks might change the split
+        self.odd = [*[t["content"] for t in spec["added_tokens"]], "  ", *[w + " " for w in white]]
+        self.bpe, self.chars = self.lib.model, byte_chars()
+        self.known, self.words = Recent(CACHE_CHUNKS), Recent(CACHE_CHUNKS)
+
+    def _word_ids(self, words: list[str]) -> dict[str, bytes]:
+        chars, tokenize = self.chars, self.bpe.tokenize
+        out = {}
+        for w in words:
+            ids = [t.id for t in tokenize("".join([chars[b] for b in w.encode()]))]
+            out[w] = pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        return joined(parts, [pattern(SPLIT, tier(p)).findall(p) for p in parts], self.words, self._word_ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if max(len(self.known), len(self.words)) > CACHE_CHUNKS:
-            self.known.clear()
-            self.words.clear()
         texts = [t or "" for t in texts]
-        whole = [not self.by_parts or bool(self.whole.search(t)) for t in texts]
+        whole = [not self.by_parts or any(x in t for x in self.odd) for t in texts]
         parts = [[] if w or not t else self._cut(t) for t, w in zip(texts, whole)]
         out = [b"".join(x) for x in looked_up(parts, self.known, self._learn)]
         for i, w in enumerate(whole):

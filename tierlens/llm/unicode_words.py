@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
-from itertools import groupby
+from itertools import chain, groupby
 
 #: Patterns over fewer code points match faster: Latin, the basic plane, everything.
 TIERS = (0x250, 0x10000, 0x110000)
@@ -57,11 +57,44 @@ def byte_chars() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-def looked_up(texts: list[list[str]], known: dict[str, bytes], learn) -> list[list[bytes]]:
-    """The values of all parts of all texts; ``learn(parts)`` first adds those not known."""
-    got = [list(map(known.get, parts)) for parts in texts]
+class Recent:
+    """A bounded cache in two ages: when the new one is full it becomes the old one, and
+    what is asked for again moves back, so common words stay."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def tidy(self) -> None:
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+
+    def ensure(self, keys, learn) -> None:
+        """Afterwards ``new`` holds all keys; ``learn(keys)`` gives a dict of unknown ones."""
+        unknown = []
+        for k in keys:
+            v = self.old.get(k)
+            if v is None:
+                unknown.append(k)
+            else:
+                self.new[k] = v
+        if unknown:
+            self.new.update(learn(unknown))
+
+
+def looked_up(texts: list[list[str]], known: Recent, learn) -> list[list[bytes]]:
+    """The values of all parts of all texts; ``learn`` gives those not known."""
+    known.tidy()
+    got = [list(map(known.new.get, parts)) for parts in texts]
     holes = [i for i, values in enumerate(got) if None in values]
-    learn({p for i in holes for p, v in zip(texts[i], got[i]) if v is None})
+    known.ensure({p for i in holes for p, v in zip(texts[i], got[i]) if v is None}, learn)
     for i in holes:
-        got[i] = list(map(known.__getitem__, texts[i]))
+        got[i] = list(map(known.new.__getitem__, texts[i]))
     return got
+
+
+def joined(parts: list[str], words: list[list[str]], known: Recent, learn) -> dict[str, bytes]:
+    """For each part the values of its words, put together."""
+    known.tidy()
+    known.ensure(set(chain.from_iterable(words)).difference(known.new), learn)
+    get = known.new.__getitem__
+    return {p: get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for p, w in zip(parts, words)}
