@@ -65,3 +65,32 @@ def redacted(text, spans, mark="<secret>"):
             out += text[done:s] + mark
         done = max(done, e)
     return out + text[done:]
+
+
+def patience(a, b):
+    """Patience alignment written recursively: number of matched words and their range in b."""
+    def lis(js):
+        best = [[j] for j in js]
+        for k in range(len(js)):
+            for m in range(k):
+                if js[m] < js[k] and len(best[m]) + 1 > len(best[k]):
+                    best[k] = best[m] + [js[k]]
+        return max(best, key=len, default=[])
+
+    def go(a, b, off):
+        both = [w for w in a if a.count(w) == 1 and b.count(w) == 1]
+        chain = lis([b.index(w) for w in both])
+        if chain:
+            out, i, j = [], 0, 0
+            for y in chain:
+                x = a.index(b[y])
+                out += go(a[i:x], b[j:y], off + j) + [off + y]
+                i, j = x + 1, y + 1
+            return out + go(a[i:], b[j:], off + j)
+        head = tail = 0
+        while head < min(len(a), len(b)) and a[head] == b[head]:
+            head += 1
+        while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+            tail += 1
+        return [off + k for k in range(head)] + [off + len(b) - 1 - k for k in range(tail)][::-1]
+    return go(a, b, 0)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tierlens.llm import bpe, chat_format, decontaminate, huffman, jaccard, langid, quality, secrets, url_filter
+from tierlens.llm import bpe, chat_format, decontaminate, huffman, jaccard, langid, license_scan, quality, secrets, url_filter
 from tierlens.llm.common import position
 
 from ..conftest import SF_SMALL
@@ -51,6 +51,47 @@ def test_language_id_odd(odd, none, spark):
     assert kept.columns == odd.columns and kept.count() == 8
 
 
+# ---------------------------------------------------------------- 2 licence scan
+def test_patience_alignment_against_brute_force():
+    random.seed(8)
+    for _ in range(400):
+        a, b = ([random.randrange(12) for _ in range(random.randrange(25))] for _ in range(2))
+        pairs = license_scan.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    for _ in range(200):
+        a = random.sample(range(40), 20)
+        b = [w if random.random() < 0.8 else 100 + k for k, w in enumerate(a)] + random.sample(range(200, 300), 5)
+        assert len(license_scan.align(a, b)) == len(brute.patience(a, b))
+
+
+def test_licenses(spark, odd, none):
+    t = license_scan.TEMPLATES
+    noise = "the of license under and to work version released " * 60
+    gapped = t["MIT"].replace("free of charge, ", "").replace("merge", "blend")
+    ts = [f"{noise} {t['MIT']} {noise}", f"x {gapped} y", f"{noise}Released under the MIT License. {noise}", noise, f"a {t['Apache-2.0']}", "Licensed under CC BY-NC 4.0",
+          t["GPL-3.0-line"].upper(), "Permission is hereby granted", f"{t['ISC']} {noise} {t['ISC']}", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(ts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    names = {i: [f.license for f in r.findings] for i, r in got.items()}
+    assert names[0] == ["MIT"] and names[1] == ["MIT"] and names[2] == ["MIT-line"] and names[3] == [] and names[5] == ["CC-BY-NC-4.0-line"]
+    assert sorted(names[4]) == ["Apache-2.0", "Apache-2.0-line"] and names[6] == ["GPL-3.0-line"] and names[7] == [] and names[8] == ["ISC", "ISC"]
+    for i, x in enumerate(ts):
+        for f in got[i].findings:
+            stretch = license_scan.words(x.encode())[f.start:f.end]
+            template = license_scan.words(t[f.license].encode())
+            assert abs(len(brute.patience(template, stretch)) / len(template) - f.coverage) < 0.1 and f.coverage >= 0.8
+    assert license_scan.scan(odd).count() == 12 and license_scan.scan(none).count() == 0
+
+
+def test_license_query_finds_every_notice_line(spark):
+    from tierlens.llm.queries import op2_license_scan
+    lines = {k: v for k, v in license_scan.TEMPLATES.items() if k.endswith("-line")}
+    docs = dict(texts(spark.read.parquet(f"{SF_SMALL}/documents.parquet")))
+    for r in op2_license_scan(spark, SF_SMALL).collect():
+        assert {k for k, v in lines.items() if v in docs[r.doc_id]} <= {x.split(":")[0] for x in r.licenses.split(",")}
+        assert r.n_licenses == 0 or "licen" in docs[r.doc_id].lower()
+
+
 # ---------------------------------------------------------------- 3 decontamination
 def bench(spark):
     long = " ".join(f"w{i}" for i in range(30))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, huffman, jaccard, langid, oracle, quality, secrets, url_filter
+from . import bpe, chat_format, decontaminate, huffman, jaccard, langid, license_scan, oracle, quality, secrets, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = license_scan.scan(table(spark, sf_dir, "documents"))
+    text = F.transform("findings", lambda f: F.concat_ws(":", f["license"], f["start"], f["end"]))
+    return r.select("doc_id", "n_words", F.size("findings").cast("long").alias("n_licenses"), F.array_join(text, ",").alias("licenses"),
+                    F.array_max(F.transform("findings", lambda f: f["coverage"])).alias("coverage"))
+
+
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
