@@ -3,17 +3,18 @@
 import pytest
 
 import __spark_entry__ as E
+from tierlens.plans import catalog
 from tools.oracle_check import rows_of
 
 from .conftest import SF_SMALL
 
-ORACLE = E.oracle_sql()
+ORACLE = catalog.ORACLE
 NAMES = sorted(ORACLE)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
-    sdf = E.queries()[name](spark, SF_SMALL)
+    sdf = catalog.QUERIES[name](spark, SF_SMALL)
     scols, srows = sdf.columns, [tuple(r) for r in sdf.collect()]
     cur = duck.execute(ORACLE[name])
     dcols = [d[0] for d in cur.description]

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from tierlens.plans import catalog
 
 from .conftest import SF_SMALL
 
@@ -15,7 +15,7 @@ SKIP = {"d8_train_and_evaluate", "d9_model_route", "d16_retrain",   # ML fit run
         "w3_continuous_verification", "w4_stream_request_telemetry", "w5_live_daily_rollup",
         "w6_stream_failure_capture", "s1_s3_request_log_roundtrip", "s1_day_partitions",
         "s2_s4_failures_roundtrip"}                                  # write first, then scan
-NAMES = sorted(n for n in E.queries() if n not in SKIP)
+NAMES = sorted(n for n in catalog.QUERIES if n not in SKIP)
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas"]
 UNPARTITIONED_WINDOW = re.compile(r"Window \[.*\], \[\], \[")
@@ -23,7 +23,7 @@ UNPARTITIONED_WINDOW = re.compile(r"Window \[.*\], \[\], \[")
 
 @pytest.mark.parametrize("name", NAMES)
 def test_plan_is_distributed(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = catalog.QUERIES[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     found = [f for f in FORBIDDEN if f in plan]
     assert not found, f"{name}: {found}"
@@ -40,6 +40,6 @@ PARSING_FILTER = re.compile(r"^[\s+\-:]*Filter .*(from_json|RLIKE|regexp_)")
 
 @pytest.mark.parametrize("name", NAMES)
 def test_no_filter_parses_text(spark, name):
-    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     bad = [line.strip()[:160] for line in plan.splitlines() if PARSING_FILTER.search(line)]
     assert not bad, f"{name}: {bad}"

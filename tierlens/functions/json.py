@@ -4,7 +4,7 @@ Spark's JSON reader is lenient about trailing text when reading a single value,
 so validity is decided by parsing the text inside two different wrappers: as the
 only element of an array and as the value of an object field.  Each wrapper alone
 can be fooled by crafted text; text that parses cleanly inside both is one JSON
-value.  ``NaN`` is accepted and duplicate keys are allowed, as in Python.
+value.  ``NaN``, ``Infinity`` and ``-Infinity`` are accepted and duplicate keys are allowed, as in Python.
 """
 
 from __future__ import annotations
@@ -20,7 +20,11 @@ def is_json(s: Column) -> Column:
     arr = F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>", _STRICT)
     obj = F.from_json(F.concat(F.lit('{"w":'), s, F.lit("}")), "w string, _corrupt_record string",
                       {**_STRICT, "columnNameOfCorruptRecord": "_corrupt_record"})
-    return F.coalesce((F.size(arr) == 1) & obj["_corrupt_record"].isNull(), F.lit(False))
+    # the reader also takes +Infinity and INF, which Python does not, outside strings
+    suspect = s.contains("+I") | s.contains("INF")
+    bare = F.regexp_replace(s, r'"(?:[^"\\]|\\.)*"', '""')
+    number_ok = ~suspect | ~bare.rlike("[+]I|INF")
+    return F.coalesce((F.size(arr) == 1) & obj["_corrupt_record"].isNull() & number_ok, F.lit(False))
 
 
 def top_level_keys(obj_text: Column) -> Column:

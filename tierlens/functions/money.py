@@ -9,7 +9,9 @@ MONEY = "decimal(20,10)"
 
 
 def money(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast(MONEY)
+    """Decimal value; NaN, infinity and values beyond the type give NULL instead of an error
+    (the log table rejects such costs when they are written)."""
+    return (F.col(c) if isinstance(c, str) else c).try_cast(MONEY)
 
 
 def money_sum(c: Column | str) -> Column:

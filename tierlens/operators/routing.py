@@ -26,15 +26,15 @@ def resolve_route(df: DataFrame, policy: Policy, tier: str = "tier") -> DataFram
 def lookup_model(df: DataFrame, model_ref: str, prefix: str = "", strict: bool = True) -> DataFrame:
     """R2: registry row for a model reference (registry key or aliased policy id).
 
-    strict: rows whose reference resolves to no registry key are dropped here and
-    reported by :func:`unresolved_models`; the dimension-level check is R3.
+    No row is lost: where the reference resolves to no registry key the registry columns
+    are NULL, and with ``strict`` a pipeline sends such rows to :func:`unresolved_models`,
+    its error output; the dimension-level check is R3.
     """
     spark = df.sparkSession
     reg = model_registry(spark)
     dim = model_aliases(spark).join(reg, F.col("registry_key") == F.col("key")).drop("key")
     dim = dim.select(*[F.col(c).alias(prefix + c) for c in dim.columns])
-    how = "inner" if strict else "left"
-    return df.join(F.broadcast(dim), F.col(model_ref) == F.col(prefix + "model_ref"), how).drop(prefix + "model_ref")
+    return df.join(F.broadcast(dim), F.col(model_ref) == F.col(prefix + "model_ref"), "left").drop(prefix + "model_ref")
 
 
 def unresolved_models(df: DataFrame, model_ref: str) -> DataFrame:
@@ -58,11 +58,12 @@ def policy_lint(policy: Policy, spark, aliases: bool = False) -> DataFrame:
 
 def with_cost(df: DataFrame, model_key: str = "model_key", tokens_in: str = "input_tokens",
               tokens_out: str = "output_tokens") -> DataFrame:
-    """cost = in_tokens * input price + out_tokens * output price (strict lookup)."""
+    """cost = in_tokens * input price + out_tokens * output price; a row whose model
+    is not in the registry stays, with NULL model_id and cost."""
     spark = df.sparkSession
     reg = model_registry(spark).select(F.col("key").alias("_k"), F.col("model_id").alias("model_id"),
                                        "cost_per_input_token", "cost_per_output_token")
-    j = df.join(F.broadcast(reg), F.col(model_key) == F.col("_k"))
+    j = df.join(F.broadcast(reg), F.col(model_key) == F.col("_k"), "left")
     return j.select(*df.columns, "model_id",
                     (F.col(tokens_in) * F.col("cost_per_input_token")
                      + F.col(tokens_out) * F.col("cost_per_output_token")).alias("cost"))
@@ -71,11 +72,12 @@ def with_cost(df: DataFrame, model_key: str = "model_key", tokens_in: str = "inp
 def apply_fallback(requests: DataFrame, fallbacks: DataFrame, key: str, failed: str,
                    fields: list[str]) -> DataFrame:
     """When the primary call failed, take the fallback response's ``fields``,
-    set tier 3 and confidence 1.0.  ``fallbacks`` has ``key`` and ``fields``."""
-    fb = fallbacks.select(key, *[F.col(f).alias("_fb_" + f) for f in fields])
+    set tier 3 and confidence 1.0.  ``fallbacks`` has ``key`` and ``fields``.  A failed
+    call without a fallback row was not served: all ``fields`` are NULL (error state)."""
+    fb = fallbacks.select(key, *[F.col(f).alias("_fb_" + f) for f in fields], F.lit(True).alias("_fb"))
     j = requests.join(fb, key, "left")
-    used = F.col(failed) & F.col("_fb_" + fields[0]).isNotNull()
-    out = [F.when(used, F.col("_fb_" + f)).otherwise(F.col(f)).alias(f) for f in fields]
+    used = F.col(failed) & F.coalesce("_fb", F.lit(False))
+    out = [F.when(F.col(failed), F.col("_fb_" + f)).otherwise(F.col(f)).alias(f) for f in fields]
     return j.select(*[c for c in requests.columns if c not in fields], *out,
                     used.alias("used_fallback"))
 

@@ -59,9 +59,10 @@ def headline_kpis(logs: DataFrame) -> DataFrame:
 
 
 def spend_by(logs: DataFrame, grain: str) -> DataFrame:
-    """T5 (grain 'day') / T6 (grain 'week'): actual vs baseline spend per period."""
+    """T5 (grain 'day') / T6 (grain 'week'): actual vs baseline spend per period; rows
+    without a timestamp belong to no period."""
     key = {"day": day_col(), "week": week_col()}[grain].alias(grain)
-    return (logs.select(key, "cost", baseline_cost_col().alias("b"))
+    return (logs.select(key, "cost", baseline_cost_col().alias("b")).where(F.col(grain).isNotNull())
             .groupBy(grain)
             .agg(money_sum("cost").alias("cost"), money_sum("b").alias("gpt4o_baseline_cost")))
 
@@ -112,8 +113,9 @@ def quality_histogram(logs: DataFrame) -> DataFrame:
 
 
 def escalation_rate(logs: DataFrame) -> DataFrame:
-    """Per day, requests, escalations and the escalation rate in percent."""
-    g = (logs.select(day_col().alias("day"), "id", "was_escalated").groupBy("day")
+    """Per day, requests, escalations and the escalation rate in percent (rows without
+    a timestamp belong to no day)."""
+    g = (logs.select(day_col().alias("day"), "id", "was_escalated").where("day IS NOT NULL").groupBy("day")
          .agg(F.count("id").alias("total_count"),
               F.coalesce(F.sum("was_escalated"), F.lit(0)).cast("long").alias("escalated_count")))
     return g.select("day", "total_count", "escalated_count",

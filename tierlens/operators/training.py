@@ -70,7 +70,7 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str],
                             F.col("_b")).alias("m"))
               .select(label, F.col("m.b").alias("_bs"), F.col("m.r").alias("_r")))
 
-    rows = base.join(F.broadcast(bounds), label, "left")
+    rows = base.join(bounds, label, "left")
     decided = (rows.where(F.col("_bs").isNull() | (F.col("_b") != F.col("_bs")))
                .select(*df.columns, F.coalesce(F.col("_b") < F.col("_bs"), F.lit(False)).alias("is_test")))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", *key_cols))
@@ -90,7 +90,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str) -> DataFrame:
-    return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)
+    return df.join(class_weights(df, label).select(label, "weight"), label)
 
 
 # --------------------------------------------------------------------------- D8 / S7

@@ -99,7 +99,8 @@ def judge_from_parts(verdict: Column, valid: Column, parsed: Column, st: Column,
     score = (F.when(sv.isNull(), F.lit(0.0))
               .when(st == "BOOLEAN", F.try_variant_get(sv, "$", "boolean").cast("double"))
               .when(numeric, F.try_variant_get(sv, "$", "double"))
-              .when(str_ok, F.replace(py_strip(s_text), F.lit("_"), F.lit("")).cast("double")))
+              .when(str_ok & s_text.rlike("(?i)nan"), F.lit(float("nan")))
+              .when(str_ok, F.replace(py_strip(s_text), F.lit("_"), F.lit("")).try_cast("double")))
     score_ok = is_obj & (sv.isNull() | (st == "BOOLEAN") | numeric | str_ok)
     reason = (F.when(rt == "STRING", F.try_variant_get(rv, "$", "string"))
                .when(rt == "VOID", F.lit("None"))

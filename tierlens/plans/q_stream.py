@@ -17,7 +17,6 @@ from . import oracle as O
 from .q_routing import _dispatch_sql
 from .registry import register
 
-LANDING_ROWS_PER_FILE = 2500
 LOG_COLS = ", ".join(L.LOG_COLUMNS)
 
 
@@ -30,7 +29,7 @@ def _write_log(spark, sf_dir) -> str:
 
 def _landing(df, spark, name) -> str:
     path = scratch_path(spark, name)
-    df.write.option("maxRecordsPerFile", LANDING_ROWS_PER_FILE).parquet(path)
+    df.write.parquet(path)
     return path
 
 
@@ -100,7 +99,7 @@ def q_w2(spark, sf_dir):
 def q_w3(spark, sf_dir):
     log = _write_log(spark, sf_dir)
     out, ck = scratch_path(spark, "verdicts"), scratch_path(spark, "ck-w3")
-    W.continuous_verification(spark, log, fx_.verification_pairs(spark, sf_dir), out, ck, files_per_trigger=8)
+    W.continuous_verification(spark, log, fx_.verification_pairs(spark, sf_dir), out, ck)
     return W.read_verdicts(spark, out).select("id", "quality_score", "was_escalated")
 
 
@@ -110,7 +109,7 @@ def q_w4(spark, sf_dir):
     records = fx_.telemetry_records(spark, sf_dir)
     landing = _landing(records, spark, "landing-telemetry")
     log, ck = scratch_path(spark, "stream-log"), scratch_path(spark, "ck-w4")
-    W.stream_request_telemetry(spark, landing, records.schema, log, ck, files_per_trigger=2)
+    W.stream_request_telemetry(spark, landing, records.schema, log, ck)
     return L.scan_request_log(spark, log)
 
 
@@ -125,11 +124,15 @@ SELECT CAST(timestamp AS DATE) AS day, CAST(sum(CAST(cost AS {_M})) AS DOUBLE) A
   CAST(sum(CAST({_BASE} AS {_M})) AS DOUBLE) AS gpt4o_baseline_cost, count(id) AS total_count,
   CAST(sum(was_escalated) AS BIGINT) AS escalated_count,
   CAST(sum(was_escalated) AS DOUBLE) / CAST(count(id) AS DOUBLE) * 100.0 AS escalation_rate_pct
-FROM request_logs GROUP BY 1"""))
+FROM request_logs WHERE timestamp IS NOT NULL GROUP BY 1"""))
 def q_w5(spark, sf_dir):
-    log = _write_log(spark, sf_dir)
-    out, ck = scratch_path(spark, "rollup"), scratch_path(spark, "ck-w5")
-    W.live_daily_rollup(spark, log, out, ck)
+    """The later half of each month arrives first, then the earlier half: two runs."""
+    records = fx_.telemetry_records(spark, sf_dir)
+    late = F.coalesce(F.dayofmonth("timestamp") > 15, F.lit(False))
+    log, out, ck = (scratch_path(spark, n) for n in ("request-log", "rollup", "ck-w5"))
+    for part in (late, ~late):
+        L.append_request_telemetry(records.where(part), log)
+        W.live_daily_rollup(spark, log, out, ck)
     return W.read_live_rollup(spark, out)
 
 
@@ -140,6 +143,6 @@ def q_w6(spark, sf_dir):
     events = fx_.routing_failure_events(spark, sf_dir)
     landing = _landing(events, spark, "landing-failures")
     out, ck = scratch_path(spark, "stream-failures"), scratch_path(spark, "ck-w6")
-    W.stream_failure_capture(spark, landing, events.schema, out, ck, files_per_trigger=1)
+    W.stream_failure_capture(spark, landing, events.schema, out, ck)
     f = spark.read.schema(L.FAILURE_SCHEMA).parquet(out)
     return f.select("id", "assigned_tier", "true_tier", *L.FAILURE_SCHEMA.fieldNames()[4:9])

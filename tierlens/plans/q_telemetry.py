@@ -54,7 +54,7 @@ def _spend_sql(key_sql: str, name: str) -> str:
     return _logs_sql(f"""
 SELECT {key_sql} AS {name}, CAST(sum(CAST(cost AS {_M})) AS DOUBLE) AS cost,
   CAST(sum(CAST({_BASELINE_SQL} AS {_M})) AS DOUBLE) AS gpt4o_baseline_cost
-FROM request_logs GROUP BY 1""")
+FROM request_logs WHERE timestamp IS NOT NULL GROUP BY 1""")
 
 
 @register("t5_daily_spend", _spend_sql("CAST(timestamp AS DATE)", "day"))
@@ -94,6 +94,6 @@ def q_hist(spark, sf_dir):
 @register("t9_daily_escalation", _logs_sql("""
 SELECT CAST(timestamp AS DATE) AS day, count(id) AS total_count, CAST(coalesce(sum(was_escalated), 0) AS BIGINT) AS escalated_count,
   CAST(coalesce(sum(was_escalated), 0) AS DOUBLE) / CAST(count(id) AS DOUBLE) * 100.0 AS escalation_rate_pct
-FROM request_logs GROUP BY 1"""))
+FROM request_logs WHERE timestamp IS NOT NULL GROUP BY 1"""))
 def q_esc(spark, sf_dir):
     return T.escalation_rate(fx_.request_logs(spark, sf_dir))

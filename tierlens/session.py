@@ -35,7 +35,7 @@ def build_session(master: str | None = None, app: str = "tierlens",
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor, size its heap
-        conf["spark.driver.memory"] = os.environ.get("TIERLENS_DRIVER_MEMORY", "16g")
+        conf["spark.driver.memory"] = os.environ.get("TIERLENS_DRIVER_MEMORY", "8g")
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -42,18 +42,38 @@ FAILURE_SCHEMA = T.StructType([
 ])
 
 
+#: Costs and their baselines (at most 30 times as much) must fit DECIMAL(20,10).
+MAX_COST = 3e8
+
+
+def with_identity(records: DataFrame, path: str, schema: T.StructType) -> DataFrame:
+    """Records without an ``id`` get one above every id that the table (and its rejects)
+    holds, so that no two appends share an identity.  Appends to a table run one by one."""
+    if "id" in records.columns:
+        return records
+    spark = records.sparkSession
+    ids = scan(spark, path, schema).select("id").unionByName(scan(spark, path.rstrip("/") + "_rejects", schema).select("id"))
+    top = ids.agg(F.max("id")).first()[0]
+    return records.withColumn("id", F.lit(0 if top is None else top + 1) + F.monotonically_increasing_id())
+
+
+def need_identity(schema) -> None:
+    """Streams cannot number their rows: the caller has to."""
+    if "id" not in schema.fieldNames():
+        raise ValueError("streamed records need an id column that identifies a row")
+
+
 def telemetry_projection(records: DataFrame) -> DataFrame:
     """S1 row logic: hash the prompt, flag -> 0/1, default timestamp, day column and
-    a validity flag (NOT NULL columns, flag in {0, 1})."""
+    a validity flag (NOT NULL columns, flag in {0, 1}, a cost that money sums can hold)."""
     cols = set(records.columns)
     ts = F.col("timestamp").cast("timestamp_ntz") if "timestamp" in cols else F.lit(None).cast("timestamp_ntz")
     ts = F.coalesce(ts, F.localtimestamp())
-    rid = F.col("id").cast("long") if "id" in cols else F.monotonically_increasing_id()
-    # booleans and 0/1 integers map to 0/1; anything else is NULL and rejected
-    flag = F.col("was_escalated").cast("string")
+    # booleans and 0/1 integers map to 0/1, a missing flag is 0; anything else is rejected
+    flag = F.coalesce(F.col("was_escalated").cast("string"), F.lit("0"))
     flag01 = F.when(flag.isin("true", "1"), 1).when(flag.isin("false", "0"), 0)
     out = records.select(
-        rid.alias("id"), ts.alias("timestamp"), prompt_hash("prompt").alias("prompt_hash"),
+        F.col("id").cast("long").alias("id"), ts.alias("timestamp"), prompt_hash("prompt").alias("prompt_hash"),
         F.col("complexity_tier_assigned").cast("int").alias("complexity_tier_assigned"),
         F.col("routed_model").cast("string").alias("routed_model"),
         F.col("cost").cast("double").alias("cost"), F.col("latency").cast("double").alias("latency"),
@@ -62,6 +82,7 @@ def telemetry_projection(records: DataFrame) -> DataFrame:
     valid = F.lit(True)
     for c in ["prompt_hash", "complexity_tier_assigned", "routed_model", "cost", "latency", "was_escalated"]:
         valid = valid & F.col(c).isNotNull()
+    valid = valid & ~F.isnan("cost") & (F.abs("cost") < MAX_COST)
     return out.select("*", F.to_date("timestamp").alias("day"), valid.alias("_valid"))
 
 
@@ -71,16 +92,18 @@ def append_request_telemetry(records: DataFrame, path: str) -> None:
     The projection is computed once (persisted) and written twice; each write is a
     plain append, so a retried task never duplicates committed files.
     """
-    proj = telemetry_projection(records).persist()
+    proj = telemetry_projection(with_identity(records, path, LOG_TABLE_SCHEMA)).persist()
     try:
-        (proj.where("_valid").drop("_valid").write.mode("append").partitionBy("day").parquet(path))
+        # a rebalance puts a day's rows together, in files of the advisory size
+        valid = proj.where("_valid").drop("_valid").hint("rebalance", "day")
+        valid.write.mode("append").partitionBy("day").parquet(path)
         rej = proj.where(~F.col("_valid")).drop("_valid")
         rej.write.mode("append").parquet(path.rstrip("/") + "_rejects")
     finally:
         proj.unpersist()
 
 
-def _scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parquet scan with a fixed schema; a table that does not exist yet reads as empty."""
     from pyspark.errors import AnalysisException
     try:
@@ -95,7 +118,7 @@ def _scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def scan_request_log(spark: SparkSession, path: str) -> DataFrame:
     """S3: the whole request log (``day`` is the partition column; filters on it prune)."""
-    return _scan(spark, path, LOG_TABLE_SCHEMA)
+    return scan(spark, path, LOG_TABLE_SCHEMA)
 
 
 def failure_projection(events: DataFrame) -> DataFrame:
@@ -107,10 +130,10 @@ def failure_projection(events: DataFrame) -> DataFrame:
 
 
 def append_routing_failures(events: DataFrame, path: str) -> None:
-    """Featurise and append failure rows (id, prompt, assigned_tier, true_tier)."""
-    failure_projection(events).select([f.name for f in FAILURE_SCHEMA.fields]).write.mode("append").parquet(path)
+    """Featurise and append failure rows (prompt, assigned_tier, true_tier; optional id)."""
+    failure_projection(with_identity(events, path, FAILURE_SCHEMA)).select([f.name for f in FAILURE_SCHEMA.fields]).write.mode("append").parquet(path)
 
 
 def scan_routing_failures(spark: SparkSession, path: str) -> DataFrame:
     """All failures; a missing table reads as empty (never an error)."""
-    return _scan(spark, path, FAILURE_SCHEMA)
+    return scan(spark, path, FAILURE_SCHEMA)

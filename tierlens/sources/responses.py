@@ -1,6 +1,7 @@
 """Normalise stored raw provider payloads to one response shape.
 
 openai:    choices[0].message.content (NULL -> ''), usage.prompt_tokens / completion_tokens
+           (an empty list of choices or contents is a malformed payload: an error row)
 anthropic: content[0].text, usage.input_tokens / output_tokens
 ollama:    message.content, prompt_eval_count / eval_count (absent -> 0)
 other:     an error row (the request is not priced)
@@ -31,8 +32,9 @@ def normalise_responses(raw: DataFrame, provider: str = "provider", payload: str
                         F.when(F.lower(F.col(provider)).isin(SUPPORTED), F.from_json(F.col(payload), PAYLOAD))
                         .alias("_r"))
     p, r = F.col("_p"), F.col("_r")
-    text = (F.when(p == "openai", F.coalesce(r["choices"][0]["message"]["content"], F.lit("")))
-             .when(p == "anthropic", r["content"][0]["text"])
+    text = (F.when(p == "openai", F.coalesce(F.get(r["choices"], 0)["message"]["content"],
+                                            F.when(F.size(r["choices"]) > 0, F.lit(""))))
+             .when(p == "anthropic", F.get(r["content"], 0)["text"])
              .when(p == "ollama", r["message"]["content"]))
     tin = (F.when(p == "openai", r["usage"]["prompt_tokens"])
             .when(p == "anthropic", r["usage"]["input_tokens"])

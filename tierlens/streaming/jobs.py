@@ -2,21 +2,27 @@
 
 The polling worker becomes a file-source stream with ``foreachBatch``; in-place
 UPDATEs become appended verdicts plus a latest-per-id view; the dashboard refresh
-becomes a watermarked daily window.  Every sink is restart-safe: the file sink
+becomes a daily aggregation in update mode.  Every sink is restart-safe: the file sink
 keeps a commit log in the checkpoint, and ``foreachBatch`` writes overwrite only
 their own ``batch_id`` partition, so a replayed batch replaces itself.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.money import MONEY
+from ..functions.money import money
 from ..operators.telemetry import baseline_cost_col
 from ..operators.verify import verify_pairs
-from ..sources.logs import FAILURE_SCHEMA, LOG_TABLE_SCHEMA, failure_projection, telemetry_projection
+from ..sources.logs import FAILURE_SCHEMA, LOG_TABLE_SCHEMA, failure_projection, need_identity, scan, telemetry_projection
+
+ROLLUP_SCHEMA = "day date, cost_dec decimal(30,10), b_dec decimal(30,10), total_count long, escalated_count long, batch_id long"
+VERDICT_SCHEMA = "id long, quality_score double, was_escalated int, batch_id long"
+WAITING_SCHEMA = "id long, batch_id long"
 
 
 # --------------------------------------------------------------------------- W1 / W2 (batch)
@@ -74,20 +80,32 @@ def _run(writer, checkpoint: str) -> None:
 def continuous_verification(spark: SparkSession, log_path: str, pairs: DataFrame, verdict_path: str,
                             checkpoint: str, files_per_trigger: int | None = None) -> None:
     """Stream new log files, keep pending rows (W1 predicate), verify them against
-    their paired outputs (V7 sync) and append verdicts (read by W2's current view)."""
+    their paired outputs (V7 sync) and append verdicts (read by W2's current view).
+
+    Rows whose outputs are not there yet are kept in ``<verdicts>_waiting``; every run
+    first tries the waiting rows that still have no verdict, so late outputs are found.
+    """
+    waiting_path = verdict_path.rstrip("/") + "_waiting"
+    done = scan(spark, verdict_path, VERDICT_SCHEMA).select("id")
+    waiting = scan(spark, waiting_path, WAITING_SCHEMA).select("id").distinct().join(done, "id", "left_anti")
+    late = verdicts_for(waiting, pairs)
+    if not late.isEmpty():
+        # numbered apart from the stream's batches; an id gets one verdict here
+        late.withColumn("batch_id", F.lit(-time.time_ns())).write.mode("append").partitionBy("batch_id").parquet(verdict_path)
     reader = spark.readStream.schema(LOG_TABLE_SCHEMA)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     pending = pending_filter(reader.parquet(log_path))
-    sink = _batch_writer(verdict_path)
+    sink, wait = _batch_writer(verdict_path), _batch_writer(waiting_path)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         sink(verdicts_for(batch, pairs), batch_id)
+        wait(batch.select("id").join(pairs.select(F.col("pair_id").alias("id")), "id", "left_anti"), batch_id)
     _run(pending.writeStream.foreachBatch(process), checkpoint)
 
 
 def read_verdicts(spark: SparkSession, verdict_path: str) -> DataFrame:
-    return spark.read.parquet(verdict_path).withColumnRenamed("batch_id", "verdict_seq")
+    return scan(spark, verdict_path, VERDICT_SCHEMA).withColumnRenamed("batch_id", "verdict_seq")
 
 
 # --------------------------------------------------------------------------- W4
@@ -96,6 +114,7 @@ def stream_request_telemetry(spark: SparkSession, landing: str, schema, log_path
     """Raw request records landing as files -> S1 projection -> request log
     (file sink, partitioned by day, exactly-once through the sink's commit log).
     Invalid rows go to ``<log>_rejects`` through a second query on the same source."""
+    need_identity(schema)
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -108,27 +127,29 @@ def stream_request_telemetry(spark: SparkSession, landing: str, schema, log_path
 
 # --------------------------------------------------------------------------- W5
 def live_daily_rollup(spark: SparkSession, log_path: str, out_path: str, checkpoint: str,
-                      watermark: str = "1 day") -> None:
+                      files_per_trigger: int | None = None) -> None:
     """Daily spend vs baseline and escalation counts, updated per micro-batch.
 
-    Event time is the log timestamp; rows later than the watermark are dropped by
-    design.  Update-mode rows go to a batch-partitioned table; the current value of a
+    The state is one row per day, so there is no watermark and no row is ever too late:
+    a backlog may arrive in any order.  Rows without a timestamp belong to no day.
+    Update-mode rows go to a batch-partitioned table; the current value of a
     day is the row of its latest batch (:func:`read_live_rollup`).
     """
-    logs = spark.readStream.schema(LOG_TABLE_SCHEMA).parquet(log_path)
-    ev = logs.select(F.col("timestamp").cast("timestamp").alias("event_time"), "id", "cost",
-                     baseline_cost_col().alias("b"), "was_escalated")
-    agg = (ev.withWatermark("event_time", watermark)
-           .groupBy(F.window("event_time", "1 day").alias("w"))
-           .agg(F.sum(F.col("cost").cast(MONEY)).alias("cost_dec"), F.sum(F.col("b").cast(MONEY)).alias("b_dec"),
+    reader = spark.readStream.schema(LOG_TABLE_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    logs = reader.parquet(log_path)
+    ev = logs.select(F.to_date("timestamp").alias("of_day"), "id", "cost", baseline_cost_col().alias("b"), "was_escalated")
+    agg = (ev.where(F.col("of_day").isNotNull()).groupBy(F.col("of_day").alias("day"))
+           .agg(F.sum(money("cost")).alias("cost_dec"), F.sum(money("b")).alias("b_dec"),
                 F.count("id").alias("total_count"), F.sum("was_escalated").cast("long").alias("escalated_count")))
-    out = agg.select(F.to_date(F.col("w.start")).alias("day"), "cost_dec", "b_dec", "total_count", "escalated_count")
+    out = agg.select("day", "cost_dec", "b_dec", "total_count", "escalated_count")
     _run(out.writeStream.outputMode("update").foreachBatch(_batch_writer(out_path)), checkpoint)
 
 
 def read_live_rollup(spark: SparkSession, out_path: str) -> DataFrame:
     """Latest value per day, as T5 + T9 columns."""
-    rows = spark.read.parquet(out_path)
+    rows = scan(spark, out_path, ROLLUP_SCHEMA)
     latest = (rows.groupBy("day").agg(F.max_by(F.struct("cost_dec", "b_dec", "total_count", "escalated_count"),
                                                "batch_id").alias("r")))
     return latest.select(
@@ -142,6 +163,7 @@ def read_live_rollup(spark: SparkSession, out_path: str) -> DataFrame:
 def stream_failure_capture(spark: SparkSession, landing: str, schema, failures_path: str, checkpoint: str,
                            files_per_trigger: int | None = None) -> None:
     """Failure events landing as files -> D14 features -> failures table."""
+    need_identity(schema)
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

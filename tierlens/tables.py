@@ -9,34 +9,16 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-SPREAD_PER_CORE = 4
+#: Session setting: number of partitions for CPU-heavy row work (regexes over whole texts,
+#: JSON parsing); unset, the scan's own splits are kept and nothing is shuffled.
+SPREAD_SETTING = "spark.tierlens.spreadPartitions"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Scan one table.  ``spread=True`` is for CPU-heavy per-row work (regexes over
-    whole texts, JSON parsing): see :func:`spread_rows`."""
+    """Scan one table.  ``spread=True`` marks CPU-heavy per-row work, which an explicit
+    session setting may deal out to more partitions (one unsplittable file on a laptop)."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_rows(df) if spread else df
-
-
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row work several partitions per core.
-
-    A big input already arrives in many file splits and is left alone (no shuffle).
-    A dataset stored as a few unsplittable row groups would otherwise be processed
-    by a few tasks; only then rows are dealt round-robin to ``SPREAD_PER_CORE``
-    partitions per core, so a partition that happens to hold the longest texts
-    does not keep the other cores waiting.
-    Checking the split count plans the scan (file listing) but runs no job.
-    """
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: keep the scan's splits
-        return df
-    if splits >= cores:
-        return df
-    return df.repartition(SPREAD_PER_CORE * cores)
+    parts = int(spark.conf.get(SPREAD_SETTING, "0") or 0) if spread else 0
+    return df.repartition(parts) if parts > 0 else df
