@@ -26,7 +26,6 @@ import heapq
 import json
 import re
 from functools import cache
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from .common import map_text, pick
 from .unicode_words import Recent, byte_chars, joined, looked_up, pattern, tier
 
 SHORT = 40
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -195,17 +194,6 @@ class RankBPE:
         return out
 
 
-_MODELS: dict[bytes, RankBPE] = {}
-
-
-def model(vocab_json: bytes) -> RankBPE:
-    """One model per Python worker, also across tasks."""
-    key = blake2b(vocab_json, digest_size=16).digest()
-    if key not in _MODELS:
-        _MODELS[key] = RankBPE(vocab_json)
-    return _MODELS[key]
-
-
 def _sent(df: DataFrame, vocab_path: str):
     """The vocabulary file (a few MB, read once by the driver) for the tasks."""
     with open(vocab_path, "rb") as f:
@@ -218,7 +206,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     t = pick(docs, **{id_col: id_col, "text": text_col})
 
     def start():
-        m = model(sent.value)
+        m = RankBPE(sent.value)  # one per task: its caches end with it
         return lambda b: [m.encode(b.column("text").to_pylist())]
 
     return map_text(t, "text", [("ids", T.BinaryType())], start).drop("text")
@@ -230,7 +218,7 @@ def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
     t = pick(encoded, **{id_col: id_col, "ids": ids_col})
 
     def start():
-        m = model(sent.value)
+        m = RankBPE(sent.value)  # one per task: its caches end with it
         return lambda b: [pa.array(m.decode(b.column("ids").to_pylist()), pa.string())]
 
     return map_text(t, "ids", [("text", T.StringType())], start)

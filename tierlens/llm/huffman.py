@@ -43,7 +43,7 @@ MIN_BITS = 16
 BLOCK = 1024
 SEGMENT = 1 << 17
 SHARD_IDS = 8 << 20
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 120_000
 #: Fixed value: the byte-level vocabularies' split into endings, words, numbers, marks, blanks.
 SPLIT = "'(?:s|t|re|ve|m|ll|d)| ?[%L]+| ?[%N]+| ?[^%S%L%N]+|[%S]+(?![^%S])|[%S]+"
 
