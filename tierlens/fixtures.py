@@ -81,6 +81,14 @@ def verification_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def call_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP status of each provider call, from ``events`` (NULL: no answer)."""
+    return read(spark, sf_dir, "events").selectExpr(
+        "event_id AS request_id",
+        "CASE event_id % 9 WHEN 0 THEN 200 WHEN 1 THEN 400 WHEN 2 THEN 401 WHEN 3 THEN 408 WHEN 4 THEN 429 "
+        "WHEN 5 THEN 500 WHEN 6 THEN 502 WHEN 7 THEN 503 END AS status")
+
+
 def routing_failure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routing failures before featurisation: every document, with tiers from its id."""
     d = read(spark, sf_dir, "documents", spread=True)

@@ -31,7 +31,7 @@ def split_hash(key_cols: list[str], seed: int = C.FOREST_SEED) -> Column:
 def _target(n: Column, fraction: float) -> Column:
     """round-half-up(n * fraction) in exact integer arithmetic."""
     fr = Fraction(fraction).limit_denominator(10_000)
-    return ((n * (2 * fr.numerator) + fr.denominator) / (2 * fr.denominator)).cast("long")
+    return F.call_function("div", n * (2 * fr.numerator) + fr.denominator, F.lit(2 * fr.denominator)).cast("long")
 
 
 SPLIT_BUCKET_BITS = 20
@@ -50,7 +50,7 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str],
     bucket are decided by comparing buckets; only the boundary bucket's rows (about
     n_label / 2^bits) are ranked with a window.  The two parts are unioned: no join
     of the rows with a per-row table, and no label is ever sorted whole.  The
-    per-label boundary table has one row per label and is broadcast.
+    per-label boundary table has one row per label.
     """
     if not 1 <= bucket_bits <= 28:
         raise ValueError("bucket_bits must be in 1..28")

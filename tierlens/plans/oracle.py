@@ -39,6 +39,10 @@ SELECT o_orderkey AS pair_id,
   CAST(1 + o_orderkey % 2 AS INTEGER) AS predicted_tier,
   o_orderkey % 9 = 0 AS primary_failed
 FROM orders""",
+    "call_statuses": """
+SELECT event_id AS request_id, CASE event_id % 9 WHEN 0 THEN 200 WHEN 1 THEN 400 WHEN 2 THEN 401 WHEN 3 THEN 408
+  WHEN 4 THEN 429 WHEN 5 THEN 500 WHEN 6 THEN 502 WHEN 7 THEN 503 END AS status
+FROM events""",
     "routing_failure_events": """
 SELECT doc_id AS id, text AS prompt, CAST(1 + doc_id % 2 AS INTEGER) AS assigned_tier,
   CAST(2 + doc_id % 2 AS INTEGER) AS true_tier
@@ -213,9 +217,6 @@ def sql_classification(cheap: str, gold: str) -> tuple[str, str, str]:
             f"{_q(C.MSG_CLASS_FAIL_AFTER)} END")
 
 
-PORTABLE_FLOAT_RE = None
-
-
 def _portable_float_re() -> str:
     from ..functions.text import PORTABLE_WS_CLASS
     d = r"[0-9](?:_?[0-9])*"

@@ -157,14 +157,15 @@ def _pairs_sql(body: str, **extra) -> str:
     return O.with_ctes(body, **O.fx("verification_pairs"), **extra)
 
 
-def _r5(spark, sf_dir):
+def _r5(spark, sf_dir, *keep: str):
+    """R5 over the pairs; ``keep`` names request columns to carry along."""
     pairs = _pairs(spark, sf_dir)
     req = pairs.select("pair_id", "predicted_tier", "primary_failed",
                        F.col("cheap_output").alias("output_text"), F.col("cheap_cost").alias("cost"))
     fb = pairs.where("primary_failed").select("pair_id", F.col("gold_output").alias("output_text"),
                                               F.col("gold_cost").alias("cost"))
     out = R.apply_fallback(req, fb, "pair_id", "primary_failed", ["output_text", "cost"])
-    return out.select("pair_id", "output_text", "cost", "used_fallback",
+    return out.select("pair_id", *keep, "output_text", "cost", "used_fallback",
                       F.when(F.col("used_fallback"), F.lit(C.FALLBACK_TIER)).otherwise(F.col("predicted_tier"))
                        .alias("final_tier"),
                       F.when(F.col("used_fallback"), F.lit(C.FALLBACK_CONFIDENCE)).otherwise(F.lit(C.DEFAULT_CONFIDENCE))
@@ -197,9 +198,7 @@ JOIN aliases af ON af.model_ref = p.fallback_model_id JOIN registry rf ON rf.key
 def q_r6(spark, sf_dir):
     """R5 -> R6: the serving model is the fallback's when the primary failed; the
     log gets quality 4.5 and an escalation flag for tier-3 rows served off-policy."""
-    r5 = _r5(spark, sf_dir)
-    tiers = _pairs(spark, sf_dir).select("pair_id", "predicted_tier")
-    routed = R.resolve_route(r5.join(tiers, "pair_id"), POLICY, "predicted_tier")
+    routed = R.resolve_route(_r5(spark, sf_dir, "predicted_tier"), POLICY, "predicted_tier")
     routed = R.lookup_model(routed, "policy_model_id", prefix="p_")
     routed = R.lookup_model(routed, "fallback_model_id", prefix="f_")
     routed = routed.select("pair_id", "final_tier", "policy_model_id",
@@ -208,6 +207,16 @@ def q_r6(spark, sf_dir):
     return R.initial_log_values(routed, "final_tier", "routed_model", "policy_model_id").drop("policy_model_id")
 
 
+# --------------------------------------------------------------------------- R9
+@register("r9_retry_eligibility", O.with_ctes(
+    f"SELECT request_id, status, coalesce(status IN ({', '.join(map(str, POLICY.fallback_on_http_codes))}), false) AS retry_eligible "
+    "FROM call_statuses", **O.fx("call_statuses")))
+def q_r9(spark, sf_dir):
+    """R9 over the HTTP status of each call; a call without a status is not retried."""
+    return fx_.call_statuses(spark, sf_dir).select(
+        "request_id", "status", F.coalesce(R.retry_eligible("status", POLICY), F.lit(False)).alias("retry_eligible"))
+
+
 # --------------------------------------------------------------------------- V1-V9
 def _v_query(cols_sql: str) -> str:
     return _pairs_sql(f"SELECT pair_id, {cols_sql} FROM verification_pairs")
