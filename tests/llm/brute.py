@@ -32,6 +32,12 @@ def components(rows):
     return [len(s) for s in sets], [low[find(i)] for i in range(len(rows))]
 
 
+def n_links(rows):
+    """How many other rows each (doc_id, text) row links with."""
+    sets = [shingles(t) for _, t in rows]
+    return [sum(a != b and bool(x & y) and 100 * len(x & y) >= 85 * len(x | y) for b, y in enumerate(sets)) for a, x in enumerate(sets)]
+
+
 def words13(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UP))
 

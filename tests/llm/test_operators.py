@@ -143,6 +143,31 @@ def test_jaccard_against_brute_force(spark):
     assert got == sorted((d, n, c) for (d, _), n, c in zip(docs, sizes, low))
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_jaccard_number_of_links(spark, odd, none, block):
+    """Also of pairs inside a component, which the components do not need."""
+    docs = [((i * 37) % 1009, t) for i, t in enumerate(near_copies())]
+    want = brute.n_links(docs)
+    assert 0 < max(want) < len(docs) and len({c for c in want}) > 5
+    got = rows(jaccard.join(spark.createDataFrame(docs, "doc_id long, text string"), block=block, n_links=True))
+    sizes, low = brute.components(docs)
+    assert sorted(got) == sorted((d, n, c, k) for (d, _), n, c, k in zip(docs, sizes, low, want))
+    key = lambda r: tuple(map(str, r))
+    got = [(r[0], r[3]) for r in rows(jaccard.join(odd, block=block, n_links=True))]
+    assert sorted(got, key=key) == sorted([(d, k) for (d, _), k in zip(texts(odd), brute.n_links(texts(odd)))], key=key)
+    assert jaccard.join(none, n_links=True).count() == 0
+
+
+def test_overlaps():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(20)]
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    assert (jaccard.overlaps(sets[:7], sets[7:], 16) == want[:7, 7:]).all()
+    got = jaccard.overlaps(sets, None, 16)
+    np.fill_diagonal(got, np.diag(want))
+    assert (got == want).all() and (jaccard.overlaps(sets[:1], [np.array([99], np.uint64)]) == 0).all()
+
+
 def test_jaccard_odd(odd, none):
     docs = texts(odd)
     sizes, low = brute.components(docs)

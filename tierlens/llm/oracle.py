@@ -65,6 +65,22 @@ SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(
 FROM d LEFT JOIN n ON n.r = d.r JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.t GROUP BY d.r, d.doc_id
 """
 
+#: The same, with each row's number of links.
+OP4_JACCARD_LINKS = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, x FROM (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS x FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+i AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM i JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+k AS (SELECT a AS r, count(*) AS k FROM e GROUP BY a),
+reach(r, t) AS (SELECT r, r FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.t = e.a)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id,
+       CAST(coalesce(any_value(k.k), 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN k ON k.r = d.r JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.t GROUP BY d.r, d.doc_id
+"""
+
 _LANGS_LIMIT = quality.MAX_LANGS
 _HIST = lambda names: "[" + ", ".join(names) + "]"
 _NOT = lambda cls: f"CAST(len(regexp_replace(text, '[^{cls}]+', '', 'g')) AS BIGINT)"

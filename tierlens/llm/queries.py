@@ -16,7 +16,7 @@ ORACLE: dict[str, str] = {}
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     QUERIES[fn.__name__] = fn
-    sql = getattr(oracle, fn.__name__.split("_")[0].upper(), None)
+    sql = getattr(oracle, fn.__name__.upper(), None) or getattr(oracle, fn.__name__.split("_")[0].upper(), None)
     if sql:
         ORACLE[fn.__name__] = sql
     return fn
@@ -59,6 +59,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n_links=True)
+
+
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("js_chars", "js_words")
