@@ -83,6 +83,24 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan(odd).count() == 12 and license_scan.scan(none).count() == 0
 
 
+def test_repeated_licenses():
+    """Copies that share a stretch: number and word ranges."""
+    t = license_scan.TEMPLATES
+    known = license_scan.Templates(t, license_scan.COVERAGE, license_scan.DENSITY)
+
+    def spans(text, name):
+        return [(f[2], f[3], f[1]) for f in known.scan(text.encode())[1] if f[0] == name]
+    line = t["MIT-line"]
+    assert spans(f"x {line} foo bar {line} y", "MIT-line") == [(1, 6, 1.0), (8, 13, 1.0)]
+    for name in t:
+        n = len(license_scan.words(t[name].encode()))
+        for k in (1, 2, 3, 7):
+            assert spans(" ".join([t[name]] * k), name) == [(i * n, (i + 1) * n, 1.0) for i in range(k)]
+            assert spans("a b " + " c d ".join([t[name]] * k) + " e", name) == [(2 + i * (n + 2), 2 + i * (n + 2) + n, 1.0) for i in range(k)]
+    assert spans("released under the mit nothing released under the mit license", "MIT-line") == [(0, 4, 0.8), (5, 10, 1.0)]
+    assert spans("released under the mit under the mit license", "MIT-line") == [(0, 4, 0.8), (4, 8, 0.8)]
+
+
 def test_license_query_finds_every_notice_line(spark):
     from tierlens.llm.queries import op2_license_scan
     lines = {k: v for k, v in license_scan.TEMPLATES.items() if k.endswith("-line")}

@@ -11,8 +11,12 @@ matched.  A finding needs at least ``COVERAGE`` of them, and matched words must
 Whole texts are scanned: stretches of twice the template's length (and ``SLACK`` words)
 begin every half length, so an occurrence up to about one and a half times the
 template's length lies whole in one.  A stretch (and before that the text) is skipped
-only when its words cannot give the coverage, counted with their numbers.  Findings of
-one template that overlap become the one with the highest coverage (the first on ties).
+only when its words cannot give the coverage, counted with their numbers.  In a stretch
+that holds several occurrences few words occur once, so each stretch that is not skipped
+is also aligned from every template word in it, over the template's length and over the
+longest range that the density allows: these hold no second whole occurrence.  Of the findings of
+one template that overlap, those stay that match the most words together (in the
+shortest ranges, the first on ties): a single occurrence is the one with the highest coverage.
 
 A null or empty text has no words and no findings; repeated rows are scanned alike; an
 empty table gives an empty result; other columns are ignored.  The templates are a short
@@ -21,7 +25,7 @@ list of fixed texts, sent to the tasks with the code (at most ``MAX_WORDS`` word
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import repeat
 
 import numpy as np
@@ -116,25 +120,65 @@ class Templates:
     def _stretches(self, ids: np.ndarray, t: int) -> list[tuple]:
         name, template = self.items[t]
         width, step = 2 * len(template) + SLACK, max(1, len(template) // 2)
-        best: list[tuple] = []
+        found: set[tuple[int, int, int]] = set()
+        done = 0
         for lo in range(0, max(1, len(ids) - width + step), step):
             part = ids[lo:lo + width]
             known = part[part >= 0]
             if len(known) < self.need[t] - 1e-9 or np.minimum(np.bincount(known, minlength=len(self.vocab)), self.counts[t]).sum() < self.need[t] - 1e-9:
                 continue
-            pairs = align(template, part.tolist())
-            if len(pairs) < self.need[t] - 1e-9:
-                continue
-            start, end = lo + pairs[0][1], lo + pairs[-1][1] + 1
-            if len(pairs) < self.density * (end - start):
-                continue
-            one = (name, len(pairs) / len(template), start, end)
-            if best and start < best[-1][3]:
-                if one[1] > best[-1][1]:
-                    best[-1] = one
-            else:
-                best.append(one)
-        return best
+            found |= self._aligned(part.tolist(), lo, t)
+            found |= self._from_each_word(ids, max(lo, done), lo + len(part), t)
+            done = lo + len(part)
+        return [(name, n / len(template), start, end) for end, start, n in _most(sorted(found))]
+
+    def _aligned(self, part: list[int], lo: int, t: int) -> set[tuple[int, int, int]]:
+        """(end, start, matched words) of the template in a part that begins at ``lo``, if it is a finding."""
+        pairs = align(self.items[t][1], part)
+        if len(pairs) < self.need[t] - 1e-9:
+            return set()
+        start, end = lo + pairs[0][1], lo + pairs[-1][1] + 1
+        return {(end, start, len(pairs))} if len(pairs) >= self.density * (end - start) else set()
+
+    def _from_each_word(self, ids: np.ndarray, lo: int, hi: int, t: int) -> set[tuple[int, int, int]]:
+        """Findings that begin in a range, aligned from each of the template's words there."""
+        template, count = self.items[t][1], self.counts[t]
+        widths = [len(template), int(len(template) / self.density + 1e-9)]
+        part = ids[lo:hi + widths[1]].tolist()
+        found: set[tuple[int, int, int]] = set()
+        # the words of part[i:end], and how many of the template's they can match
+        have, common, end = dict.fromkeys(template, 0), 0, 0
+        for i in range(hi - lo):
+            while end < min(len(part), i + widths[1]):
+                if (w := part[end]) in have:
+                    have[w] += 1
+                    common += have[w] <= count[w]
+                end += 1
+            if (w := part[i]) in have:
+                if common >= self.need[t] - 1e-9:
+                    for width in widths:
+                        found |= self._aligned(part[i:i + width], lo + i, t)
+                common -= have[w] <= count[w]
+                have[w] -= 1
+        return found
+
+
+def _most(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (end, start, matched) in order, those that do not overlap and match the most words,
+    in the shortest ranges, the first on ties."""
+    best, back = [(0, 0)], []  # of the first k: matched words and less than no range
+    for k, (end, start, n) in enumerate(found):
+        before = bisect_right(found, start, 0, k, key=lambda f: f[0])
+        with_it = (best[before][0] + n, best[before][1] - (end - start))
+        back.append(before if with_it > best[k] else -1)
+        best.append(max(with_it, best[k]))
+    out, k = [], len(found)
+    while k:
+        k -= 1
+        if back[k] >= 0:
+            out.append(found[k])
+            k = back[k]
+    return out[::-1]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE, density: float = DENSITY,
