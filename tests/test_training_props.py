@@ -58,3 +58,16 @@ def test_registered_rows_only_queries_run(spark):
     assert d16.version_tag == C.VERSION_RETRAIN and 0.0 <= d16.training_accuracy <= 1.0
     d9 = E.queries()["d9_model_route"](spark, SF_SMALL)
     assert d9.where(~F.col("predicted_tier").between(1, 3)).count() == 0
+
+
+def test_model_route_scores_the_loaded_model(spark, monkeypatch):
+    from tierlens.plans import q_training
+
+    loaded, scored = [], []
+    monkeypatch.setattr(q_training, "_train_first_model", lambda s, d: (TR.train_forest(small_matrix(s), "tier_label"), None))
+    monkeypatch.setattr(q_training, "load_model", lambda *a: loaded.append(load_model(*a)) or loaded[-1])
+    score = TR.score_prompts
+    monkeypatch.setattr(TR, "score_prompts", lambda p, model, key: scored.append(model) or score(p, model, key))
+    out = q_training.q_d9_model(spark, SF_SMALL).collect()
+    assert len(loaded) == 1 and scored[0] is loaded[0][0]
+    assert out and all(1 <= r.predicted_tier <= 3 and 0 < r.confidence <= 1 for r in out)

@@ -159,8 +159,11 @@ def q_d9_default(spark, sf_dir):
 
 @register("d9_model_route")
 def q_d9_model(spark, sf_dir):
-    """D9 with a freshly trained model over the assembled conversation prompts."""
-    model, _ = _train_first_model(spark, sf_dir)
+    """D9 over the assembled conversation prompts with a trained model that was saved and loaded."""
+    trained, _ = _train_first_model(spark, sf_dir)
+    path = scratch_path(spark, "model-route")
+    save_model(trained, path, C.VERSION_FIRST_TRAIN)
+    model, _ = load_model(spark, path)
     prompts = P.assemble_prompts(read(spark, sf_dir, "conversations"))
     return TR.score_prompts(prompts, model, "conv_id")
 
