@@ -96,6 +96,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: At most so many groups are joined by broadcast: those with over 1 / HOT of the rows.
+HOT = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> DataFrame:
+    """Each row with its group (one row per key, ``n`` its number of rows; null keys are a
+    group too).  The few groups with over 1 / ``HOT`` of all rows are broadcast, so that
+    none of them meets in one task; the others are joined by shuffle.  Both tables should
+    be stored ones: they are read twice."""
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    large = F.col(n) * HOT > total
+    keyed = groups.select(*[F.col(c).alias(f"{c}_of") for c in on], *[c for c in groups.columns if c not in on], F.lit(True).alias("met"))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    hot = rows.join(F.broadcast(keyed.where(large)), same, "left")
+    rest = hot.where(F.col("met").isNull()).select(*rows.columns).join(keyed.where(~large), same)
+    out = [*rows.columns, *[c for c in groups.columns if c not in on]]
+    return hot.where("met").select(*out).unionByName(rest.select(*out))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -126,3 +126,11 @@ v AS (SELECT g.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fa
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM v
 """
+
+OP11 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+                  regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS norm FROM documents),
+k AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS n
+      FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST, r))
+SELECT doc_id, keep_id, n AS group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM k
+"""
