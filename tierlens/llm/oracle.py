@@ -134,3 +134,51 @@ k AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep
       FROM d WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id NULLS LAST, r))
 SELECT doc_id, keep_id, n AS group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM k
 """
+
+
+def _op12(rounds: int = 6) -> str:
+    sql = """
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT r, p, v[p * (len(v) // 8) + 1 : (p + 1) * (len(v) // 8)] AS s FROM (SELECT r, v, unnest(range(8)) AS p FROM k)),
+e0 AS MATERIALIZED (SELECT p, i - 1 AS e, s AS t FROM s JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, r) AS i FROM k) USING (r) WHERE i <= 16)"""
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} AS MATERIALIZED (SELECT r, p, min(struct_pack(d := d, e := e)) AS m FROM (SELECT r, p, e,
+       CAST(list_sum(list_transform(list_zip(s, t), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM s JOIN e{i} USING (p)) GROUP BY r, p)"""
+        if i < rounds:
+            sql += f""",
+n{i} AS (SELECT p, e, list(CAST((x - ((x % c) + c) % c) // c AS BIGINT) ORDER BY j) AS t FROM
+         (SELECT p, m.e AS e, j, sum(s[j]) AS x, count(*) AS c FROM (SELECT p, m, s, unnest(range(1, len(s) + 1)) AS j FROM a{i} JOIN s USING (r, p))
+          GROUP BY p, m.e, j) GROUP BY p, e),
+e{i + 1} AS MATERIALIZED (SELECT o.p, o.e, coalesce(n.t, o.t) AS t FROM e{i} o LEFT JOIN n{i} n ON n.p = o.p AND n.e = o.e)"""
+    return sql + f""",
+f AS (SELECT r, string_agg(lower(printf('%02x', m.e)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(t, ','), ',' ORDER BY p, e)) FROM e{rounds}) AS codebooks_sha256 FROM f JOIN k USING (r)
+"""
+
+
+OP12 = _op12()
+
+OP13 = f"""
+WITH crc_of AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+                FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS3} AS w FROM documents),
+f AS (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(w) AS x FROM d) GROUP BY ALL),
+g AS (SELECT x, count(*) AS n FROM (SELECT unnest({_WORDS3}) AS x FROM benchmark) GROUP BY ALL),
+v AS (SELECT x, xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(1, len(h), 2), lambda i:
+             16 * (instr('0123456789ABCDEF', h[i]) - 1) + instr('0123456789ABCDEF', h[i + 1]) - 1),
+             lambda c, b: xor(c >> 8, t[xor(c % 256, b) + 1]))) % 10000 AS k
+      FROM (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM f UNION SELECT x FROM g)), crc_of),
+gain AS (SELECT k, floor(1000 * ln(CAST((t + 1) * (sa + 10000) AS DOUBLE) / CAST((s + 1) * (ta + 10000) AS DOUBLE))) AS g
+         FROM (SELECT k, coalesce(s, 0) AS s, coalesce(t, 0) AS t, coalesce(sum(s) OVER (), 0) AS sa, coalesce(sum(t) OVER (), 0) AS ta FROM
+               (SELECT k, sum(f.n) AS s FROM f JOIN v USING (x) GROUP BY k) FULL JOIN (SELECT k, sum(g.n) AS t FROM g JOIN v USING (x) GROUP BY k) USING (k))),
+m AS (SELECT r, sum(n) AS n, CAST(floor(sum(n * g) / sum(n)) AS BIGINT) AS weight FROM f JOIN v USING (x) JOIN gain USING (k) GROUP BY r),
+h AS (SELECT r, doc_id, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, list_reduce(list_transform(range(1, 9), lambda i:
+             CAST(instr('0123456789abcdef', sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[i]) - 1 AS BIGINT)), lambda a, b: 16 * a + b) AS h
+      FROM d LEFT JOIN m USING (r)),
+s AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM h),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS total FROM s WHERE n >= 20)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CASE WHEN place <= 10 * total // 100 THEN place END AS rank FROM s LEFT JOIN o USING (r)
+"""
