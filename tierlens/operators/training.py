@@ -1,8 +1,8 @@
 """Split, weighting, forest training, scoring and evaluation.
 
-Everything is distributed: the exact stratified split ranks rows inside a label
-by a hash, using bucket counts instead of a window over the label's rows, so a
-label holding a third of all rows is never sorted in one task.
+Everything is distributed: the exact stratified split finds the last test row of each
+label by counting, and class weights are literals, so a label holding a third of all
+rows is never sorted or gathered in one task.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import stored
+from . import selection
 from .features import online_routing_features
 
 FEATURES = C.FEATURE_COLUMNS
@@ -43,54 +45,62 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str],
     """Adds ``is_test``: exactly round(fraction * n_label) rows per label are test,
     namely the first ones in (hash, key) order.  Repeatable for a given seed.
 
-    The first ``bucket_bits`` bits of the hash put each row in a bucket.  One
-    aggregation counts rows per (label, bucket); running and total counts per label
-    (windows over that count table, not over the rows) locate each label's boundary
-    bucket and how many of its rows are still needed.  Rows outside the boundary
-    bucket are decided by comparing buckets; only the boundary bucket's rows (about
-    n_label / 2^bits) are ranked with a window.  The two parts are unioned: no join
-    of the rows with a per-row table, and no label is ever sorted whole.  The
-    per-label boundary table has one row per label.
+    The last test row of each label is found by counting (:mod:`.selection`, in passes over
+    the keys alone); the result then reads the rows once and compares.  Rows without a
+    label are never test rows.
     """
     if not 1 <= bucket_bits <= 28:
         raise ValueError("bucket_bits must be in 1..28")
-    nhex = (bucket_bits + 3) // 4
     h = split_hash(key_cols, seed)
-    bucket = F.shiftright(F.conv(F.substring("_h", 1, nhex), 16, 10).cast("long"), 4 * nhex - bucket_bits)
-    base = df.select("*", h.alias("_h")).select("*", bucket.alias("_b"))
-
-    counts = base.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    per_label = Window.partitionBy(label)
-    running = per_label.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.select(label, "_b", "_n", F.sum("_n").over(running).alias("_cum"),
-                           _target(F.sum("_n").over(per_label), test_fraction).alias("_k"))
-    hit = counts.where((F.col("_k") > 0) & (F.col("_cum") >= F.col("_k")))
-    bounds = (hit.groupBy(label)
-              .agg(F.min_by(F.struct(F.col("_b").alias("b"), (F.col("_k") - F.col("_cum") + F.col("_n")).alias("r")),
-                            F.col("_b")).alias("m"))
-              .select(label, F.col("m.b").alias("_bs"), F.col("m.r").alias("_r")))
-
-    rows = base.join(bounds, label, "left")
-    decided = (rows.where(F.col("_bs").isNull() | (F.col("_b") != F.col("_bs")))
-               .select(*df.columns, F.coalesce(F.col("_b") < F.col("_bs"), F.lit(False)).alias("is_test")))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", *key_cols))
-    edge = (rows.where(F.col("_b") == F.col("_bs"))
-            .select(*df.columns, (rank <= F.col("_r")).alias("is_test")))
-    return decided.unionByName(edge)
+    found = selection.thresholds(df, label, key_cols, h, lambda n: _target(n, test_fraction), bucket_bits)
+    return selection.chosen(df, label, key_cols, h, found, "is_test")
 
 
 # --------------------------------------------------------------------------- D7
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weight n / (k * n_label) per label (one row per label)."""
+    """Balanced weight n / (k * n_label) per label (one row per label), in one pass."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))
-    n = counts.select(F.sum("n_label")).scalar()          # scalar subqueries: no cross join
-    k = counts.select(F.count(F.lit(1))).scalar()
-    return counts.select(label, "n_label",
-                         (n.cast("double") / (k * F.col("n_label")).cast("double")).alias("weight"))
-
-
-def with_class_weight(df: DataFrame, label: str) -> DataFrame:
-    return df.join(class_weights(df, label).select(label, "weight"), label)
+    n, k = F.col("n"), F.size("per_label")
+    whole = counts.agg(F.sum("n_label").alias("n"), F.collect_list(F.struct(label, "n_label")).alias("per_label"))   # one row per class
+    some = F.when(k > selection.MAX_CLASSES, F.raise_error(F.lit("too many classes")).cast(whole.schema["per_label"].dataType)).otherwise(F.col("per_label"))
+    return (whole.select("n", k.alias("k"), F.inline(some))
+            .select(label, "n_label", (n.cast("double") / (F.col("k") * F.col("n_label")).cast("double")).alias("weight")))
+
+
+def weight_column(label: str, counts: dict) -> Column:
+    """D7 as an expression: the weight of a row's label from counted classes."""
+    selection.check_classes(len(counts))
+    n, k = sum(counts.values()), sum(1 for c in counts.values() if c)
+    out = F.lit(None).cast("double")
+    for x, c in counts.items():
+        if c:
+            out = F.when(F.col(label) == F.lit(x), F.lit(n / (k * c))).otherwise(out)
+    return out
+
+
+def with_class_weight(df: DataFrame, label: str, counts: dict | None = None) -> DataFrame:
+    """Rows with a label and their ``weight``.  No join and no shuffle of the rows: the weights
+    are literals; without given ``counts`` one aggregate counts the classes first."""
+    counts = selection.class_counts(df, label) if counts is None else counts
+    return df.where(F.col(label).isNotNull()).withColumn("weight", weight_column(label, counts))
+
+
+def written_matrix(df: DataFrame, label: str, name: str, train: Column | None = None, labels: list = C.CLASS_LABELS) -> tuple[DataFrame, dict]:
+    """Write a training matrix below the shared folder, counting its classes in the same pass
+    (only rows where ``train`` holds); returns the written table and the counts.
+
+    The fit reads its matrix many times: it comes from the table, which a lost executor
+    does not touch, and whose number of rows must agree with what was counted."""
+    seen = Observation()
+    of_train = F.lit(True) if train is None else train
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(of_train & F.col(label).isNotNull()).alias("labelled"),
+                         *[F.count_if(of_train & (F.col(label) == x)).alias(f"n{i}") for i, x in enumerate(labels)])
+    table = stored(counted, name)
+    got = seen.get
+    counts = {x: got[f"n{i}"] for i, x in enumerate(labels)}
+    if got["rows"] != table.count() or got["labelled"] != sum(counts.values()):     # a re-run task, or labels beyond the list
+        counts = selection.class_counts(table.where(of_train), label)
+    return table, counts
 
 
 # --------------------------------------------------------------------------- D8 / S7
@@ -103,11 +113,14 @@ def forest_pipeline(label_col: str = "label_idx", weight_col: str = "weight") ->
     return Pipeline(stages=[assembler, rf])
 
 
-def train_forest(train: DataFrame, label: str) -> PipelineModel:
+def weighted_matrix(train: DataFrame, label: str, counts: dict | None = None) -> DataFrame:
+    """What the forest is fitted on: the five features, the label from 0 on, the weight."""
+    return with_class_weight(train, label, counts).select(*FEATURES, (F.col(label) - 1).cast("double").alias("label_idx"), "weight")
+
+
+def train_forest(train: DataFrame, label: str, counts: dict | None = None) -> PipelineModel:
     """Fit on rows with a ``label`` in 1..3 and the five features."""
-    weighted = with_class_weight(train, label).select(
-        *FEATURES, (F.col(label) - 1).cast("double").alias("label_idx"), "weight")
-    return forest_pipeline().fit(weighted)
+    return forest_pipeline().fit(weighted_matrix(train, label, counts))
 
 
 # --------------------------------------------------------------------------- D9

@@ -25,7 +25,7 @@ def _corpus_sql(body: str) -> str:
 
 
 # --------------------------------------------------------------------------- prompts
-_PROMPTS_SQL = """
+PROMPTS_SQL = """
 SELECT conv_id,
   CASE WHEN coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (WHERE role = 'user'), '') = ''
        THEN arg_max(text, turn)
@@ -35,7 +35,7 @@ FROM conversations GROUP BY conv_id"""
 
 @register("p1_p2_p4_prompts", O.with_ctes(
     f"SELECT conv_id, prompt, sha256({O.sql_strip('prompt')}) AS prompt_hash, {O.sql_task_type('prompt')} AS task_type "
-    f"FROM prompts", prompts=_PROMPTS_SQL))
+    f"FROM prompts", prompts=PROMPTS_SQL))
 def q_prompts(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations")
     return P.with_prompt_facts(P.assemble_prompts(turns))
@@ -92,7 +92,7 @@ def q_f13_docs(spark, sf_dir):
 
 
 @register("f12_online_features_prompts", O.with_ctes(
-    f"SELECT conv_id, {O.sql_routing_features('prompt', 'TRUE', '2', '1')} FROM prompts", prompts=_PROMPTS_SQL))
+    f"SELECT conv_id, {O.sql_routing_features('prompt', 'TRUE', '2', '1')} FROM prompts", prompts=PROMPTS_SQL))
 def q_f12_online(spark, sf_dir):
     prompts = P.assemble_prompts(read(spark, sf_dir, "conversations"))
     return Fe.online_routing_features(prompts, keep=["conv_id"])
