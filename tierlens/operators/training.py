@@ -13,11 +13,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..session import stored
+from ..functions.rows import observed
+from ..session import scratch_path
 from . import selection
 from .features import online_routing_features
 
@@ -91,12 +92,12 @@ def written_matrix(df: DataFrame, label: str, name: str, train: Column | None =
 
     The fit reads its matrix many times: it comes from the table, which a lost executor
     does not touch, and whose number of rows must agree with what was counted."""
-    seen = Observation()
     of_train = F.lit(True) if train is None else train
-    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(of_train & F.col(label).isNotNull()).alias("labelled"),
-                         *[F.count_if(of_train & (F.col(label) == x)).alias(f"n{i}") for i, x in enumerate(labels)])
-    table = stored(counted, name)
-    got = seen.get
+    metrics = {"rows": F.count(F.lit(1)), "labelled": F.count_if(of_train & F.col(label).isNotNull())}
+    metrics |= {f"n{i}": F.count_if(of_train & (F.col(label) == x)) for i, x in enumerate(labels)}
+    path = scratch_path(df.sparkSession, name)
+    got = observed(df, metrics, lambda rows: rows.write.parquet(path))
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
     counts = {x: got[f"n{i}"] for i, x in enumerate(labels)}
     if got["rows"] != table.count() or got["labelled"] != sum(counts.values()):     # a re-run task, or labels beyond the list
         counts = selection.class_counts(table.where(of_train), label)

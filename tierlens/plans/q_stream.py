@@ -53,6 +53,19 @@ def q_s1_days(spark, sf_dir):
     return L.scan_request_log(spark, _write_log(spark, sf_dir)).groupBy("day").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@register("s1_leased_identity", _logs_sql(
+    "SELECT CAST(timestamp AS DATE) AS day, count(*) AS rows, count(*) AS ids FROM request_logs GROUP BY 1"))
+def q_s1_leases(spark, sf_dir):
+    """Two appends without ids: rows and distinct ids per day (of the whole log, ids are told
+    apart before days are)."""
+    path = scratch_path(spark, "leased-log")
+    records = fx_.telemetry_records(spark, sf_dir)
+    for part in (F.col("id") % 2 == 0, F.col("id") % 2 == 1):
+        L.append_request_telemetry(records.where(part).drop("id"), path)
+    once = L.scan_request_log(spark, path).groupBy("id").agg(F.min("day").alias("day"), F.count(F.lit(1)).alias("n"))
+    return once.groupBy("day").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("ids"))
+
+
 _FEATS_SQL = O.sql_routing_features("prompt", "TRUE", "2", "1")
 
 

@@ -12,6 +12,7 @@ from ..operators import prompts as P
 from ..operators import training as TR
 from ..operators.features import online_routing_features
 from ..session import scratch_path, stored
+from ..sources import model_store as MS
 from ..sources.model_store import load_model, save_model
 from ..tables import read
 from . import oracle as O
@@ -273,3 +274,26 @@ def q_d16_level(spark, sf_dir):
     scored = _labelled(FO.score_nodes(matrix, nodes, ["true_tier"]), "true_tier")
     return scored.agg(F.count(F.lit(1)).alias("training_rows"), F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("training_accuracy"),
                       F.count_if((F.col("label") == 3) & (F.col("prediction") == 1)).alias("under_routing_faults"))
+
+
+@register("s7_gated_route", _corpus_sql(
+    _level_forest_sql("train", "tier_label", "both_rows", "conv_id, tier_label") + """, held AS
+(SELECT avg(CAST(tier_label = predicted_tier AS INTEGER)) AS accuracy FROM scored WHERE conv_id IS NULL)
+SELECT conv_id, CASE WHEN accuracy >= 0.8 THEN predicted_tier ELSE 1 END AS predicted_tier,
+  CASE WHEN accuracy >= 0.8 THEN confidence ELSE 1.0::DOUBLE END AS confidence, accuracy >= 0.8 AS promoted
+FROM scored, held WHERE conv_id IS NOT NULL""", **_SPLIT, prompts=PROMPTS_SQL,
+    both_rows=f"SELECT NULL AS conv_id, tier_label, {FEATS} FROM test UNION ALL "
+              f"SELECT conv_id, NULL, {O.sql_routing_features('prompt', 'TRUE', '2', '1')} FROM prompts"))
+def q_s7_gated(spark, sf_dir):
+    """A version is written, becomes current only if its held-out accuracy passes the gate
+    (D10), and prompts are scored by whatever is current then."""
+    matrix, counts = _first_matrix(spark, sf_dir)
+    nodes = FO.level_forest(matrix.where("NOT is_test"), "tier_label", counts=counts)
+    path = scratch_path(spark, "model-store")
+    accuracy = TR.accuracy(_labelled(FO.score_nodes(matrix.where("is_test"), nodes, ["tier_label"]), "tier_label")).first().accuracy
+    promoted = MS.promote(spark, path, MS.write_version(path, C.VERSION_FIRST_TRAIN, nodes=nodes), accuracy)
+    current, _ = MS.load_nodes(spark, path)
+    prompts = P.assemble_prompts(read(spark, sf_dir, "conversations"))
+    features = online_routing_features(prompts, keep=["conv_id"])
+    routed = TR.score(features, None, ["conv_id"]) if current is None else FO.score_nodes(features, current, ["conv_id"])
+    return routed.withColumn("promoted", F.lit(promoted))

@@ -1,18 +1,22 @@
 """Request-log and routing-failure tables.
 
-Append-only Parquet: the request log is partitioned by ``day`` so dashboard and
-worker scans prune partitions; failures are a plain append table.  A row that
+Append-only Parquet, one folder per append: below it the request log is partitioned by
+``day`` so dashboard and worker scans prune partitions.  A row that
 breaks the NOT NULL / 0-1 rules goes to a reject table instead of failing the job.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import observed
 from ..functions.text import prompt_hash
 from ..operators.training import featurise_failures
+from .ledger import Ledger
 
 LOG_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
@@ -46,15 +50,31 @@ FAILURE_SCHEMA = T.StructType([
 MAX_COST = 3e8
 
 
-def with_identity(records: DataFrame, path: str, schema: T.StructType) -> DataFrame:
-    """Records without an ``id`` get one above every id that the table (and its rejects)
-    holds, so that no two appends share an identity.  Appends to a table run one by one."""
+@contextmanager
+def identified(records: DataFrame, path: str):
+    """Yields (records with an ``id``, this append's number, a function to tell the highest id).
+
+    Records that bring ids keep them (a NULL stays NULL and is rejected later) and raise the
+    table's ledger above them; others get ids from a range leased for this append, of which
+    the unused rest is given back at the end.  The table itself is never read, and appends
+    may run at the same time."""
+    ledger = Ledger(records.sparkSession, path)
     if "id" in records.columns:
-        return records
-    spark = records.sparkSession
-    ids = scan(spark, path, schema).select("id").unionByName(scan(spark, path.rstrip("/") + "_rejects", schema).select("id"))
-    top = ids.agg(F.max("id")).first()[0]
-    return records.withColumn("id", F.lit(0 if top is None else top + 1) + F.monotonically_increasing_id())
+        top = records.agg(F.max(F.col("id").cast("long"))).first()[0]
+        lease = ledger.lease(0 if top is None else top + 1)
+        ledger.close(lease, lease.start)
+        yield records, lease.number, lambda top: None
+        return
+    lease, used = ledger.lease(), []
+    yield records.withColumn("id", F.lit(lease.start) + F.monotonically_increasing_id()), lease.number, used.append
+    # only reached when the append succeeded: a lost writer keeps its range
+    ledger.close(lease, lease.start if not used or used[-1] is None else used[-1] + 1)
+
+
+def append(rows: DataFrame, path: str, number: int, by: list[str] | None = None) -> None:
+    """Add a numbered append to a table.  Each is a partition folder of its own: writers that
+    share a folder would move and clean up each other's files while they commit."""
+    rows.write.partitionBy(*(by or [])).parquet(f"{path.rstrip('/')}/append={number}")
 
 
 def need_identity(schema) -> None:
@@ -65,7 +85,7 @@ def need_identity(schema) -> None:
 
 def telemetry_projection(records: DataFrame) -> DataFrame:
     """S1 row logic: hash the prompt, flag -> 0/1, default timestamp, day column and
-    a validity flag (NOT NULL columns, flag in {0, 1}, a cost that money sums can hold)."""
+    a validity flag (an id, NOT NULL columns, flag in {0, 1}, a cost that money sums can hold)."""
     cols = set(records.columns)
     ts = F.col("timestamp").cast("timestamp_ntz") if "timestamp" in cols else F.lit(None).cast("timestamp_ntz")
     ts = F.coalesce(ts, F.localtimestamp())
@@ -80,7 +100,7 @@ def telemetry_projection(records: DataFrame) -> DataFrame:
         F.col("quality_score").cast("double").alias("quality_score"),
         flag01.cast("int").alias("was_escalated"))
     valid = F.lit(True)
-    for c in ["prompt_hash", "complexity_tier_assigned", "routed_model", "cost", "latency", "was_escalated"]:
+    for c in ["id", "prompt_hash", "complexity_tier_assigned", "routed_model", "cost", "latency", "was_escalated"]:
         valid = valid & F.col(c).isNotNull()
     valid = valid & ~F.isnan("cost") & (F.abs("cost") < MAX_COST)
     return out.select("*", F.to_date("timestamp").alias("day"), valid.alias("_valid"))
@@ -89,27 +109,27 @@ def telemetry_projection(records: DataFrame) -> DataFrame:
 def append_request_telemetry(records: DataFrame, path: str) -> None:
     """Append valid rows to ``path`` (partitioned by day), rejects to ``path_rejects``.
 
-    The projection is computed once (persisted) and written twice; each write is a
-    plain append, so a retried task never duplicates committed files.
+    The rows are projected and written in one pass that also counts the rejects; only an
+    append that has some reads its records again for them.  Each write is a plain append,
+    so a retried task never duplicates committed files.
     """
-    proj = telemetry_projection(with_identity(records, path, LOG_TABLE_SCHEMA)).persist()
-    try:
+    with identified(records, path) as (numbered, number, written):
+        proj = telemetry_projection(numbered)
         # a rebalance puts a day's rows together, in files of the advisory size
-        valid = proj.where("_valid").drop("_valid").hint("rebalance", "day")
-        valid.write.mode("append").partitionBy("day").parquet(path)
-        rej = proj.where(~F.col("_valid")).drop("_valid")
-        rej.write.mode("append").parquet(path.rstrip("/") + "_rejects")
-    finally:
-        proj.unpersist()
+        got = observed(proj, {"rejects": F.count_if(~F.col("_valid")), "top": F.max("id")},
+                       lambda rows: append(rows.where("_valid").drop("_valid").hint("rebalance", "day"), path, number, ["day"]))
+        written(got["top"])
+        if got["rejects"]:
+            append(proj.where(~F.col("_valid")).drop("_valid"), path.rstrip("/") + "_rejects", number)
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Parquet scan with a fixed schema; a table that does not exist yet reads as empty."""
+    """Parquet scan with a fixed schema; a table that does not exist yet reads as empty.
+    Appends that were not finished are invisible (their files are not committed)."""
     from pyspark.errors import AnalysisException
     try:
         df = spark.read.schema(schema).parquet(path)
-        df.schema  # noqa: B018 - resolves the path now (Spark Connect resolves lazily)
-        return df
+        return df.select(*schema.fieldNames()) if isinstance(schema, T.StructType) else df   # without the append's number
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return spark.createDataFrame([], schema)
@@ -130,8 +150,15 @@ def failure_projection(events: DataFrame) -> DataFrame:
 
 
 def append_routing_failures(events: DataFrame, path: str) -> None:
-    """Featurise and append failure rows (prompt, assigned_tier, true_tier; optional id)."""
-    failure_projection(with_identity(events, path, FAILURE_SCHEMA)).select([f.name for f in FAILURE_SCHEMA.fields]).write.mode("append").parquet(path)
+    """Featurise and append failure rows (prompt, assigned_tier, true_tier; optional id).
+    Rows that bring a NULL id go to ``path_rejects``."""
+    with identified(events, path) as (numbered, number, written):
+        rows = failure_projection(numbered).select([f.name for f in FAILURE_SCHEMA.fields])
+        got = observed(rows, {"rejects": F.count_if(F.col("id").isNull()), "top": F.max("id")},
+                       lambda df: append(df.where("id IS NOT NULL"), path, number))
+        written(got["top"])
+        if got["rejects"]:
+            append(rows.where("id IS NULL"), path.rstrip("/") + "_rejects", number)
 
 
 def scan_routing_failures(spark: SparkSession, path: str) -> DataFrame:

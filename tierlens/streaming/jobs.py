@@ -162,10 +162,13 @@ def read_live_rollup(spark: SparkSession, out_path: str) -> DataFrame:
 # --------------------------------------------------------------------------- W6
 def stream_failure_capture(spark: SparkSession, landing: str, schema, failures_path: str, checkpoint: str,
                            files_per_trigger: int | None = None) -> None:
-    """Failure events landing as files -> D14 features -> failures table."""
+    """Failure events landing as files -> D14 features -> failures table.
+    Events with a NULL id go to ``<failures>_rejects`` through a second query."""
     need_identity(schema)
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     proj = failure_projection(reader.parquet(landing)).select([f.name for f in FAILURE_SCHEMA.fields])
-    _run(proj.writeStream.format("parquet").option("path", failures_path), checkpoint)
+    _run(proj.where("id IS NOT NULL").writeStream.format("parquet").option("path", failures_path), checkpoint)
+    _run(proj.where("id IS NULL").writeStream.format("parquet").option("path", failures_path.rstrip("/") + "_rejects"),
+         checkpoint.rstrip("/") + "_rejects")
