@@ -79,8 +79,9 @@ def _run(writer, checkpoint: str) -> None:
 # --------------------------------------------------------------------------- W3
 def continuous_verification(spark: SparkSession, log_path: str, pairs: DataFrame, verdict_path: str,
                             checkpoint: str, files_per_trigger: int | None = None) -> None:
-    """Stream new log files, keep pending rows (W1 predicate), verify them against
-    their paired outputs (V7 sync) and append verdicts (read by W2's current view).
+    """W3 for outputs in a table that is read as it stands (:func:`stateful_verification` is for
+    outputs that arrive as files): stream new log files, keep pending rows (W1 predicate), verify
+    them against their paired outputs (V7 sync) and append verdicts (read by W2's current view).
 
     Rows whose outputs are not there yet are kept in ``<verdicts>_waiting``; every run
     first tries the waiting rows that still have no verdict, so late outputs are found.
@@ -88,10 +89,9 @@ def continuous_verification(spark: SparkSession, log_path: str, pairs: DataFrame
     waiting_path = verdict_path.rstrip("/") + "_waiting"
     done = scan(spark, verdict_path, VERDICT_SCHEMA).select("id")
     waiting = scan(spark, waiting_path, WAITING_SCHEMA).select("id").distinct().join(done, "id", "left_anti")
-    late = verdicts_for(waiting, pairs)
-    if not late.isEmpty():
-        # numbered apart from the stream's batches; an id gets one verdict here
-        late.withColumn("batch_id", F.lit(-time.time_ns())).write.mode("append").partitionBy("batch_id").parquet(verdict_path)
+    # numbered apart from the stream's batches; an id gets one verdict here
+    (verdicts_for(waiting, pairs).withColumn("batch_id", F.lit(-time.time_ns()))
+     .write.mode("append").partitionBy("batch_id").parquet(verdict_path))
     reader = spark.readStream.schema(LOG_TABLE_SCHEMA)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -104,6 +104,47 @@ def continuous_verification(spark: SparkSession, log_path: str, pairs: DataFrame
     _run(pending.writeStream.foreachBatch(process), checkpoint)
 
 
+def stateful_verification(spark: SparkSession, log_path: str, pairs_path: str, pairs_schema, verdict_path: str, checkpoint: str,
+                          wait: str | None = None, files_per_trigger: int | None = None) -> None:
+    """W3 as a join of two streams: log rows that need a verdict, and outputs as they arrive.
+
+    Outputs are judged when they arrive (V7 sync needs nothing but the pair), so the state
+    keeps an id on one side and (id, score, flag) on the other, never texts; whichever comes
+    first waits for the other in the state store.  Every file is read once: no verdict,
+    waiting row or pair is looked at again in later runs.  An id with several outputs gets a
+    verdict for each; W2 takes the latest.
+
+    Without ``wait`` nothing is ever too late and the state keeps all ids.  With it (such as
+    "30 days", from arrival to arrival) the state is bounded: a log row whose outputs have not
+    come by then goes to ``<verdicts>_expired`` and both sides are forgotten.
+    """
+    def stream(path: str, schema):
+        reader = spark.readStream.schema(schema)
+        return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
+
+    asked = pending_filter(stream(log_path, LOG_TABLE_SCHEMA)).where("id IS NOT NULL").select("id")
+    judged = verify_pairs(stream(pairs_path, pairs_schema).withColumnRenamed("pair_id", "id"), "sync", key="id")
+    judged = judged.select(F.col("id").alias("of"), F.col("score").alias("quality_score"), (~F.col("passed")).cast("int").alias("was_escalated"))
+    if wait is None:
+        both = asked.join(judged, asked["id"] == judged["of"])
+    else:
+        asked = asked.withColumn("asked", F.current_timestamp()).withWatermark("asked", wait)
+        judged = judged.withColumn("answered", F.current_timestamp()).withWatermark("answered", wait)
+        near = F.expr(f"of = id AND answered >= asked - INTERVAL {wait} AND answered <= asked + INTERVAL {wait}")
+        both = asked.join(judged, near, "left_outer")
+    sink, expired = _batch_writer(verdict_path), _batch_writer(verdict_path.rstrip("/") + "_expired")
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("id", "quality_score", "was_escalated", "of")
+        if wait is None:
+            return sink(rows.drop("of"), batch_id)
+        kept = rows.persist()                      # a micro-batch: its state update cannot run twice
+        sink(kept.where("of IS NOT NULL").drop("of"), batch_id)
+        expired(kept.where("of IS NULL").select("id"), batch_id)
+        kept.unpersist()
+    _run(both.writeStream.outputMode("append").foreachBatch(process), checkpoint)
+
+
 def read_verdicts(spark: SparkSession, verdict_path: str) -> DataFrame:
     return scan(spark, verdict_path, VERDICT_SCHEMA).withColumnRenamed("batch_id", "verdict_seq")
 
