@@ -194,7 +194,20 @@ def test_jaccard_odd(odd, none):
     assert jaccard.join(none).count() == 0
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(str(r[0]) for r in rows(kept)) == sorted(["1", "2", "3", "4", "5", "6", "7", "None", "8", "9"])
+    assert sorted(str(r[0]) for r in rows(kept)) == sorted(["1", "2", "3", "4", "5", "6", "7", "7", "None", "8", "9"])
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_keep_one_by_row(spark, kind):
+    """Ids that are null or on several rows: a text stays unless another row of its group does."""
+    a, b, c = "the quick brown fox jumps over the lazy dog", "an unrelated text about other things entirely", "third text that nobody else has here"
+    cast = (lambda i: None if i is None else f"id{i}") if kind == "string" else (lambda i: i)
+    docs = [(3, a), (3, b), (1, a), (None, a), (None, c), (None, c), (2, ""), (2, ""), (5, b), (6, "lone words"), (6, "lone words")]
+    df = spark.createDataFrame([(cast(i), t, k) for k, (i, t) in enumerate(docs)], f"doc_id {kind}, text string, k int").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(df).collect()), key=str)
+    assert kept == sorted([(cast(i), t) for i, t in [(1, a), (3, b), (None, c), (2, ""), (2, ""), (6, "lone words")]], key=str)
+    low = {(r.doc_id, r.component_id) for r in jaccard.join(df).collect()}
+    assert (cast(5), cast(3)) in low and (cast(None), cast(1)) in low
 
 
 # ---------------------------------------------------------------- 5 quality

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from tierlens.session import scratch_path
 
+_LIBC = ctypes.CDLL(None)
 #: Text handled at once inside a task; a longer single text is handled alone.
 SLICE_BYTES = 2 << 20
 
@@ -79,10 +81,22 @@ def map_text(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]],
                 cols = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, ty)
                         for x, ty in zip(got, types)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=out.names)
+                del got, cols
+        work = None
+        tidy()
 
     return df.mapInArrow(run, out)
 
 
+def tidy() -> None:
+    """At the end of a task: give freed memory back to the system.  Python workers outlive their
+    task, and what they hold on to is missing to the executor's next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def raw_text(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
