@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx_
 from ..session import scratch_path
 from ..sources import logs as L
+from ..streaming import compaction as CO
 from ..streaming import jobs as W
 from . import oracle as O
 from .q_routing import _dispatch_sql
@@ -119,6 +120,24 @@ def q_w3(spark, sf_dir):
     return W.read_verdicts(spark, out).select("id", "quality_score", "was_escalated")
 
 
+@register("w2_compacted_log", _logs_sql(
+    "SELECT l.id, l.timestamp, l.prompt_hash, l.complexity_tier_assigned, l.routed_model, l.cost, l.latency, "
+    "coalesce(v.quality_score, l.quality_score) AS quality_score, coalesce(v.was_escalated, l.was_escalated) "
+    "AS was_escalated, CAST(l.timestamp AS DATE) AS day FROM request_logs l LEFT JOIN verdicts v USING (id)", **_VERDICT_CTES))
+def q_w2_compacted(spark, sf_dir):
+    """Two rounds of append, verification and compaction, then an append and verdicts that the
+    base does not hold yet."""
+    records, pairs = fx_.telemetry_records(spark, sf_dir), fx_.verification_pairs(spark, sf_dir)
+    log, landing, out, ck = (scratch_path(spark, n) for n in ("request-log", "landing-pairs", "verdicts", "ck-w2"))
+    pairs.write.parquet(landing)
+    for part in range(3):
+        L.append_request_telemetry(records.where(F.col("id") % 3 == part), log)
+        W.stateful_verification(spark, log, landing, pairs.schema, out, ck)
+        if part < 2:
+            CO.compact(spark, log, out)
+    return CO.read_current(spark, log, out)
+
+
 @register("w4_stream_request_telemetry", _logs_sql(
     f"SELECT {LOG_COLS}, CAST(timestamp AS DATE) AS day FROM request_logs"))
 def q_w4(spark, sf_dir):

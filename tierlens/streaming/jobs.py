@@ -21,7 +21,7 @@ from ..operators.verify import verify_pairs
 from ..sources.logs import FAILURE_SCHEMA, LOG_TABLE_SCHEMA, failure_projection, need_identity, scan, telemetry_projection
 
 ROLLUP_SCHEMA = "day date, cost_dec decimal(30,10), b_dec decimal(30,10), total_count long, escalated_count long, batch_id long"
-VERDICT_SCHEMA = "id long, quality_score double, was_escalated int, batch_id long"
+VERDICT_SCHEMA = "id long, quality_score double, was_escalated int, day date, batch_id long"
 WAITING_SCHEMA = "id long, batch_id long"
 
 
@@ -109,7 +109,7 @@ def stateful_verification(spark: SparkSession, log_path: str, pairs_path: str, p
     """W3 as a join of two streams: log rows that need a verdict, and outputs as they arrive.
 
     Outputs are judged when they arrive (V7 sync needs nothing but the pair), so the state
-    keeps an id on one side and (id, score, flag) on the other, never texts; whichever comes
+    keeps (id, day) on one side and (id, score, flag) on the other, never texts; whichever comes
     first waits for the other in the state store.  Every file is read once: no verdict,
     waiting row or pair is looked at again in later runs.  An id with several outputs gets a
     verdict for each; W2 takes the latest.
@@ -122,7 +122,7 @@ def stateful_verification(spark: SparkSession, log_path: str, pairs_path: str, p
         reader = spark.readStream.schema(schema)
         return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
-    asked = pending_filter(stream(log_path, LOG_TABLE_SCHEMA)).where("id IS NOT NULL").select("id")
+    asked = pending_filter(stream(log_path, LOG_TABLE_SCHEMA)).where("id IS NOT NULL").select("id", "day")
     judged = verify_pairs(stream(pairs_path, pairs_schema).withColumnRenamed("pair_id", "id"), "sync", key="id")
     judged = judged.select(F.col("id").alias("of"), F.col("score").alias("quality_score"), (~F.col("passed")).cast("int").alias("was_escalated"))
     if wait is None:
@@ -135,7 +135,7 @@ def stateful_verification(spark: SparkSession, log_path: str, pairs_path: str, p
     sink, expired = _batch_writer(verdict_path), _batch_writer(verdict_path.rstrip("/") + "_expired")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("id", "quality_score", "was_escalated", "of")
+        rows = batch.select("id", "quality_score", "was_escalated", "day", "of")
         if wait is None:
             return sink(rows.drop("of"), batch_id)
         kept = rows.persist()                      # a micro-batch: its state update cannot run twice
