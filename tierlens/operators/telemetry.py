@@ -86,23 +86,20 @@ HIST_LO = 1
 HIST_WIDTH = "0.2"
 
 
-def quality_histogram(logs: DataFrame) -> DataFrame:
-    """20 bins of 0.2 on [1, 5] (5.0 in the last bin), NULL scores left out.
-
-    Scores below 1 go to bin -1, above 5 to bin 20 (rows only if such scores exist).
-    Bins are computed in exact decimal arithmetic, then joined to a 20-row spine so
-    empty bins show a zero count.
-    """
-    q = F.col("quality_score")
-    qd = q.cast(MONEY)
+def quality_bin(score: str = "quality_score") -> Column:
+    """T8's bin of a score, in exact decimal arithmetic: -1 below 1, 20 above 5, NULL for no
+    score or NaN."""
+    q = F.col(score)
     b = (F.when(q < HIST_LO, F.lit(-1))
           .when(q > HIST_LO + HIST_BINS * float(HIST_WIDTH), F.lit(HIST_BINS))
-          .otherwise(F.least(F.floor((qd - F.lit(HIST_LO)) * F.lit(int(1 / float(HIST_WIDTH)))),
+          .otherwise(F.least(F.floor((q.try_cast(MONEY) - F.lit(HIST_LO)) * F.lit(int(1 / float(HIST_WIDTH)))),
                              F.lit(HIST_BINS - 1))).cast("int"))
-    counts = (logs.where(q.isNotNull() & ~F.isnan(q)).select(b.alias("bin"))
-              .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
-    spark = logs.sparkSession
-    spine = spark.range(HIST_BINS).select(F.col("id").cast("int").alias("bin"))
+    return F.when(q.isNotNull() & ~F.isnan(q), b)
+
+
+def histogram_of(counts: DataFrame) -> DataFrame:
+    """T8's table from (bin, n), joined to a 20-row spine so empty bins show a zero count."""
+    spine = counts.sparkSession.range(HIST_BINS).select(F.col("id").cast("int").alias("bin"))
     out = spine.join(counts, "bin", "full_outer")
     width = F.expr(f"CAST({HIST_WIDTH} AS DECIMAL(3,1))")
     return out.select(
@@ -112,6 +109,14 @@ def quality_histogram(logs: DataFrame) -> DataFrame:
         F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("count"))
 
 
+def quality_histogram(logs: DataFrame) -> DataFrame:
+    """20 bins of 0.2 on [1, 5] (5.0 in the last bin), NULL scores left out.
+
+    Scores below 1 go to bin -1, above 5 to bin 20 (rows only if such scores exist).
+    """
+    return histogram_of(logs.select(quality_bin().alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
+
+
 def escalation_rate(logs: DataFrame) -> DataFrame:
     """Per day, requests, escalations and the escalation rate in percent (rows without
     a timestamp belong to no day)."""

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from .. import fixtures as fx_
 from ..operators import telemetry as T
+from ..session import scratch_path
+from ..sources import logs as L
+from ..streaming import compaction as CO
+from ..streaming import dashboard_view as DV
 from . import oracle as O
-from .registry import register
+from .registry import ORACLE, register
 
 _BASELINE_SQL = ("CASE WHEN contains(lower(routed_model), 'gpt-4o-mini') THEN cost * 25.0 "
                  "WHEN contains(lower(routed_model), 'haiku') OR contains(lower(routed_model), 'llama') "
@@ -97,3 +101,40 @@ SELECT CAST(timestamp AS DATE) AS day, count(id) AS total_count, CAST(coalesce(s
 FROM request_logs WHERE timestamp IS NOT NULL GROUP BY 1"""))
 def q_esc(spark, sf_dir):
     return T.escalation_rate(fx_.request_logs(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- T4-T9 from the maintained view
+def _view(spark, sf_dir):
+    """The log in two appends, compacted and refreshed after each."""
+    records, log = fx_.telemetry_records(spark, sf_dir), scratch_path(spark, "view-log")
+    for part in (0, 1):
+        L.append_request_telemetry(records.where(records.id % 2 == part), log)
+        CO.compact(spark, log, f"{log}_verdicts")
+        DV.refresh(spark, log)
+    return DV.read_partials(spark, log)
+
+
+_SUMS = f"""count(*) AS requests, CAST(sum(CAST(cost AS {_M})) AS DOUBLE) AS cost, CAST(sum(CAST(b AS {_M})) AS DOUBLE) AS gpt4o_baseline_cost,
+  CAST(sum(CAST(b AS {_M})) - sum(CAST(cost AS {_M})) AS DOUBLE) AS net_savings,
+  CASE WHEN CAST(sum(CAST(b AS {_M})) AS DOUBLE) > 0 THEN CAST(sum(CAST(b AS {_M})) - sum(CAST(cost AS {_M})) AS DOUBLE)
+       / CAST(sum(CAST(b AS {_M})) AS DOUBLE) * 100.0 ELSE 0.0 END AS savings_pct,
+  CAST(sum(was_escalated) AS BIGINT) AS escalated_count, CAST(sum(was_escalated) AS DOUBLE) / CAST(count(id) AS DOUBLE) * 100.0 AS escalation_rate_pct"""
+
+
+@register("t4_t9_spend_view", _logs_sql(f"""
+, e AS (SELECT *, CAST(timestamp AS DATE) AS day, CAST(date_trunc('week', timestamp) AS DATE) AS week, {_BASELINE_SQL} AS b FROM request_logs)
+SELECT 'day' AS grain, day AS period, {_SUMS} FROM e GROUP BY day
+UNION ALL SELECT 'week', week, {_SUMS} FROM e GROUP BY week
+UNION ALL SELECT 'total', NULL, {_SUMS} FROM e"""))
+def q_view_spend(spark, sf_dir):
+    return DV.spend_and_escalation(_view(spark, sf_dir))
+
+
+@register("t7_model_mix_view", ORACLE["t7_model_mix"])
+def q_view_mix(spark, sf_dir):
+    return DV.model_mix(_view(spark, sf_dir))
+
+
+@register("t8_quality_histogram_view", ORACLE["t8_quality_histogram"])
+def q_view_hist(spark, sf_dir):
+    return DV.quality_histogram(_view(spark, sf_dir))

@@ -64,24 +64,32 @@ def _state(spark: SparkSession, log: str, verdicts: str) -> tuple[int, dict, lis
     return n, m, sorted(appends), sorted(batches)
 
 
-def _read(spark: SparkSession, schema, root: str, folders: list[str]) -> DataFrame:
+def read_folders(spark: SparkSession, schema, root: str, folders: list[str]) -> DataFrame:
+    """Partition folders of a table, as its columns; none is an empty table."""
     if not folders:
         return spark.createDataFrame([], schema)
-    fields = schema if isinstance(schema, str) else ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    wanted = [f.split()[0] for f in fields.split(", ")]
-    return spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/{f}" for f in folders]).select(*wanted)
+    df = spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/{f}" for f in folders])
+    return df.select(*spark.createDataFrame([], schema).columns)
 
 
-def _base(spark: SparkSession, log: str, days: dict) -> DataFrame:
+def base_days(spark: SparkSession, log: str) -> dict[str, str]:
+    """The version of each day's base."""
+    sequence = _manifests(spark, log)
+    n = sequence.last()
+    return EMPTY["days"] if n < 0 else sequence.read(n)["days"]
+
+
+def base_rows(spark: SparkSession, log: str, days: dict) -> DataFrame:
+    """Rows of the base of these days (day: version)."""
     root = log.rstrip("/") + "_current/base"
-    return _read(spark, LOG_TABLE_SCHEMA, root, [f"v={v}/day={d}" for d, v in sorted(days.items())])
+    return read_folders(spark, LOG_TABLE_SCHEMA, root, [f"v={v}/day={d}" for d, v in sorted(days.items())])
 
 
 def _filled(spark: SparkSession, log: str, verdicts: str, days: dict, appends: list[int], batches: list[int]) -> DataFrame:
-    rows = _base(spark, log, days).unionByName(_read(spark, LOG_TABLE_SCHEMA, log.rstrip("/"), [f"append={a}" for a in appends]))
+    rows = base_rows(spark, log, days).unionByName(read_folders(spark, LOG_TABLE_SCHEMA, log.rstrip("/"), [f"append={a}" for a in appends]))
     if not batches:
         return rows
-    new = _read(spark, VERDICT_SCHEMA, verdicts.rstrip("/"), [f"batch_id={b}" for b in batches])
+    new = read_folders(spark, VERDICT_SCHEMA, verdicts.rstrip("/"), [f"batch_id={b}" for b in batches])
     return current_log(rows, new, "batch_id")
 
 
@@ -97,8 +105,8 @@ def compact(spark: SparkSession, log: str, verdicts: str) -> bool:
     n, m, appends, batches = _state(spark, log, verdicts)
     if not appends and not batches:
         return False
-    new_rows = _read(spark, LOG_TABLE_SCHEMA, log.rstrip("/"), [f"append={a}" for a in appends])
-    new = _read(spark, VERDICT_SCHEMA, verdicts.rstrip("/"), [f"batch_id={b}" for b in batches])
+    new_rows = read_folders(spark, LOG_TABLE_SCHEMA, log.rstrip("/"), [f"append={a}" for a in appends])
+    new = read_folders(spark, VERDICT_SCHEMA, verdicts.rstrip("/"), [f"batch_id={b}" for b in batches])
     # days are as few as a calendar's; a verdict without its day may be about any of them
     touched = {str(r[0]) if r[0] else None for r in new_rows.select("day").unionByName(new.select("day")).distinct().collect()}
     known = set(m["days"]) if None in touched else touched & set(m["days"])
