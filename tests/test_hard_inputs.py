@@ -117,3 +117,23 @@ def test_unresolved_models_stay_and_failed_calls_are_not_served(spark):
     fb = spark.createDataFrame([(1, "A", C.FALLBACK_TIER), (4, None, C.FALLBACK_TIER)], "id int, out string, tier int")
     rows = {r.id: (r.out, r.tier, r.used_fallback) for r in routing.apply_fallback(calls, fb, "id", "failed", ["out", "tier"]).collect()}
     assert rows == {1: ("A", 3, True), 2: (None, None, False), 3: ("c", 1, False), 4: (None, 3, True)}
+
+
+def test_attempt_chains(spark):
+    from tierlens.plans.q_routing import POLICY
+    cases = {
+        1: [(1, 200, 1.0)], 2: [(1, 500, 1.0), (2, 201, 12.0)], 3: [(1, 404, 1.0), (2, 200, 1.0)],                 # served, served at the limit, refused
+        4: [(1, 429, 1.0), (2, 503, 1.0), (3, None, None), (4, 502, 1.0)],                                         # exhausted
+        5: [(1, 200, 12.5), (2, 404, 99.0), (3, 200, 3.0)],                                                        # late answers may be tried again
+        6: [(1, 500, 1.0), (2, 500, 1.0)], 7: [(5, 200, 1.0), (None, 200, 1.0)], 8: [(2, 200, 1.0), (4, 500, 1.0)],  # open, nothing that counts, a gap
+        9: [(1, 500, 1.0), (1, 200, 1.0), (1, 200, 1.0)], 10: [(1, 200, None)]}                                     # one attempt told three times
+    rows = [(k, *a) for k, v in cases.items() for a in v]
+    df = spark.createDataFrame(rows, "request_id int, attempt int, status int, latency_seconds double").repartition(4)
+    got = {r.request_id: tuple(r)[1:] for r in routing.attempt_chains(df, POLICY).collect()}
+    assert got == {1: ("served", 1, 200, 1, 0, False), 2: ("served", 2, 201, 2, 0, False), 3: ("refused", 1, 404, 1, 0, False),
+                   4: ("exhausted", 4, 502, 4, 0, True), 5: ("served", 3, 200, 3, 2, False), 6: ("open", None, None, 2, 0, False),
+                   7: ("open", None, None, 0, 0, False), 8: ("served", 2, 200, 1, 0, False), 9: ("served", 1, 200, 1, 0, False),
+                   10: ("served", 1, 200, 1, 0, False)}
+    plan = routing.attempt_chains(df, POLICY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert routing.attempt_chains(df.where("false"), POLICY).count() == 0

@@ -89,6 +89,16 @@ def call_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "WHEN 5 THEN 500 WHEN 6 THEN 502 WHEN 7 THEN 503 END AS status")
 
 
+def call_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of provider calls, from ``events``: five numbers per request (one of them may be
+    missing, repeated or beyond what the policy allows), with every kind of status and latency."""
+    return read(spark, sf_dir, "events").selectExpr(
+        "event_id DIV 5 AS request_id", "CAST(1 + (event_id % 5 + event_id DIV 5 % 3) % 5 AS INT) AS attempt",
+        "CASE event_id * 7 % 13 WHEN 0 THEN 200 WHEN 1 THEN 204 WHEN 2 THEN 400 WHEN 3 THEN 429 WHEN 4 THEN 500 WHEN 5 THEN 502 WHEN 6 THEN 503 "
+        "WHEN 7 THEN 429 WHEN 8 THEN 503 WHEN 9 THEN 500 WHEN 10 THEN 404 END AS status",
+        "CASE WHEN event_id % 17 = 3 THEN CAST(NULL AS DOUBLE) ELSE CAST(event_id * 3 % 29 AS DOUBLE) / 2 END AS latency_seconds")
+
+
 def routing_failure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routing failures before featurisation: every document, with tiers from its id."""
     d = read(spark, sf_dir, "documents", spread=True)

@@ -110,3 +110,45 @@ def retry_eligible(status: Column | str, policy: Policy) -> Column:
     """An HTTP status that the runtime policy lists for fallback."""
     s = F.col(status) if isinstance(status, str) else status
     return F.array_contains(F.array(*[F.lit(c) for c in policy.fallback_on_http_codes]), s)
+
+
+def unresolved_traffic(df: DataFrame, model_ref: str) -> DataFrame:
+    """R2's error output as a report: model references that resolve to nothing, with their rows."""
+    return unresolved_models(df, model_ref).groupBy(F.col(model_ref).alias("model_ref")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def attempt_chains(attempts: DataFrame, policy: Policy, key: str = "request_id", attempt: str = "attempt", status: str = "status",
+                   latency: str = "latency_seconds") -> DataFrame:
+    """R5 / R9 over the attempts of each request, under the runtime policy.
+
+    A request may be tried ``1 + retry_attempts`` times, attempts counting from 1; later ones
+    and those without a number are ignored.  An attempt succeeds with a status from 200 to 299
+    within ``timeout_seconds``.  It may be followed by another one if it was late, got no
+    answer or got a status that the policy lists; any other status ends the chain.  Per request:
+
+    * ``outcome``: 'served' by the first success, 'refused' by a status that is not retried,
+      'exhausted' after the last attempt, or 'open' if more attempts are allowed;
+    * ``decided_at`` (the attempt that decided it, NULL while open), ``final_status`` of that
+      attempt (NULL: no answer), ``n_late``, ``n_attempts`` (both of the attempts that count) and
+      ``use_fallback``: the chain is exhausted.
+
+    One aggregate with partial minima, one column per allowed attempt: attempts of a request are
+    never sorted or gathered, and of repeated rows of one attempt the best one counts.
+    """
+    allowed = 1 + policy.retry_attempts
+    late = F.coalesce(F.col(latency) > policy.timeout_seconds, F.lit(False))
+    good = F.coalesce(F.col(status).between(200, 299), F.lit(False)) & ~late
+    again = late | F.col(status).isNull() | F.coalesce(retry_eligible(status, policy), F.lit(False))
+    seen = F.struct(F.when(good, 0).when(again, 1).otherwise(2).alias("rank"), late.alias("late"), F.col(status).alias("status"))
+    per = attempts.groupBy(key).agg(*[F.min(F.when(F.col(attempt) == i, seen)).alias(f"_a{i}") for i in range(1, allowed + 1)])
+    tried = F.array(*[F.when(F.col(f"_a{i}").isNotNull(), F.struct(F.lit(i).alias("n"), F.col(f"_a{i}").alias("a"))) for i in range(1, allowed + 1)])
+    per = per.select(key, F.filter(tried, lambda x: x.isNotNull()).alias("_tried"))
+    per = per.withColumn("_end", F.get(F.filter("_tried", lambda x: x["a"]["rank"] != 1), F.lit(0)))
+    per = per.withColumn("_last", F.get(F.filter("_tried", lambda x: x["n"] == allowed), F.lit(0)))
+    ended, exhausted = F.col("_end").isNotNull(), F.col("_end").isNull() & F.col("_last").isNotNull()
+    decided = F.coalesce("_end", "_last")
+    counted = F.filter("_tried", lambda x: decided.isNull() | (x["n"] <= decided["n"]))
+    return per.select(
+        key, F.when(ended & (F.col("_end.a.rank") == 0), "served").when(ended, "refused").when(exhausted, "exhausted").otherwise("open").alias("outcome"),
+        decided["n"].alias("decided_at"), decided["a"]["status"].alias("final_status"), F.size(counted).cast("long").alias("n_attempts"),
+        F.size(F.filter(counted, lambda x: x["a"]["late"])).cast("long").alias("n_late"), exhausted.alias("use_fallback"))

@@ -42,6 +42,12 @@ FROM orders""",
     "call_statuses": """
 SELECT event_id AS request_id, CASE event_id % 9 WHEN 0 THEN 200 WHEN 1 THEN 400 WHEN 2 THEN 401 WHEN 3 THEN 408
   WHEN 4 THEN 429 WHEN 5 THEN 500 WHEN 6 THEN 502 WHEN 7 THEN 503 END AS status
+FROM events""",
+    "call_attempts": """
+SELECT event_id // 5 AS request_id, CAST(1 + (event_id % 5 + event_id // 5 % 3) % 5 AS INTEGER) AS attempt,
+  CASE event_id * 7 % 13 WHEN 0 THEN 200 WHEN 1 THEN 204 WHEN 2 THEN 400 WHEN 3 THEN 429 WHEN 4 THEN 500 WHEN 5 THEN 502 WHEN 6 THEN 503
+    WHEN 7 THEN 429 WHEN 8 THEN 503 WHEN 9 THEN 500 WHEN 10 THEN 404 END AS status,
+  CASE WHEN event_id % 17 = 3 THEN NULL ELSE CAST(event_id * 3 % 29 AS DOUBLE) / 2 END AS latency_seconds
 FROM events""",
     "routing_failure_events": """
 SELECT doc_id AS id, text AS prompt, CAST(1 + doc_id % 2 AS INTEGER) AS assigned_tier,

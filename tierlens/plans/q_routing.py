@@ -217,6 +217,34 @@ def q_r9(spark, sf_dir):
         "request_id", "status", F.coalesce(R.retry_eligible("status", POLICY), F.lit(False)).alias("retry_eligible"))
 
 
+#: The runtime policy's values, written out: four attempts, 12 seconds, 429 / 500 / 502 / 503.
+@register("r9_attempt_chains", O.with_ctes("""
+, a AS (SELECT request_id, attempt, status, coalesce(latency_seconds > 12.0, FALSE) AS late,
+    status IS NULL OR status IN (429, 500, 502, 503) AS listed FROM call_attempts WHERE attempt BETWEEN 1 AND 4),
+k AS (SELECT *, CASE WHEN status BETWEEN 200 AND 299 AND NOT late THEN 'good' WHEN late OR listed THEN 'again' ELSE 'bad' END AS kind FROM a),
+f AS (SELECT request_id, min(attempt) FILTER (kind <> 'again') AS stop, bool_or(attempt = 4) AS has_last FROM k GROUP BY request_id),
+d AS (SELECT request_id, coalesce(stop, CASE WHEN has_last THEN 4 END) AS decided_at, stop FROM f)
+SELECT d.request_id, CASE WHEN stop IS NOT NULL THEN CASE any_value(kind) FILTER (attempt = stop) WHEN 'good' THEN 'served' ELSE 'refused' END
+    WHEN decided_at IS NOT NULL THEN 'exhausted' ELSE 'open' END AS outcome, decided_at,
+  any_value(status) FILTER (attempt = decided_at) AS final_status, count(*) FILTER (decided_at IS NULL OR attempt <= decided_at) AS n_attempts,
+  count(*) FILTER (late AND (decided_at IS NULL OR attempt <= decided_at)) AS n_late, stop IS NULL AND decided_at IS NOT NULL AS use_fallback
+FROM d JOIN k USING (request_id) GROUP BY d.request_id, decided_at, stop
+UNION ALL
+SELECT DISTINCT request_id, 'open', NULL::INTEGER, NULL::INTEGER, 0, 0, FALSE FROM call_attempts
+WHERE request_id NOT IN (SELECT request_id FROM a)""", **O.fx("call_attempts")))
+def q_r9_chains(spark, sf_dir):
+    """First success in each request's attempts under retry count, timeout and codes."""
+    return R.attempt_chains(fx_.call_attempts(spark, sf_dir), POLICY)
+
+
+@register("r2_unresolved_traffic", _logs_dims("""
+SELECT routed_model AS model_ref, count(*) AS rows FROM request_logs
+WHERE routed_model NOT IN (SELECT model_ref FROM aliases) GROUP BY routed_model"""))
+def q_r2_unresolved(spark, sf_dir):
+    """R2's error output over the log: served model names that the registry cannot resolve."""
+    return R.unresolved_traffic(fx_.request_logs(spark, sf_dir), "routed_model")
+
+
 # --------------------------------------------------------------------------- V1-V9
 def _v_query(cols_sql: str) -> str:
     return _pairs_sql(f"SELECT pair_id, {cols_sql} FROM verification_pairs")
