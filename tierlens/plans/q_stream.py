@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx_
 from ..session import scratch_path
+from ..sources import hash_index as HI
 from ..sources import logs as L
 from ..streaming import compaction as CO
 from ..streaming import jobs as W
@@ -67,6 +68,20 @@ def q_s1_leases(spark, sf_dir):
     return once.groupBy("day").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("ids"))
 
 
+@register("p3_hash_index_lookup", _logs_sql("""
+, top AS (SELECT prompt_hash FROM request_logs GROUP BY prompt_hash ORDER BY count(*) DESC, prompt_hash LIMIT 100)
+SELECT prompt_hash, id, CAST(timestamp AS DATE) AS day, routed_model, timestamp FROM request_logs JOIN top USING (prompt_hash)"""))
+def q_p3_index(spark, sf_dir):
+    """The requests of the 100 most repeated prompts (the report's length) through the hash
+    index, which was built from two appends."""
+    records, log = fx_.telemetry_records(spark, sf_dir), scratch_path(spark, "indexed-log")
+    for part in (0, 1):
+        L.append_request_telemetry(records.where(records.id % 2 == part), log)
+        HI.update(spark, log)
+    top = HI.entries(spark, log).groupBy("prompt_hash").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "prompt_hash").limit(100)
+    return HI.lookup(spark, log, [r.prompt_hash for r in top.collect()])
+
+
 _FEATS_SQL = O.sql_routing_features("prompt", "TRUE", "2", "1")
 
 
