@@ -239,3 +239,20 @@ def test_resample_odd(odd, none, spark):
     assert resample.sample(odd, drawn).columns == odd.columns
     assert resample.draw(none, b).count() == 0
     assert resample.draw(odd, b.where("false")).count() == 12
+
+
+# ---------------------------------------------------------------- languages without a cap
+def test_every_language_is_learned_and_has_its_reference(spark, monkeypatch):
+    from tierlens.llm import langid, quality
+    langs = [f"l{i:02d}" for i in range(70)]
+    docs = [(10 * i + k, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in range(k, k + 40)), x) for i, x in enumerate(langs) for k in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    assert langid.fit(df).langs == langs
+    monkeypatch.setattr(quality, "REF_WORDS", 10)
+    assert {r["lang"] for r in quality.references(quality.features(df))} == set(langs)
+    monkeypatch.setattr(langid, "MAX_LANGS", 69)
+    monkeypatch.setattr(quality, "MAX_LANGS", 69)
+    for run in (lambda: langid.fit(df), lambda: quality.references(quality.features(df))):
+        with pytest.raises(ValueError, match="languages"):
+            run()

@@ -209,7 +209,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
         m = RankBPE(sent.value)  # one per task: its caches end with it
         return lambda b: [m.encode(b.column("text").to_pylist())]
 
-    return map_text(t, "text", [("ids", T.BinaryType())], start).drop("text")
+    return map_text(t, "text", [("ids", T.BinaryType())], start, drop=True)
 
 
 def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -17,6 +17,8 @@ from tierlens.session import scratch_path
 _LIBC = ctypes.CDLL(None)
 #: Text handled at once inside a task; a longer single text is handled alone.
 SLICE_BYTES = 2 << 20
+#: Spark's bound on an Arrow batch, its default, and the one used here.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 
 
 def position(df: DataFrame, name: str) -> int:
@@ -60,14 +62,24 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
             yield batch.slice(a, b - a)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Text goes to Python workers in batches of a few MB, unless the session says otherwise:
+    a batch is held by the JVM, on its way and by the worker at once, for each core."""
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def map_text(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]],
-             start: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
-    """Append ``fields`` to ``df``, computed from Arrow batches.
+             start: Callable[[], Callable[[pa.RecordBatch], list]], drop: bool = False) -> DataFrame:
+    """Append ``fields`` to ``df``, computed from Arrow batches; with ``drop`` the column ``text``
+    is not sent back.
 
     ``start()`` runs once in each task and returns a function from a slice of the
     batch to one list (or Arrow array) per field.  Names in ``df`` must be distinct.
     """
-    out = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in fields]])
+    small_batches(df.sparkSession)
+    kept = [i for i, f in enumerate(df.schema.fields) if not (drop and f.name == text)]
+    out = T.StructType([*[df.schema.fields[i] for i in kept], *[T.StructField(n, t) for n, t in fields]])
 
     def run(batches):
         work = start()
@@ -80,7 +92,7 @@ def map_text(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]],
                     types = [to_arrow_type(t) for _, t in fields]
                 cols = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, ty)
                         for x, ty in zip(got, types)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=out.names)
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], *cols], names=out.names)
                 del got, cols
         work = None
         tidy()
@@ -132,6 +144,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> Da
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

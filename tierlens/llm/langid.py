@@ -8,8 +8,8 @@ of a text counts, none is skipped.
 
 Training (``fit``) uses a bounded sample of labelled rows: about ``SAMPLE_DOCS``
 documents, spread evenly over the languages and chosen by a hash of the id, four
-passages of ``WINDOW`` characters from each.  The ``MAX_LANGS`` commonest labels are
-learned.  Only text and label are looked at; prediction reads the text alone.
+passages of ``WINDOW`` characters from each.  All labels are learned; more than
+``MAX_LANGS`` of them are an error.  Only text and label are looked at; prediction reads the text alone.
 
 A null text and a text without a letter are ``und`` with score 0.0, and so is any text
 when nothing could be learned.  With one learned language every other text gets it with
@@ -35,7 +35,7 @@ FILTERS = 12
 EMBED = 6
 SAMPLE_DOCS = 3000
 PASSAGES = 4
-MAX_LANGS = 64
+MAX_LANGS = 1000
 EPOCHS = 6
 BATCH = 64
 UNKNOWN = "und"
@@ -131,7 +131,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     """Learn from a bounded sample of ``labelled`` (rows without label or letters do not count)."""
     rows = pick(labelled, id=id_col, text=text_col, lang=label_col).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    counts.sort(key=lambda r: (-r["count"], r["lang"]))
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return ByteCNN([])

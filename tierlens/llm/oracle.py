@@ -81,7 +81,6 @@ SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(
 FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN k ON k.r = d.r JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.t GROUP BY d.r, d.doc_id
 """
 
-_LANGS_LIMIT = quality.MAX_LANGS
 _HIST = lambda names: "[" + ", ".join(names) + "]"
 _NOT = lambda cls: f"CAST(len(regexp_replace(text, '[^{cls}]+', '', 'g')) AS BIGINT)"
 _CLASS = ["A-Z", "0-9", "!-/:-@\\[-`{-~", "\\x{80}-\\x{10FFFF}"]
@@ -112,7 +111,7 @@ g AS (SELECT r, doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_rep
              {_HIST([f'k{i}' for i in range(len(quality.COMMON))] + ['n_words' + ''.join(f' - k{i}' for i in range(len(quality.COMMON)))])} AS common FROM f),
 sums AS (SELECT lang, sum(n_words) AS n, {', '.join(f'sum(chars[{i + 1}]) AS a{i}' for i in range(6))},
                 {', '.join(f'sum(common[{i + 1}]) AS b{i}' for i in range(len(quality.COMMON) + 1))}
-         FROM g WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= {quality.REF_WORDS} ORDER BY n DESC, lang LIMIT {_LANGS_LIMIT}),
+         FROM g WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= {quality.REF_WORDS}),
 ref AS (SELECT lang, list_transform({_HIST([f'a{i}' for i in range(6)])}, lambda x: x / greatest(1, {' + '.join(f'a{i}' for i in range(6))})) AS p,
                list_transform({_HIST([f'b{i}' for i in range(len(quality.COMMON) + 1)])}, lambda x: x / greatest(1, n)) AS q FROM sums),
 own AS (SELECT g.*, list_transform(chars, lambda x: x / greatest(1, list_sum(chars))) AS dp,

@@ -15,7 +15,7 @@ limit.  Guards: texts under ``GUARD_WORDS`` words and references of under
 
 A null text counts as empty (and fails the base rules).  Repeated rows count twice in
 the references and are judged alike; an empty table gives an empty result; other
-columns are ignored.  The references of the ``MAX_LANGS`` largest languages are used;
+columns are ignored.  Every language with enough words has a reference (over ``MAX_LANGS`` are an error);
 a text of any further language goes to its nearest reference.
 """
 
@@ -31,7 +31,7 @@ GUARD_WORDS = 50
 REF_WORDS = 1000
 CHAR_LIMIT = 0.285
 WORD_LIMIT = 0.45
-MAX_LANGS = 64
+MAX_LANGS = 1000
 WINDOW = 5
 #: Frequent function words of the languages (en, fr, de, es).
 COMMON = sorted({
@@ -84,10 +84,13 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def references(feats: DataFrame) -> list[dict]:
-    """Histogram sums of the largest languages: a few numbers each."""
+    """Histogram sums of every language with enough words: a few numbers each."""
     sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in (("chars", len(CLASSES) + 2), ("common", len(COMMON) + 1)) for i in range(n)]
     rows = (feats.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.sum("n_words").alias("n"), *sums)
-            .where(F.col("n") >= REF_WORDS).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect())
+            .where(F.col("n") >= REF_WORDS).limit(MAX_LANGS + 1).collect())
+    if len(rows) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    rows.sort(key=lambda r: (-r["n"], r["lang"]))
     return [{"lang": r["lang"], "chars": [r[f"chars{i}"] for i in range(len(CLASSES) + 2)],
              "common": [r[f"common{i}"] for i in range(len(COMMON) + 1)]} for r in rows]
 

@@ -139,7 +139,7 @@ def scored(docs: DataFrame, gain: np.ndarray, seed: int, text: str = "text", doc
         return work
 
     fields = [(c, T.LongType()) for c in ("n_words", "n_features", "weight", "score")]
-    return map_text(pick(docs, doc_id=doc_id, text=text), "text", fields, start).drop("text")
+    return map_text(pick(docs, doc_id=doc_id, text=text), "text", fields, start, drop=True)
 
 
 # ---------------------------------------------------------------- LSD radix sort
