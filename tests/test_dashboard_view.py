@@ -66,3 +66,29 @@ def test_view_survives_death_before_the_switch(spark, monkeypatch):
     assert DV.spend_and_escalation(DV.read_partials(spark, log)).where("grain = 'total'").first().requests == 1
     assert DV.refresh(spark, log) == ["2025-01-01"]
     check(spark, log, verdicts)
+
+
+def scores(spark, values):
+    return spark.createDataFrame([(v,) for v in values], "quality_score double").repartition(3)
+
+
+def test_data_histogram(spark):
+    from decimal import Decimal
+    for lo, hi, step in [("1", "5", "0.2"), ("0", "1", "0.05"), ("0", "1.01", "0.1"), ("3", "3", "1"), ("-7", "1000", "100"), ("0", "0.002", "0.0001"), ("0", "40", "2")]:
+        assert T.nice_step(Decimal(lo), Decimal(hi)) == Decimal(step)
+    nan = float("nan")
+    got = [tuple(r) for r in T.data_histogram(scores(spark, [-0.3, 0.0, 0.1, 0.1, 0.3, 0.7, None, nan, 1.7])).orderBy("bin").collect()]
+    assert [(round(a, 9), n) for _, a, _, n in got] == [(-0.3, 1), (-0.2, 0), (-0.1, 0), (0.0, 1), (0.1, 2), (0.2, 0), (0.3, 1), (0.4, 0), (0.5, 0), (0.6, 0), (0.7, 1)] + [
+        (round(0.8 + k / 10, 9), 0) for k in range(8)] + [(1.6, 1)]
+    assert all(b == got[k + 1][1] for k, (_, _, b, _) in enumerate(got[:-1])) and got[-1][2] == 1.7
+    assert [tuple(r) for r in T.data_histogram(scores(spark, [4.5, 4.5])).collect()] == [(0, 4.0, 5.0, 2)]
+    assert T.data_histogram(scores(spark, [None, nan])).count() == 0
+
+
+def test_quantiles_are_within_their_error(spark):
+    import random
+    random.seed(1)
+    values = [random.gauss(3, 1) for _ in range(20_000)]
+    got = {r.share: r.score for r in T.quality_quantiles(scores(spark, [*values, None, float("nan")]), [0.0, 0.1, 0.5, 0.99, 1.0], 1000).collect()}
+    for share, score in got.items():
+        assert abs(sum(v <= score for v in values) - share * len(values)) <= len(values) / 1000 + 1

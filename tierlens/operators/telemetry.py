@@ -8,6 +8,8 @@ single task ever sees all rows of a key.
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +119,51 @@ def quality_histogram(logs: DataFrame) -> DataFrame:
     return histogram_of(logs.select(quality_bin().alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
 
 
+#: T8 with bins from the data: this many at most, besides one for the alignment of the first edge.
+MAX_BINS = 20
+
+
+def nice_step(lo: Decimal, hi: Decimal, bins: int = MAX_BINS) -> Decimal:
+    """The least of 1, 2 or 5 times a power of ten that cuts lo..hi into at most ``bins``."""
+    rough = (hi - lo) / bins
+    if rough <= 0:
+        return Decimal(1)
+    base = Decimal(10) ** rough.adjusted()            # the power of ten at or below it
+    return next(base * m for m in (1, 2, 5, 10) if base * m >= rough)
+
+
+def data_histogram(logs: DataFrame, bins: int = MAX_BINS) -> DataFrame:
+    """T8 with edges from the data: (bin, bin_start, bin_end, count) from the least to the greatest
+    score in nice steps, edges at multiples of the step, the greatest score in the last bin.
+
+    Two passes over one column: least and greatest (one row), then counts per bin; empty bins
+    have a zero count.  NULL and NaN scores and those beyond the money type are left out; one
+    score makes one bin, none an empty table.  Exact decimal arithmetic throughout."""
+    q = F.when(~F.isnan("quality_score"), F.col("quality_score").try_cast(MONEY))
+    scores = logs.select(q.alias("q")).where("q IS NOT NULL")
+    lo, hi = scores.agg(F.min("q"), F.max("q")).first()
+    spark = logs.sparkSession
+    if lo is None:
+        return spark.createDataFrame([], "bin int, bin_start double, bin_end double, count long")
+    step = nice_step(lo, hi, bins)
+    start = (lo / step).to_integral_value(ROUND_FLOOR) * step
+    n = max(1, int(((hi - start) / step).to_integral_value(ROUND_CEILING)))
+    wide = lambda d: F.lit(str(d)).cast("decimal(30,10)")
+    at = F.least(F.call_function("div", F.col("q") - wide(start), wide(step)), F.lit(n - 1).cast("long")).cast("int")
+    counts = scores.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    spine = spark.range(n).select(F.col("id").cast("int").alias("bin"))
+    edge = lambda i: (wide(start) + i.cast("decimal(10,0)") * wide(step)).cast("double")
+    return spine.join(counts, "bin", "left").select("bin", edge(F.col("bin")).alias("bin_start"), edge(F.col("bin") + 1).alias("bin_end"),
+                                                    F.coalesce("n", F.lit(0)).cast("long").alias("count"))
+
+
+def quality_quantiles(logs: DataFrame, shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(share, score) from a mergeable sketch: a score's rank is off by at most rows / ``accuracy``."""
+    q = F.when(~F.isnan("quality_score"), F.col("quality_score"))
+    sketch = logs.agg(F.percentile_approx(q, [float(x) for x in shares], accuracy).alias("s"))
+    return sketch.select(F.inline(F.arrays_zip(F.array(*[F.lit(float(x)) for x in shares]).alias("share"), F.col("s").alias("score")))).toDF("share", "score")
+
+
 def escalation_rate(logs: DataFrame) -> DataFrame:
     """Per day, requests, escalations and the escalation rate in percent (rows without
     a timestamp belong to no day)."""

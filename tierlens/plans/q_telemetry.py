@@ -95,6 +95,21 @@ def q_hist(spark, sf_dir):
     return T.quality_histogram(fx_.request_logs(spark, sf_dir))
 
 
+@register("t8_data_histogram", _logs_sql("""
+, q AS (SELECT CAST(round(quality_score * 1e10) AS HUGEINT) AS q FROM request_logs WHERE quality_score IS NOT NULL AND NOT isnan(quality_score)),
+m AS (SELECT min(q) AS lo, max(q) AS hi FROM q),
+b AS (SELECT lo, hi, (hi - lo) / 20.0 AS rough, CAST(pow(10, floor(log10((hi - lo) / 20.0))) AS HUGEINT) AS base FROM m),
+s AS (SELECT lo, hi, base * CASE WHEN base >= rough THEN 1 WHEN base * 2 >= rough THEN 2 WHEN base * 5 >= rough THEN 5 ELSE 10 END AS step FROM b),
+e AS (SELECT hi, step, lo // step * step AS start, greatest(1, (hi - lo // step * step + step - 1) // step) AS n FROM s),
+c AS (SELECT least((q - start) // step, n - 1) AS bin, count(*) AS k FROM q, e GROUP BY 1)
+SELECT CAST(i AS INTEGER) AS bin, CAST((start + i * step) / 1e10 AS DOUBLE) AS bin_start, CAST((start + (i + 1) * step) / 1e10 AS DOUBLE) AS bin_end,
+  coalesce(k, 0) AS count
+FROM (SELECT unnest(range(CAST(n AS BIGINT))) AS i, start, step FROM e) LEFT JOIN c ON c.bin = i"""))
+def q_data_hist(spark, sf_dir):
+    """T8 with up to 20 bins whose edges come from the data."""
+    return T.data_histogram(fx_.request_logs(spark, sf_dir))
+
+
 @register("t9_daily_escalation", _logs_sql("""
 SELECT CAST(timestamp AS DATE) AS day, count(id) AS total_count, CAST(coalesce(sum(was_escalated), 0) AS BIGINT) AS escalated_count,
   CAST(coalesce(sum(was_escalated), 0) AS DOUBLE) / CAST(count(id) AS DOUBLE) * 100.0 AS escalation_rate_pct
