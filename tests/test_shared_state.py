@@ -168,3 +168,41 @@ def test_loaded_pipeline_is_the_saved_one(spark, models):
     MS.save_model(first, path, "1.0.0")
     model, _ = MS.load_model(spark, path)
     assert isinstance(model, PipelineModel) and same(m, model, first)
+
+
+# --------------------------------------------------------------------------- W4 / W6
+def test_streamed_records_get_ids_once(spark, monkeypatch):
+    from tierlens.streaming import jobs as W
+    landing, log, ck = (scratch_path(spark, n) for n in ("landing", "log", "ck"))
+    first = telemetry(spark, 6)
+    first.write.parquet(landing)
+    close, died = Ledger.close, []
+
+    def dying(self, lease, end):
+        if not died:
+            died.append(lease)
+            raise RuntimeError("died after the write, before the commit")
+        close(self, lease, end)
+    monkeypatch.setattr(Ledger, "close", dying)
+    with pytest.raises(Exception, match="died"):
+        W.stream_request_telemetry(spark, landing, first.schema, log, ck)
+    assert L.scan_request_log(spark, log).count() == 6
+    W.stream_request_telemetry(spark, landing, first.schema, log, ck)      # the same batch again: replaced, not doubled
+    telemetry(spark, 4, cost=float("nan")).unionByName(telemetry(spark, 3)).write.mode("append").parquet(landing)
+    W.stream_request_telemetry(spark, landing, first.schema, log, ck)
+    L.append_request_telemetry(telemetry(spark, 2), log)
+    ids = [r.id for r in L.scan_request_log(spark, log).collect()]
+    assert len(ids) == 11 == len(set(ids)) and spark.read.parquet(log + "_rejects").count() == 4
+
+
+def test_streamed_failures(spark):
+    from tierlens.streaming import jobs as W
+    landing, out, ck = (scratch_path(spark, n) for n in ("landing", "fails", "ck"))
+    events = spark.createDataFrame([(1, "a", 1, 2), (None, "b", 1, 3), (5, "c", 1, 3)], "id long, prompt string, assigned_tier int, true_tier int")
+    events.write.parquet(landing)
+    for _ in range(2):
+        W.stream_failure_capture(spark, landing, events.schema, out, ck)
+    assert sorted(r.id for r in L.scan_routing_failures(spark, out).collect()) == [1, 5]
+    assert [r.prompt for r in spark.read.parquet(out + "_rejects").collect()] == ["b"]
+    L.append_routing_failures(events.drop("id"), out)
+    assert min(r.id for r in L.scan_routing_failures(spark, out).collect() if r.id not in (1, 5)) > 5

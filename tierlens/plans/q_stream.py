@@ -194,5 +194,5 @@ def q_w6(spark, sf_dir):
     landing = _landing(events, spark, "landing-failures")
     out, ck = scratch_path(spark, "stream-failures"), scratch_path(spark, "ck-w6")
     W.stream_failure_capture(spark, landing, events.schema, out, ck)
-    f = spark.read.schema(L.FAILURE_SCHEMA).parquet(out)
+    f = L.scan_routing_failures(spark, out)
     return f.select("id", "assigned_tier", "true_tier", *L.FAILURE_SCHEMA.fieldNames()[4:9])

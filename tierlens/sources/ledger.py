@@ -60,3 +60,13 @@ class Ledger:
         if not lease.start <= end <= lease.start + RESERVE:
             raise ValueError("a lease ends inside its range")
         self.ends.offer(lease.number, {"end": end})
+
+    def lease_of_batch(self, checkpoint: str, batch: int, least: int = 0) -> Lease:
+        """The lease of a stream's batch: the same one each time the batch is repeated.  Which one
+        it is lies beside the stream's checkpoint; one that was leased but not noted is lost."""
+        noted = Sequence(self.leases.spark, checkpoint.rstrip("/") + "_leases", "batch")
+        if not noted.has(batch):
+            lease = self.lease(least)
+            noted.offer(batch, {"number": lease.number, "start": lease.start})
+        found = noted.read(batch)
+        return Lease(found["number"], found["start"])

@@ -51,36 +51,36 @@ MAX_COST = 3e8
 
 
 @contextmanager
-def identified(records: DataFrame, path: str):
+def identified(records: DataFrame, path: str, batch: tuple[str, int] | None = None):
     """Yields (records with an ``id``, this append's number, a function to tell the highest id).
 
     Records that bring ids keep them (a NULL stays NULL and is rejected later) and raise the
     table's ledger above them; others get ids from a range leased for this append, of which
     the unused rest is given back at the end.  The table itself is never read, and appends
-    may run at the same time."""
-    ledger = Ledger(records.sparkSession, path)
-    if "id" in records.columns:
+    may run at the same time.  ``batch`` (a stream's checkpoint and batch number) makes a
+    repeated batch find its own lease again."""
+    spark = records.sparkSession
+    ledger = Ledger(spark, path)
+    brought, least = "id" in records.columns, 0
+    if brought:
         top = records.agg(F.max(F.col("id").cast("long"))).first()[0]
-        lease = ledger.lease(0 if top is None else top + 1)
+        least = 0 if top is None else top + 1
+    lease = ledger.lease(least) if batch is None else ledger.lease_of_batch(*batch, least)
+    if brought:
         ledger.close(lease, lease.start)
         yield records, lease.number, lambda top: None
         return
-    lease, used = ledger.lease(), []
+    used = []
     yield records.withColumn("id", F.lit(lease.start) + F.monotonically_increasing_id()), lease.number, used.append
     # only reached when the append succeeded: a lost writer keeps its range
     ledger.close(lease, lease.start if not used or used[-1] is None else used[-1] + 1)
 
 
-def append(rows: DataFrame, path: str, number: int, by: list[str] | None = None) -> None:
+def append(rows: DataFrame, path: str, number: int, by: list[str] | None = None, again: bool = False) -> None:
     """Add a numbered append to a table.  Each is a partition folder of its own: writers that
-    share a folder would move and clean up each other's files while they commit."""
-    rows.write.partitionBy(*(by or [])).parquet(f"{path.rstrip('/')}/append={number}")
-
-
-def need_identity(schema) -> None:
-    """Streams cannot number their rows: the caller has to."""
-    if "id" not in schema.fieldNames():
-        raise ValueError("streamed records need an id column that identifies a row")
+    share a folder would move and clean up each other's files while they commit.  ``again``:
+    a batch of a stream, which replaces what an earlier try of it has written."""
+    rows.write.mode("overwrite" if again else "errorifexists").partitionBy(*(by or [])).parquet(f"{path.rstrip('/')}/append={number}")
 
 
 def telemetry_projection(records: DataFrame) -> DataFrame:
@@ -106,21 +106,21 @@ def telemetry_projection(records: DataFrame) -> DataFrame:
     return out.select("*", F.to_date("timestamp").alias("day"), valid.alias("_valid"))
 
 
-def append_request_telemetry(records: DataFrame, path: str) -> None:
+def append_request_telemetry(records: DataFrame, path: str, batch: tuple[str, int] | None = None) -> None:
     """Append valid rows to ``path`` (partitioned by day), rejects to ``path_rejects``.
 
     The rows are projected and written in one pass that also counts the rejects; only an
     append that has some reads its records again for them.  Each write is a plain append,
-    so a retried task never duplicates committed files.
+    so a retried task never duplicates committed files.  ``batch``: see :func:`identified`.
     """
-    with identified(records, path) as (numbered, number, written):
+    with identified(records, path, batch) as (numbered, number, written):
         proj = telemetry_projection(numbered)
         # a rebalance puts a day's rows together, in files of the advisory size
         got = observed(proj, {"rejects": F.count_if(~F.col("_valid")), "top": F.max("id")},
-                       lambda rows: append(rows.where("_valid").drop("_valid").hint("rebalance", "day"), path, number, ["day"]))
+                       lambda rows: append(rows.where("_valid").drop("_valid").hint("rebalance", "day"), path, number, ["day"], batch is not None))
         written(got["top"])
         if got["rejects"]:
-            append(proj.where(~F.col("_valid")).drop("_valid"), path.rstrip("/") + "_rejects", number)
+            append(proj.where(~F.col("_valid")).drop("_valid"), path.rstrip("/") + "_rejects", number, again=batch is not None)
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -149,16 +149,16 @@ def failure_projection(events: DataFrame) -> DataFrame:
                     F.coalesce(ts.cast("timestamp_ntz"), F.localtimestamp()).alias("timestamp"))
 
 
-def append_routing_failures(events: DataFrame, path: str) -> None:
+def append_routing_failures(events: DataFrame, path: str, batch: tuple[str, int] | None = None) -> None:
     """Featurise and append failure rows (prompt, assigned_tier, true_tier; optional id).
     Rows that bring a NULL id go to ``path_rejects``."""
-    with identified(events, path) as (numbered, number, written):
+    with identified(events, path, batch) as (numbered, number, written):
         rows = failure_projection(numbered).select([f.name for f in FAILURE_SCHEMA.fields])
         got = observed(rows, {"rejects": F.count_if(F.col("id").isNull()), "top": F.max("id")},
-                       lambda df: append(df.where("id IS NOT NULL"), path, number))
+                       lambda df: append(df.where("id IS NOT NULL"), path, number, again=batch is not None))
         written(got["top"])
         if got["rejects"]:
-            append(rows.where("id IS NULL"), path.rstrip("/") + "_rejects", number)
+            append(rows.where("id IS NULL"), path.rstrip("/") + "_rejects", number, again=batch is not None)
 
 
 def scan_routing_failures(spark: SparkSession, path: str) -> DataFrame:

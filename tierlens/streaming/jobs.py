@@ -2,9 +2,8 @@
 
 The polling worker becomes a file-source stream with ``foreachBatch``; in-place
 UPDATEs become appended verdicts plus a latest-per-id view; the dashboard refresh
-becomes a daily aggregation in update mode.  Every sink is restart-safe: the file sink
-keeps a commit log in the checkpoint, and ``foreachBatch`` writes overwrite only
-their own ``batch_id`` partition, so a replayed batch replaces itself.
+becomes a daily aggregation in update mode.  Every sink is restart-safe: ``foreachBatch``
+writes replace only their own batch's partition or append, so a replayed batch replaces itself.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from .. import constants as C
 from ..functions.money import money
 from ..operators.telemetry import baseline_cost_col
 from ..operators.verify import verify_pairs
-from ..sources.logs import FAILURE_SCHEMA, LOG_TABLE_SCHEMA, failure_projection, need_identity, scan, telemetry_projection
+from ..sources.logs import LOG_TABLE_SCHEMA, append_request_telemetry, append_routing_failures, scan
 
 ROLLUP_SCHEMA = "day date, cost_dec decimal(30,10), b_dec decimal(30,10), total_count long, escalated_count long, batch_id long"
 VERDICT_SCHEMA = "id long, quality_score double, was_escalated int, day date, batch_id long"
@@ -150,20 +149,23 @@ def read_verdicts(spark: SparkSession, verdict_path: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- W4
-def stream_request_telemetry(spark: SparkSession, landing: str, schema, log_path: str, checkpoint: str,
-                             files_per_trigger: int | None = None) -> None:
-    """Raw request records landing as files -> S1 projection -> request log
-    (file sink, partitioned by day, exactly-once through the sink's commit log).
-    Invalid rows go to ``<log>_rejects`` through a second query on the same source."""
-    need_identity(schema)
+def _appended(spark: SparkSession, landing: str, schema, path: str, checkpoint: str, files_per_trigger: int | None, write) -> None:
+    """Each micro-batch of the landing folder as one numbered append of a table."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    proj = telemetry_projection(reader.parquet(landing))
-    _run(proj.where("_valid").drop("_valid").writeStream.format("parquet").partitionBy("day")
-         .option("path", log_path), checkpoint + "/valid")
-    _run(proj.where(~F.col("_valid")).drop("_valid").writeStream.format("parquet")
-         .option("path", log_path.rstrip("/") + "_rejects"), checkpoint + "/rejects")
+    _run(reader.parquet(landing).writeStream.foreachBatch(lambda rows, n: write(rows, path, (checkpoint, n))), checkpoint)
+
+
+def stream_request_telemetry(spark: SparkSession, landing: str, schema, log_path: str, checkpoint: str,
+                             files_per_trigger: int | None = None) -> None:
+    """Raw request records landing as files -> S1 -> request log, rejects to ``<log>_rejects``.
+
+    A micro-batch is an append like any other: its records are read once (again only if some are
+    rejected; ids that they bring are read ahead, as one column), and records without ids get
+    leased ones.  A batch that is repeated after a failure finds its number and range again and
+    replaces what it had written, so each record is in the log once."""
+    _appended(spark, landing, schema, log_path, checkpoint, files_per_trigger, append_request_telemetry)
 
 
 # --------------------------------------------------------------------------- W5
@@ -203,13 +205,6 @@ def read_live_rollup(spark: SparkSession, out_path: str) -> DataFrame:
 # --------------------------------------------------------------------------- W6
 def stream_failure_capture(spark: SparkSession, landing: str, schema, failures_path: str, checkpoint: str,
                            files_per_trigger: int | None = None) -> None:
-    """Failure events landing as files -> D14 features -> failures table.
-    Events with a NULL id go to ``<failures>_rejects`` through a second query."""
-    need_identity(schema)
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    proj = failure_projection(reader.parquet(landing)).select([f.name for f in FAILURE_SCHEMA.fields])
-    _run(proj.where("id IS NOT NULL").writeStream.format("parquet").option("path", failures_path), checkpoint)
-    _run(proj.where("id IS NULL").writeStream.format("parquet").option("path", failures_path.rstrip("/") + "_rejects"),
-         checkpoint.rstrip("/") + "_rejects")
+    """Failure events landing as files -> D14 features -> failures table (S2), each
+    micro-batch one append as in W4; events with a NULL id go to ``<failures>_rejects``."""
+    _appended(spark, landing, schema, failures_path, checkpoint, files_per_trigger, append_routing_failures)
