@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = "regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')"
 _WORDS3 = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -81,6 +79,9 @@ SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(
 FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN k ON k.r = d.r JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.t GROUP BY d.r, d.doc_id
 """
 
+#: The common words of the histogram, as a sorted list.
+_COMMON = sorted(set("the of and to a in is that it for was on de la le et les en des un du une que pour "
+                     "der die und den von zu das sich mit auf el y los las se del por con".split()))
 _HIST = lambda names: "[" + ", ".join(names) + "]"
 _NOT = lambda cls: f"CAST(len(regexp_replace(text, '[^{cls}]+', '', 'g')) AS BIGINT)"
 _CLASS = ["A-Z", "0-9", "!-/:-@\\[-`{-~", "\\x{80}-\\x{10FFFF}"]
@@ -101,27 +102,27 @@ win AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS x FROM (SELECT r, w,
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM win
         JOIN (SELECT r, x FROM win GROUP BY r, x HAVING count(*) > 1) USING (r, x)) GROUP BY r),
 cnt AS (SELECT r, lower(y) AS y, count(*) AS n FROM (SELECT r, unnest(w) AS y FROM b) GROUP BY ALL),
-com AS (SELECT r, {', '.join(f"coalesce(sum(n) FILTER (y = '{c}'), 0) AS k{i}" for i, c in enumerate(quality.COMMON))} FROM cnt GROUP BY r),
+com AS (SELECT r, {', '.join(f"coalesce(sum(n) FILTER (y = '{c}'), 0) AS k{i}" for i, c in enumerate(_COMMON))} FROM cnt GROUP BY r),
 f AS (SELECT b.r, doc_id, lang, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, n_symbols,
              len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, n_chars, c0, c1, c2, c3,
-             {', '.join(f'coalesce(k{i}, 0) AS k{i}' for i in range(len(quality.COMMON)))}
+             {', '.join(f'coalesce(k{i}, 0) AS k{i}' for i in range(len(_COMMON)))}
       FROM b LEFT JOIN rep USING (r) LEFT JOIN com USING (r)),
 g AS (SELECT r, doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
              [n_chars - word_chars, c0, c1, c2, c3, word_chars - c0 - c1 - c2 - c3] AS chars,
-             {_HIST([f'k{i}' for i in range(len(quality.COMMON))] + ['n_words' + ''.join(f' - k{i}' for i in range(len(quality.COMMON)))])} AS common FROM f),
+             {_HIST([f'k{i}' for i in range(len(_COMMON))] + ['n_words' + ''.join(f' - k{i}' for i in range(len(_COMMON)))])} AS common FROM f),
 sums AS (SELECT lang, sum(n_words) AS n, {', '.join(f'sum(chars[{i + 1}]) AS a{i}' for i in range(6))},
-                {', '.join(f'sum(common[{i + 1}]) AS b{i}' for i in range(len(quality.COMMON) + 1))}
-         FROM g WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= {quality.REF_WORDS}),
+                {', '.join(f'sum(common[{i + 1}]) AS b{i}' for i in range(len(_COMMON) + 1))}
+         FROM g WHERE lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= 1000),
 ref AS (SELECT lang, list_transform({_HIST([f'a{i}' for i in range(6)])}, lambda x: x / greatest(1, {' + '.join(f'a{i}' for i in range(6))})) AS p,
-               list_transform({_HIST([f'b{i}' for i in range(len(quality.COMMON) + 1)])}, lambda x: x / greatest(1, n)) AS q FROM sums),
+               list_transform({_HIST([f'b{i}' for i in range(len(_COMMON) + 1)])}, lambda x: x / greatest(1, n)) AS q FROM sums),
 own AS (SELECT g.*, list_transform(chars, lambda x: x / greatest(1, list_sum(chars))) AS dp,
                list_transform(common, lambda x: x / greatest(1, n_words)) AS dq FROM g),
 dist AS (SELECT own.r, {_js('dp', 'ref.p')} AS js_c, {_js('dq', 'ref.q')} AS js_w
          FROM own JOIN ref ON ref.lang = own.lang OR own.lang IS NULL OR own.lang NOT IN (SELECT lang FROM ref)
-         WHERE n_words >= {quality.GUARD_WORDS}),
+         WHERE n_words >= 50),
 near AS (SELECT r, min_by(js_c, js_c + js_w) AS js_c, min_by(js_w, js_c + js_w) AS js_w FROM dist GROUP BY r),
 v AS (SELECT g.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-             coalesce(js_c > {quality.CHAR_LIMIT} OR js_w > {quality.WORD_LIMIT}, FALSE) AS far FROM g LEFT JOIN near USING (r))
+             coalesce(js_c > 0.285 OR js_w > 0.45, FALSE) AS far FROM g LEFT JOIN near USING (r))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM v
 """
