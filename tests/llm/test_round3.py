@@ -256,3 +256,13 @@ def test_every_language_is_learned_and_has_its_reference(spark, monkeypatch):
     for run in (lambda: langid.fit(df), lambda: quality.references(quality.features(df))):
         with pytest.raises(ValueError, match="languages"):
             run()
+
+
+def test_bpe_round_trip_is_decode_after_encode(odd, none, spark):
+    import public_tokenizers
+
+    from tierlens.llm import bpe
+    path = public_tokenizers.path("word_bpe_49k.json")
+    key = lambda df: sorted(((r.doc_id, bytes(r.ids), r.text) for r in df.collect()), key=repr)
+    assert key(bpe.round_trip(odd, path)) == key(bpe.decode(bpe.encode(odd, path), path))
+    assert bpe.round_trip(none, path).count() == 0

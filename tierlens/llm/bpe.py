@@ -222,3 +222,20 @@ def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
         return lambda b: [pa.array(m.decode(b.column("ids").to_pylist()), pa.string())]
 
     return map_text(t, "ids", [("text", T.StringType())], start)
+
+
+def round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text) of :func:`decode` after :func:`encode`, in one pass: one Python worker and
+    one vocabulary for each core instead of two."""
+    sent = _sent(docs, vocab_path)
+    t = pick(docs, **{id_col: id_col, "source": text_col})
+
+    def start():
+        m = RankBPE(sent.value)  # one per task: its caches end with it
+
+        def work(b: pa.RecordBatch) -> list:
+            ids = m.encode(b.column("source").to_pylist())
+            return [ids, pa.array(m.decode(ids), pa.string())]
+        return work
+
+    return map_text(t, "source", [("ids", T.BinaryType()), ("text", T.StringType())], start, drop=True)
