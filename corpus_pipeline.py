@@ -41,8 +41,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and a digest of what they decode to."""
-    path = vocabulary("word_bpe_49k.json")
-    both = bpe.decode(bpe.encode(docs, path), path)
+    both = bpe.round_trip(docs, vocabulary("word_bpe_49k.json"))
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
