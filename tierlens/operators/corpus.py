@@ -26,6 +26,7 @@ from .. import constants as C
 from ..functions.textstats import Spec, View, merge, summary
 from .features import (ALL_SPEC, F12_SPEC, F13_SPEC, TASK_SPEC, diagnostic_features_from, routing_features_from,
                        task_type_from)
+from .selection import MAX_CLASSES
 
 FEATURES = C.FEATURE_COLUMNS
 _JUNCTION_CHARS = "'\""
@@ -248,12 +249,40 @@ PREVIEW_CHARS = 110
 
 
 def first_sample_per_label(corpus: DataFrame, label: str = "tier_label", order: tuple = ("template_idx", "doc_id")) -> DataFrame:
-    """First row of each label in generation order, prompt cut to 110 chars.
+    """First row of each label in generation order (NULL first), prompt cut to 110 chars.
 
-    ``min_by`` aggregates partially on the map side, so a label holding a third of
-    the rows is never gathered in one task (no window over the label).
+    The least key of each label is found first, over the keys alone: minima of plain columns
+    are kept in a hash map per (label, leading keys), so no row is sorted or spilled.  Then only
+    the rows at these keys get a prompt and features: as literals (up to ``MAX_CLASSES`` labels)
+    the keys are compared in the scan where they are columns of the table.  ``min_by`` picks one of
+    the rows that share a key.
     """
+    *lead, last = order
+    least = corpus.groupBy(label, *lead).agg(F.min(last).alias("_least"), F.count_if(F.col(last).isNull()).alias("_nulls"))
+    key = F.struct(*lead, F.when(F.col("_nulls") == 0, F.col("_least")).alias(last))
+    first = least.groupBy(label).agg(F.min(key).alias("k")).select(F.col(label).alias("_label"), *[F.col(f"k.{c}").alias(f"_{c}") for c in order])
+    found = first.limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        same = F.col(label).eqNullSafe(F.col("_label"))
+        for c in order:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        rows = corpus.join(first, same, "left_semi")
+    else:
+        rows = corpus.where(_equals_any(corpus, (label, *order), found))
+        for i, c in enumerate(order, 1):
+            rows = rows.where(_equals_any(corpus, (c,), list(dict.fromkeys((r[i],) for r in found))))
     key = F.struct(*[F.col(c) for c in order])
     row = F.struct(F.substring("prompt", 1, PREVIEW_CHARS).alias("prompt_preview"), *[F.col(c) for c in FEATURES])
-    return (corpus.groupBy(label).agg(F.min_by(row, key).alias("r"))
+    return (rows.groupBy(label).agg(F.min_by(row, key).alias("r"))
             .select(label, "r.*"))
+
+
+def _equals_any(df: DataFrame, columns: tuple, values: list) -> Column:
+    """True where ``columns`` equal one of the tuples ``values`` (NULL equals NULL), else false or NULL."""
+    out = F.lit(False)
+    for v in values:
+        one = F.lit(True)
+        for c, x in zip(columns, v):
+            one = one & (F.col(c).isNull() if x is None else F.col(c) == F.lit(x).cast(df.schema[c].dataType))
+        out = out | one
+    return out
