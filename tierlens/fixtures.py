@@ -101,7 +101,10 @@ def call_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routing_failure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routing failures before featurisation: every document, with tiers from its id."""
-    d = read(spark, sf_dir, "documents", spread=True)
+    return routing_failures_from(read(spark, sf_dir, "documents", spread=True))
+
+
+def routing_failures_from(d: DataFrame) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("id"), F.col("text").alias("prompt"),
         (1 + F.col("doc_id") % 2).cast("int").alias("assigned_tier"),

@@ -86,12 +86,31 @@ def with_class_weight(df: DataFrame, label: str, counts: dict | None = None) ->
     return df.where(F.col(label).isNotNull()).withColumn("weight", weight_column(label, counts))
 
 
+#: Rows of a training matrix for one task of the fit, at most: about 200 MB of Spark ML's copy
+#: (150 draws a row), and enough work to outweigh the sums of all nodes that each task sends.
+FIT_ROWS = 1 << 18
+#: Documents for one task that featurises them with all their templates, at most.
+FEATURE_ROWS = 1 << 12
+
+
+def dealt(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """``df`` in equal parts of at most ``per_task`` rows; where that is fewer parts than cores, in
+    one per core, but of no less than a quarter of that.  What makes one part is left as it is.
+
+    The parts of a scan follow from bytes.  A matrix takes a few bytes a row, so a scan would
+    give all the work of the fit to a few tasks; so would one row group of documents."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-rows // per_task), min(cores, 4 * rows // per_task))
+    return df.repartition(parts) if parts > 1 else df
+
+
 def written_matrix(df: DataFrame, label: str, name: str, train: Column | None = None, labels: list = C.CLASS_LABELS) -> tuple[DataFrame, dict]:
     """Write a training matrix below the shared folder, counting its classes in the same pass
     (only rows where ``train`` holds); returns the written table and the counts.
 
     The fit reads its matrix many times: it comes from the table, which a lost executor
-    does not touch, and whose number of rows must agree with what was counted."""
+    does not touch, and whose number of rows must agree with what was counted.  Its rows are
+    dealt out evenly, so the tasks of the fit and of the scoring grow in number, not in size."""
     of_train = F.lit(True) if train is None else train
     metrics = {"rows": F.count(F.lit(1)), "labelled": F.count_if(of_train & F.col(label).isNotNull())}
     metrics |= {f"n{i}": F.count_if(of_train & (F.col(label) == x)) for i, x in enumerate(labels)}
@@ -99,9 +118,10 @@ def written_matrix(df: DataFrame, label: str, name: str, train: Column | None =
     got = observed(df, metrics, lambda rows: rows.write.parquet(path))
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     counts = {x: got[f"n{i}"] for i, x in enumerate(labels)}
-    if got["rows"] != table.count() or got["labelled"] != sum(counts.values()):     # a re-run task, or labels beyond the list
+    rows = table.count()
+    if got["rows"] != rows or got["labelled"] != sum(counts.values()):     # a re-run task, or labels beyond the list
         counts = selection.class_counts(table.where(of_train), label)
-    return table, counts
+    return dealt(table, rows, FIT_ROWS), counts
 
 
 # --------------------------------------------------------------------------- D8 / S7

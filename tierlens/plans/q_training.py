@@ -125,17 +125,23 @@ def q_d15(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- D8 / D9 / D16 / S7
+def _dealt_documents(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return TR.dealt(docs, docs.count(), TR.FEATURE_ROWS)
+
+
 def _first_matrix(spark, sf_dir):
     """D6 over the corpus, written once: (matrix with ``is_test``, training rows per class)."""
-    c = corpus(spark, sf_dir).drop("prompt")
+    c = D.labelled_corpus(_dealt_documents(spark, sf_dir)).drop("prompt")
     split = TR.stratified_split(c, "tier_label", ["doc_id", "template_idx"])
     return TR.written_matrix(split.select(*C.FEATURE_COLUMNS, "tier_label", "is_test"), "tier_label", "matrix", ~F.col("is_test"))
 
 
 def _retrain_matrix(spark, sf_dir):
     """D15 over the corpus and the failures, written once, and its rows per class."""
-    failures = TR.featurise_failures(fx_.routing_failure_events(spark, sf_dir))
-    return TR.written_matrix(TR.training_matrix(corpus(spark, sf_dir), failures), "true_tier", "retrain-matrix")
+    docs = _dealt_documents(spark, sf_dir)
+    failures = TR.featurise_failures(fx_.routing_failures_from(docs))
+    return TR.written_matrix(TR.training_matrix(D.labelled_corpus(docs), failures), "true_tier", "retrain-matrix")
 
 
 def _train_first_model(spark, sf_dir):
