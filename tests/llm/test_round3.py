@@ -266,3 +266,22 @@ def test_bpe_round_trip_is_decode_after_encode(odd, none, spark):
     key = lambda df: sorted(((r.doc_id, bytes(r.ids), r.text) for r in df.collect()), key=repr)
     assert key(bpe.round_trip(odd, path)) == key(bpe.decode(bpe.encode(odd, path), path))
     assert bpe.round_trip(none, path).count() == 0
+
+
+def test_huffman_splits_the_parts_of_many_texts_together(monkeypatch):
+    from tierlens.llm import huffman
+    from tierlens.llm.queries import vocabulary
+
+    with open(vocabulary("byte_bpe_50k.json"), "rb") as f:
+        lib = huffman.LibraryIds(f.read())
+    random.seed(7)
+    words = ["".join(random.choices("abcdeéñ", k=random.randint(3, 9))) + random.choice(["", ".", ",\nNext", "'ll", "###", "42"]) for _ in range(3000)]
+    texts = [" ".join(random.choices(words, k=200)) for _ in range(60)]
+    texts += [None, "", " ", "a ", " a", "a  b", "a\n b", "a\n", " \nfoo x", "don't 漢字 語x 12", "😀a 漢 é", "<|endoftext|> a", "a　 b", "a　b c"]
+    asked, splits, split = [], [], huffman.pattern
+    learn, lib._word_ids = lib._word_ids, lambda ws: asked.extend(ws) or learn(ws)
+    monkeypatch.setattr(huffman, "pattern", lambda *a: splits.append(a) or split(*a))
+    got = lib.encode(texts)
+    assert got == [np.array(lib.lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(asked) == len(set(asked))
+    assert len(splits) < 100  # of 3000 parts

@@ -36,14 +36,16 @@ from pyspark.sql import types as T
 
 from tierlens.session import scratch_path
 
-from .common import map_text, pick
-from .unicode_words import Recent, byte_chars, joined, looked_up, members, pattern, tier
+from .common import pick, slices, small_batches, tidy
+from .unicode_words import Recent, byte_chars, looked_up, members, pattern, tier
 
 MIN_BITS = 16
 BLOCK = 1024
 SEGMENT = 1 << 17
 SHARD_IDS = 8 << 20
 CACHE_CHUNKS = 120_000
+#: Text whose parts are numbered together (a longer single text alone); common parts are then looked at less often.
+GATHER = 16 << 20
 #: Fixed value: the byte-level vocabularies' split into endings, words, numbers, marks, blanks.
 SPLIT = "'(?:s|t|re|ve|m|ll|d)| ?[%L]+| ?[%N]+| ?[^%S%L%N]+|[%S]+(?![^%S])|[%S]+"
 
@@ -52,8 +54,8 @@ class LibraryIds:
     """Ids of whole texts by the tokenizers library.
 
     For a byte-level vocabulary without normalizer a text is cut before each blank and
-    each distinct part goes through the library's BPE once per task.  The cut changes
-    nothing unless white space meets a blank or a special string occurs: such texts,
+    each distinct word of its parts goes through the library's BPE, once while it is
+    remembered.  The cut changes nothing unless white space meets a blank or a special string occurs: such texts,
     and all texts of other vocabularies, go through the library whole.
     """
 
@@ -66,11 +68,11 @@ class LibraryIds:
         spec = json.loads(spec)
         pre = spec["pre_tokenizer"] or {}
         self.by_parts = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
-        white = [chr(c) for c in members(r"\s", 0x10000) if c != 32]
+        self.white = [chr(c) for c in members(r"\s", 0x10000)]
         # where one of these occurs, cutting before blanks might change the split
-        self.odd = [*[t["content"] for t in spec["added_tokens"]], "  ", *[w + " " for w in white]]
+        self.odd = [*[t["content"] for t in spec["added_tokens"]], *[w + " " for w in self.white]]
         self.bpe, self.chars = self.lib.model, byte_chars()
-        self.known, self.words = Recent(CACHE_CHUNKS), Recent(CACHE_CHUNKS)
+        self.words = Recent(CACHE_CHUNKS)
 
     def _word_ids(self, words: list[str]) -> dict[str, bytes]:
         chars, tokenize = self.chars, self.bpe.tokenize
@@ -80,24 +82,73 @@ class LibraryIds:
             out[w] = pack(f"<{len(ids)}I", *ids)
         return out
 
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        return joined(parts, [pattern(SPLIT, tier(p)).findall(p) for p in parts], self.words, self._word_ids)
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         whole = [not self.by_parts or any(x in t for x in self.odd) for t in texts]
-        parts = [[] if w or not t else self._cut(t) for t, w in zip(texts, whole)]
-        out = [b"".join(x) for x in looked_up(parts, self.known, self._learn)]
+        out = self._by_parts(["" if w else t for t, w in zip(texts, whole)])
         for i, w in enumerate(whole):
             if w:
                 out[i] = np.array(self.lib.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        rest = [" " + p for p in rest]
-        return [first, *rest] if first else rest
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts cut before each blank.  Arrow cuts and numbers the parts, so each
+        distinct one is looked at once for all texts; its ids are then dealt out by number."""
+        if not any(texts):
+            return [b""] * len(texts)
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at, coded = cut.offsets.to_numpy(), cut.values.dictionary_encode()
+        del cut
+        number = coded.indices.to_numpy().copy()
+        first = at[:-1]  # the first part of a text has no blank before it
+        firsts = {p: i for i, p in enumerate(dict.fromkeys(t.partition(" ")[0] for t in texts))}
+        later = [" " + p for p in coded.dictionary.to_pylist()]
+        number[first] = [len(later) + firsts[t.partition(" ")[0]] for t in texts]
+        used = np.bincount(number, minlength=len(later) + len(firsts)) > 0
+        ids, end = self._part_ids([p for p, u in zip([*later, *firsts], used.tolist()) if u])
+        del later, coded
+        number = (np.cumsum(used) - 1)[number]
+        flat, end = _dealt(ids, end, number)
+        bounds = end[at].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def _part_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct parts, one after another, and where those of each begin and end.
+
+        Parts that begin with a blank and don't end with white space are split as one text: no
+        word reaches over a blank, and the words that begin with one tell where parts begin."""
+        kinds = [[], [], [], []]  # by the characters' tier; the last are split one by one
+        white = {*self.white}
+        for i, p in enumerate(parts):
+            kinds[3 if p[:1] != " " or p[-1] in white else 0 if p.isascii() else tier(p)].append(i)
+        words, begins, order = [], [], [i for k in kinds for i in k]
+        for k in range(3):
+            if kinds[k]:
+                words.append(pa.array(pattern(SPLIT, k).findall("".join([parts[i] for i in kinds[k]])), pa.large_string()))
+                begins.append(pc.starts_with(words[-1], " ").to_numpy(zero_copy_only=False))
+        single = [pattern(SPLIT, tier(parts[i])).findall(parts[i]) for i in kinds[3]]
+        words = pa.concat_arrays([*words, pa.array([w for x in single for w in x], pa.large_string())])
+        rest = sum(map(len, begins))
+        start = [*[np.flatnonzero(np.concatenate(begins))] * bool(begins), rest + np.cumsum([0, *map(len, single)])]
+        start = np.concatenate(start)
+        coded = words.dictionary_encode()
+        [of_word] = looked_up([coded.dictionary.to_pylist()], self.words, self._word_ids)
+        end = np.cumsum([0, *map(len, of_word)]) // 4
+        flat, end = _dealt(np.frombuffer(b"".join(of_word), "<u4"), end, coded.indices.to_numpy())
+        # from the order of the kinds back to the order of ``parts``
+        back = np.empty(len(parts), np.int64)
+        back[order] = np.arange(len(parts))
+        return _dealt(flat, end[start], back)
+
+
+def _dealt(flat: np.ndarray, end: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists laid end to end (list k is ``flat[end[k]:end[k + 1]]``) those with the given
+    numbers, laid out the same way."""
+    size = np.diff(end)[number]
+    out = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    step = np.repeat(end[:-1][number] - out[:-1], size)
+    step += np.arange(len(step))
+    return flat[step], out
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -206,19 +257,36 @@ def tokenize(docs: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_i
     with open(vocab_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     t = pick(docs, doc_id=id_col, text=text_col)
+    small_batches(docs.sparkSession)
 
-    def start():
+    def run(batches):
         lib = LibraryIds(sent.value)
         small = max(lib.lib.get_vocab_size(), end_id + 1) <= 1 << 16
         end = np.array([end_id], "<u4").tobytes()
 
-        def work(b: pa.RecordBatch) -> list:
-            ids = [x + end for x in lib.encode(b.column("text").to_pylist())]
-            return [[len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [2 if small else 4] * len(ids),
-                    [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if small else ids]
-        return work
+        def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            ids = [x + end for x in lib.encode([x for b in held for x in b.column("text").to_pylist()])]
+            return pa.RecordBatch.from_arrays([
+                pa.concat_arrays([b.column("doc_id") for b in held]), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([2 if small else 4] * len(ids), pa.int32()),
+                pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if small else ids, pa.binary())],
+                names=["doc_id", "n", "crc", "width", "ids"])
+
+        held, size = [], 0
+        for whole in batches:
+            for b in slices(whole, "text"):
+                held.append(b)
+                size += pc.sum(pc.binary_length(b.column("text"))).as_py() or 0
+                if size >= GATHER:
+                    yield work(held)
+                    held, size = [], 0
+        if held:
+            yield work(held)
+        held, lib = [], None
+        tidy()
 
-    return map_text(t, "text", [("n", T.LongType()), ("crc", T.LongType()), ("width", T.IntegerType()), ("ids", T.BinaryType())], start).drop("text")
+    of_id = t.schema["doc_id"].dataType.simpleString()
+    return t.mapInArrow(run, f"doc_id {of_id}, n long, crc long, width int, ids binary")
 
 
 def count_ids(tokens: DataFrame) -> DataFrame:
