@@ -285,3 +285,36 @@ def test_huffman_splits_the_parts_of_many_texts_together(monkeypatch):
     assert got == [np.array(lib.lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert len(asked) == len(set(asked))
     assert len(splits) < 100  # of 3000 parts
+
+
+def test_jaccard_prefixes_are_stored_once_and_hub_blocks_keep_all_links(spark, monkeypatch):
+    from tierlens.llm import jaccard
+
+    random.seed(11)
+    docs = []
+    for c in range(12):
+        base = [f"w{random.randrange(10 ** 6)}" for _ in range(60 + 20 * c)]
+        for k in range(14):
+            near = list(base)
+            for at in random.sample(range(len(base)), random.randint(0, max(1, len(base) // 60))):
+                near[at] = f"x{c}y{k}z{at}"
+            docs.append((c * 100 + k, " ".join(near)))
+    docs += [(5000 + k, docs[k][1]) for k in range(40)] + [(6000, None), (6001, "")]
+    kept, store = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: kept.append(df.schema) or store(df, name))
+    monkeypatch.setattr(jaccard, "ROWS", 50)
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), block=4).collect()}
+    assert sum(f.dataType.simpleString() == "array<bigint>" for s in kept for f in s) == 1
+    sets = {i: {tuple(t.split()[a:a + 4]) for a in range(len(t.split()) - 3)} for i, t in docs if t}
+    low = {i: i for i, _ in docs}
+
+    def top(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                low[b] = a
+    assert got == {i: top(i) for i, _ in docs}
