@@ -287,6 +287,36 @@ def test_huffman_splits_the_parts_of_many_texts_together(monkeypatch):
     assert len(splits) < 100  # of 3000 parts
 
 
+def test_huffman_splits_bytes_as_the_library_does():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from tierlens.llm import huffman
+    from tierlens.llm.queries import vocabulary
+
+    with open(vocabulary("byte_bpe_50k.json"), "rb") as f:
+        spec = f.read()
+    lib = huffman.library(spec)
+    lib.words = huffman.Recent(huffman.CACHE_CHUNKS)
+    random.seed(11)
+    some = ["'"] * 4 + [*"strevmldST   \n\t\x0b\x1c\x85\xa0\u3000\u200bé漢½²٣1#-._😀𐐀\x00", "'ll", "'re'", "n't", "'LL"]
+    texts = [*["".join(random.choices(some, k=random.choice([0, 1, 2, 5, 40]))) for _ in range(3000)], "it'", "s", "x'l", "l", "y ", " z\n", "\n w", None]
+    want = [lib.lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    whole, lib.lib = lib.lib, SimpleNamespace()  # no text without a special string goes through it whole
+    try:
+        assert [np.frombuffer(x, "<u4").tolist() for x in lib.encode(texts)] == want
+        flat, end = lib.ids(pa.array(texts)[5:-2])
+        assert [flat[a:b].tolist() for a, b in zip(end, end[1:])] == want[5:-2]
+        asked = []
+        learn, lib._word_ids = lib._word_ids, lambda ws: asked.extend(ws) or learn(ws)
+        again = huffman.library(spec)  # as the next task of this worker
+        assert [np.frombuffer(x, "<u4").tolist() for x in again.encode(texts)] == want and not asked
+    finally:
+        huffman.library.cache_clear()
+    assert whole.encode("a").ids
+
+
 def test_jaccard_prefixes_are_stored_once_and_hub_blocks_keep_all_links(spark, monkeypatch):
     from tierlens.llm import jaccard
 

@@ -23,7 +23,7 @@ segments; its checksum is combined from theirs.
 from __future__ import annotations
 
 import zlib
-from struct import pack
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,26 +37,29 @@ from pyspark.sql import types as T
 from tierlens.session import scratch_path
 
 from .common import pick, slices, small_batches, tidy
-from .unicode_words import Recent, byte_chars, looked_up, members, pattern, tier
+from .unicode_words import Recent, byte_chars, looked_up, pattern, tier
 
 MIN_BITS = 16
 BLOCK = 1024
 SEGMENT = 1 << 17
 SHARD_IDS = 8 << 20
 CACHE_CHUNKS = 120_000
-#: Text whose parts are numbered together (a longer single text alone); common parts are then looked at less often.
+#: Text whose words are numbered together (a longer single text alone); common words are then looked at less often.
 GATHER = 16 << 20
-#: Fixed value: the byte-level vocabularies' split into endings, words, numbers, marks, blanks.
-SPLIT = "'(?:s|t|re|ve|m|ll|d)| ?[%L]+| ?[%N]+| ?[^%S%L%N]+|[%S]+(?![^%S])|[%S]+"
+#: Fixed values, the byte-level vocabularies' split into endings, words, numbers, marks, blanks:
+#: ``'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+``
+KINDS = ("[%S]", "[%L]", "[%N]")
+WHITE, UNKNOWN = 0, 255
+ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
 class LibraryIds:
     """Ids of whole texts by the tokenizers library.
 
-    For a byte-level vocabulary without normalizer a text is cut before each blank and
-    each distinct word of its parts goes through the library's BPE, once while it is
-    remembered.  The cut changes nothing unless white space meets a blank or a special string occurs: such texts,
-    and all texts of other vocabularies, go through the library whole.
+    For a byte-level vocabulary without normalizer the texts are split into its words
+    and each distinct word goes through the library's BPE, once while it is
+    remembered.  Texts in which a special string occurs, and all texts of other
+    vocabularies, go through the library whole.
     """
 
     def __init__(self, spec: bytes):
@@ -67,78 +70,102 @@ class LibraryIds:
         self.lib = Tokenizer.from_buffer(spec)
         spec = json.loads(spec)
         pre = spec["pre_tokenizer"] or {}
-        self.by_parts = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
-        self.white = [chr(c) for c in members(r"\s", 0x10000)]
-        # where one of these occurs, cutting before blanks might change the split
-        self.odd = [*[t["content"] for t in spec["added_tokens"]], *[w + " " for w in self.white]]
-        self.bpe, self.chars = self.lib.model, byte_chars()
+        self.by_words = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.bpe, self.chars = self.lib.model, np.array([ord(c) for c in byte_chars()], "<u4")
+        self.chars[0xFF] = ord(" ")  # neither is in a word: a byte that UTF-8 lacks, a character that stands for none
+        self.kind = np.full(0x110000, UNKNOWN, np.uint8)
+        self._learn_kinds(np.arange(0x80))
         self.words = Recent(CACHE_CHUNKS)
 
-    def _word_ids(self, words: list[str]) -> dict[str, bytes]:
-        chars, tokenize = self.chars, self.bpe.tokenize
-        out = {}
-        for w in words:
-            ids = [t.id for t in tokenize("".join([chars[b] for b in w.encode()]))]
-            out[w] = pack(f"<{len(ids)}I", *ids)
-        return out
+    def _learn_kinds(self, points: np.ndarray) -> None:
+        """Sort code points not met before into white space, letters, numbers and marks."""
+        for p in np.unique(points[self.kind[points] == UNKNOWN]).tolist():
+            c = chr(p)
+            self.kind[p] = next((k for k, kind in enumerate(KINDS) if pattern(kind, tier(c)).match(c)), len(KINDS))
+
+    def _word_ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        tokenize = self.bpe.tokenize
+        chars = self.chars[np.frombuffer(b"\xff".join(words), np.uint8)].tobytes().decode("utf-32-le")
+        ids, end = [], [0]
+        for w in chars.split(" "):
+            ids += [t.id for t in tokenize(w)]
+            end.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        return {w: raw[a:b] for w, a, b in zip(words, end, end[1:])}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        whole = [not self.by_parts or any(x in t for x in self.odd) for t in texts]
-        out = self._by_parts(["" if w else t for t, w in zip(texts, whole)])
-        for i, w in enumerate(whole):
-            if w:
-                out[i] = np.array(self.lib.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-    def _by_parts(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts cut before each blank.  Arrow cuts and numbers the parts, so each
-        distinct one is looked at once for all texts; its ids are then dealt out by number."""
-        if not any(texts):
-            return [b""] * len(texts)
-        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        at, coded = cut.offsets.to_numpy(), cut.values.dictionary_encode()
-        del cut
-        number = coded.indices.to_numpy().copy()
-        first = at[:-1]  # the first part of a text has no blank before it
-        firsts = {p: i for i, p in enumerate(dict.fromkeys(t.partition(" ")[0] for t in texts))}
-        later = [" " + p for p in coded.dictionary.to_pylist()]
-        number[first] = [len(later) + firsts[t.partition(" ")[0]] for t in texts]
-        used = np.bincount(number, minlength=len(later) + len(firsts)) > 0
-        ids, end = self._part_ids([p for p, u in zip([*later, *firsts], used.tolist()) if u])
-        del later, coded
-        number = (np.cumsum(used) - 1)[number]
-        flat, end = _dealt(ids, end, number)
-        bounds = end[at].tolist()
-        return [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-
-    def _part_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of distinct parts, one after another, and where those of each begin and end.
-
-        Parts that begin with a blank and don't end with white space are split as one text: no
-        word reaches over a blank, and the words that begin with one tell where parts begin."""
-        kinds = [[], [], [], []]  # by the characters' tier; the last are split one by one
-        white = {*self.white}
-        for i, p in enumerate(parts):
-            kinds[3 if p[:1] != " " or p[-1] in white else 0 if p.isascii() else tier(p)].append(i)
-        words, begins, order = [], [], [i for k in kinds for i in k]
-        for k in range(3):
-            if kinds[k]:
-                words.append(pa.array(pattern(SPLIT, k).findall("".join([parts[i] for i in kinds[k]])), pa.large_string()))
-                begins.append(pc.starts_with(words[-1], " ").to_numpy(zero_copy_only=False))
-        single = [pattern(SPLIT, tier(parts[i])).findall(parts[i]) for i in kinds[3]]
-        words = pa.concat_arrays([*words, pa.array([w for x in single for w in x], pa.large_string())])
-        rest = sum(map(len, begins))
-        start = [*[np.flatnonzero(np.concatenate(begins))] * bool(begins), rest + np.cumsum([0, *map(len, single)])]
-        start = np.concatenate(start)
-        coded = words.dictionary_encode()
-        [of_word] = looked_up([coded.dictionary.to_pylist()], self.words, self._word_ids)
+        flat, end = self.ids(pa.array(texts, pa.large_string()))
+        return [flat[a:b].tobytes() for a, b in zip(end.tolist(), end[1:].tolist())]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where those of each begin and end."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = np.full(len(texts), not self.by_words)
+        for x in self.special:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._by_words(texts)
+        asked = [np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4") for t in texts.filter(pa.array(whole)).to_pylist()]
+        flat, end = self._by_words(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts))
+        end = np.concatenate([end, end[-1] + np.cumsum([len(x) for x in asked])])
+        number = np.arange(len(texts))
+        number[whole] = len(texts) + np.arange(len(asked))
+        return _dealt(np.concatenate([flat, *asked]), end, number)
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Arrow numbers the words, so each distinct one is looked at once for all texts; its
+        ids are then dealt out by number."""
+        _, at, raw = texts.buffers()
+        at = np.frombuffer(at, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        if at[0] == at[-1]:
+            return np.empty(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        raw, at = np.frombuffer(raw, np.uint8)[at[0]:at[-1]], at - at[0]
+        begins = self._word_begins(raw, at[:-1][np.diff(at) > 0])
+        bounds = pa.py_buffer(np.append(begins, len(raw)))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
+        [of_word] = looked_up([coded.dictionary.to_numpy(zero_copy_only=False).tolist()], self.words, self._word_ids)
         end = np.cumsum([0, *map(len, of_word)]) // 4
         flat, end = _dealt(np.frombuffer(b"".join(of_word), "<u4"), end, coded.indices.to_numpy())
-        # from the order of the kinds back to the order of ``parts``
-        back = np.empty(len(parts), np.int64)
-        back[order] = np.arange(len(parts))
-        return _dealt(flat, end[start], back)
+        return flat, end[np.searchsorted(begins, at)]
+
+    def _word_begins(self, raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where words begin in the UTF-8 bytes of texts that begin at ``first``."""
+        n = len(raw)
+        kind = np.frombuffer(bytearray(raw.tobytes().translate(self.kind[:0x100].tobytes())), np.uint8)
+        high = np.flatnonzero(raw >= 0x80)
+        lead = high[raw[high] >= 0xC0]
+        if len(high):  # all bytes of a character have its kind
+            points = np.frombuffer(raw[high].tobytes().decode().encode("utf-32-le"), "<u4")
+            self._learn_kinds(points)
+            kind[high] = self.kind[points][np.searchsorted(lead, high, "right") - 1]
+        edge, begin = np.zeros(n + 2, bool), np.zeros(n + 2, bool)
+        edge[first] = edge[n:] = True
+        begin[1:n] = kind[1:] != kind[:-1]
+        begin[first] = True
+        # white space before a word: its last character is apart, and a blank belongs to the word
+        at = np.flatnonzero((kind[1:] != WHITE) & (kind[:-1] == WHITE) & ~edge[1:n]) + 1
+        last = at - 1
+        wide = raw[last] >= 0x80
+        last[wide] = lead[np.searchsorted(lead, last[wide], "right") - 1]
+        begin[last] = True
+        begin[at[raw[last] == 0x20]] = False
+        # endings: a mark that begins a word takes the letters after it
+        near = np.append(raw, [0, 0])
+        at = np.flatnonzero((raw == ord("'")) & begin[:n])
+        for ending in ENDINGS:
+            fits = at
+            for i, c in enumerate(ending, 1):
+                fits = fits[(near[fits + i] == c) & ~edge[fits + i]]
+            begin[fits + 1] = False
+            begin[fits + 1 + len(ending)] = True
+        return np.flatnonzero(begin[:n])
+
+
+@lru_cache(1)
+def library(spec: bytes) -> LibraryIds:
+    """One for each Python worker: its later tasks know the words of those before."""
+    return LibraryIds(spec)
 
 
 def _dealt(flat: np.ndarray, end: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,17 +287,22 @@ def tokenize(docs: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_i
     small_batches(docs.sparkSession)
 
     def run(batches):
-        lib = LibraryIds(sent.value)
-        small = max(lib.lib.get_vocab_size(), end_id + 1) <= 1 << 16
-        end = np.array([end_id], "<u4").tobytes()
-
-        def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            ids = [x + end for x in lib.encode([x for b in held for x in b.column("text").to_pylist()])]
+        lib = library(sent.value)
+        width = 2 if max(lib.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+
+        def work(held: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
+            flat, at = lib.ids(pa.concat_arrays([b.column("text") for b in held]))
+            if size > 2 * GATHER:  # the words of a long text are not kept beyond it
+                lib.words = Recent(CACHE_CHUNKS)
+            flat = np.insert(flat, at[1:], end_id)
+            at = at + np.arange(len(at))
+            raw, bounds = memoryview(flat).cast("B"), (4 * at).tolist()
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(bounds, bounds[1:])]
+            ids = pa.py_buffer(flat.astype(f"<u{width}"))
+            ids = pa.Array.from_buffers(pa.binary(), len(crc), [None, pa.array(width * at, pa.int32()).buffers()[1], ids])
             return pa.RecordBatch.from_arrays([
-                pa.concat_arrays([b.column("doc_id") for b in held]), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([2 if small else 4] * len(ids), pa.int32()),
-                pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids] if small else ids, pa.binary())],
-                names=["doc_id", "n", "crc", "width", "ids"])
+                pa.concat_arrays([b.column("doc_id") for b in held]), pa.array(np.diff(at)), pa.array(crc, pa.int64()),
+                pa.array(np.full(len(crc), width, np.int32)), ids], names=["doc_id", "n", "crc", "width", "ids"])
 
         held, size = [], 0
         for whole in batches:
@@ -278,11 +310,11 @@ def tokenize(docs: DataFrame, vocab_path: str, end_id: int, id_col: str = "doc_i
                 held.append(b)
                 size += pc.sum(pc.binary_length(b.column("text"))).as_py() or 0
                 if size >= GATHER:
-                    yield work(held)
+                    yield work(held, size)
                     held, size = [], 0
         if held:
-            yield work(held)
-        held, lib = [], None
+            yield work(held, size)
+        held = []
         tidy()
 
     of_id = t.schema["doc_id"].dataType.simpleString()
