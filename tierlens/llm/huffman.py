@@ -121,16 +121,17 @@ class LibraryIds:
         if at[0] == at[-1]:
             return np.empty(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
         raw, at = np.frombuffer(raw, np.uint8)[at[0]:at[-1]], at - at[0]
-        begins = self._word_begins(raw, at[:-1][np.diff(at) > 0])
-        bounds = pa.py_buffer(np.append(begins, len(raw)))
-        coded = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
+        begins = self._word_begins(raw, at[:-1][np.diff(at) > 0])  # and the end of the last
+        coded = pa.Array.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(raw)]).dictionary_encode()
+        at = np.searchsorted(begins, at)
+        del begins, raw
         [of_word] = looked_up([coded.dictionary.to_numpy(zero_copy_only=False).tolist()], self.words, self._word_ids)
         end = np.cumsum([0, *map(len, of_word)]) // 4
         flat, end = _dealt(np.frombuffer(b"".join(of_word), "<u4"), end, coded.indices.to_numpy())
-        return flat, end[np.searchsorted(begins, at)]
+        return flat, end[at]
 
     def _word_begins(self, raw: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Where words begin in the UTF-8 bytes of texts that begin at ``first``."""
+        """Where words begin in the UTF-8 bytes of texts that begin at ``first``, then the end."""
         n = len(raw)
         kind = np.frombuffer(bytearray(raw.tobytes().translate(self.kind[:0x100].tobytes())), np.uint8)
         high = np.flatnonzero(raw >= 0x80)
@@ -159,7 +160,8 @@ class LibraryIds:
                 fits = fits[(near[fits + i] == c) & ~edge[fits + i]]
             begin[fits + 1] = False
             begin[fits + 1 + len(ending)] = True
-        return np.flatnonzero(begin[:n])
+        begin[n] = True
+        return np.flatnonzero(begin[:n + 1])
 
 
 @lru_cache(1)
