@@ -130,11 +130,16 @@ def _dealt_documents(spark, sf_dir):
     return TR.dealt(docs, docs.count(), TR.FEATURE_ROWS)
 
 
-def _first_matrix(spark, sf_dir):
-    """D6 over the corpus, written once: (matrix with ``is_test``, training rows per class)."""
+def _first_rows(spark, sf_dir):
+    """D6 over the corpus: features, label and ``is_test``."""
     c = D.labelled_corpus(_dealt_documents(spark, sf_dir)).drop("prompt")
     split = TR.stratified_split(c, "tier_label", ["doc_id", "template_idx"])
-    return TR.written_matrix(split.select(*C.FEATURE_COLUMNS, "tier_label", "is_test"), "tier_label", "matrix", ~F.col("is_test"))
+    return split.select(*C.FEATURE_COLUMNS, "tier_label", "is_test")
+
+
+def _first_matrix(spark, sf_dir):
+    """D6 over the corpus, written once: (matrix with ``is_test``, training rows per class)."""
+    return TR.written_matrix(_first_rows(spark, sf_dir), "tier_label", "matrix", ~F.col("is_test"))
 
 
 def _retrain_matrix(spark, sf_dir):
@@ -145,24 +150,25 @@ def _retrain_matrix(spark, sf_dir):
 
 
 def _train_first_model(spark, sf_dir):
-    matrix, counts = _first_matrix(spark, sf_dir)
-    return TR.train_forest(matrix.where("NOT is_test"), "tier_label", counts), matrix
+    """The forest of the training rows, and all rows with ``is_test``, equal ones counted."""
+    tally, counts = TR.written_tally(_first_rows(spark, sf_dir), "tier_label", "tally", ~F.col("is_test"))
+    return TR.train_forest(tally.where("NOT is_test"), "tier_label", counts, TR.TIMES), tally
 
 
-def _labelled(scored, label):
-    return scored.select(F.col(label).alias("label"), F.col("predicted_tier").alias("prediction"))
+def _labelled(scored, label, *more):
+    return scored.select(F.col(label).alias("label"), F.col("predicted_tier").alias("prediction"), *more)
 
 
 @register("d8_train_and_evaluate")
 def q_d8(spark, sf_dir):
     """D6 -> D7 -> D8 on the corpus, then D10/D11/D13 on the held-out rows."""
-    model, matrix = _train_first_model(spark, sf_dir)
+    model, tally = _train_first_model(spark, sf_dir)
     path = scratch_path(spark, "model-v1")
     save_model(model, path, C.VERSION_FIRST_TRAIN)
-    test = stored(_labelled(TR.score(matrix.where("is_test"), model, ["tier_label"]), "tier_label"), "held-out-scores")
-    acc = TR.accuracy(test)
-    cm = TR.confusion_matrix(test)
-    ur = TR.under_routing(test)
+    test = stored(_labelled(TR.score(tally.where("is_test"), model, ["tier_label", TR.TIMES]), "tier_label", TR.TIMES), "held-out-scores")
+    acc = TR.accuracy(test, times=TR.TIMES)
+    cm = TR.confusion_matrix(test, times=TR.TIMES)
+    ur = TR.under_routing(test, times=TR.TIMES)
     # one-row reports attached as scalar subqueries (no cross join)
     return cm.select(F.lit(C.VERSION_FIRST_TRAIN).alias("version_tag"), "*",
                      acc.select("accuracy").scalar().alias("accuracy"),
@@ -173,8 +179,9 @@ def q_d8(spark, sf_dir):
 @register("d12_trained_report")
 def q_d12_trained(spark, sf_dir):
     """D12 of the trained forest on the held-out rows, scored from its node table."""
-    model, matrix = _train_first_model(spark, sf_dir)
-    return TR.classification_report(_labelled(FO.score_nodes(matrix.where("is_test"), FO.node_table(model), ["tier_label"]), "tier_label"))
+    model, tally = _train_first_model(spark, sf_dir)
+    scored = FO.score_nodes(tally.where("is_test"), FO.node_table(model), ["tier_label", TR.TIMES])
+    return TR.classification_report(_labelled(scored, "tier_label", TR.TIMES), times=TR.TIMES)
 
 
 @register("d9_default_route", O.with_ctes(
