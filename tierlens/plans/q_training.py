@@ -142,11 +142,16 @@ def _first_matrix(spark, sf_dir):
     return TR.written_matrix(_first_rows(spark, sf_dir), "tier_label", "matrix", ~F.col("is_test"))
 
 
-def _retrain_matrix(spark, sf_dir):
-    """D15 over the corpus and the failures, written once, and its rows per class."""
+def _retrain_rows(spark, sf_dir):
+    """D15 over the corpus and the failures."""
     docs = _dealt_documents(spark, sf_dir)
     failures = TR.featurise_failures(fx_.routing_failures_from(docs))
-    return TR.written_matrix(TR.training_matrix(D.labelled_corpus(docs), failures), "true_tier", "retrain-matrix")
+    return TR.training_matrix(D.labelled_corpus(docs), failures)
+
+
+def _retrain_matrix(spark, sf_dir):
+    """D15 over the corpus and the failures, written once, and its rows per class."""
+    return TR.written_matrix(_retrain_rows(spark, sf_dir), "true_tier", "retrain-matrix")
 
 
 def _train_first_model(spark, sf_dir):
@@ -208,12 +213,12 @@ def q_d9_model(spark, sf_dir):
 @register("d16_retrain")
 def q_d16(spark, sf_dir):
     """D15 -> D7 -> D8 -> training accuracy -> S7 save (version 1.1.0_auto_updated) -> reload."""
-    matrix, counts = _retrain_matrix(spark, sf_dir)
-    model = TR.train_forest(matrix, "true_tier", counts)
+    tally, counts = TR.written_tally(_retrain_rows(spark, sf_dir), "true_tier", "retrain-tally")
+    model = TR.train_forest(tally, "true_tier", counts, TR.TIMES)
     path = scratch_path(spark, "model-retrain")
     save_model(model, path, C.VERSION_RETRAIN)
     reloaded, meta = load_model(spark, path)
-    acc = TR.accuracy(_labelled(TR.score(matrix, reloaded, ["true_tier"]), "true_tier"))
+    acc = TR.accuracy(_labelled(TR.score(tally, reloaded, ["true_tier", TR.TIMES]), "true_tier", TR.TIMES), times=TR.TIMES)
     return meta.select("version_tag", "input_features",
                        acc.select("rows").scalar().alias("training_rows"),
                        acc.select("accuracy").scalar().alias("training_accuracy"))
