@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from .text import NON_WS_RUN
 
-_FIRST_NON_WS = r"(?U)^[^\s\x{1C}-\x{1F}]"
-_LAST_NON_WS = r"(?U)[^\s\x{1C}-\x{1F}]\z"
+_NON_WS = r"(?U)^[^\s\x{1C}-\x{1F}]"              # for the first and the last character, each by itself
 
 
 @dataclass(frozen=True)
@@ -49,7 +48,7 @@ def _summary_sql(text: str, spec: Spec) -> Column:
     lower = f"lower({T})"
     if spec.words:
         fields = [("ne", f"length({T}) > 0"), ("w", f"CAST(regexp_count({T}, {_raw(NON_WS_RUN)}) AS BIGINT)"),
-                  ("fs", f"regexp_like({T}, {_raw(_FIRST_NON_WS)})"), ("ls", f"regexp_like({T}, {_raw(_LAST_NON_WS)})")]
+                  ("fs", f"regexp_like(substring({T}, 1, 1), {_raw(_NON_WS)})"), ("ls", f"regexp_like(substring({T}, -1, 1), {_raw(_NON_WS)})")]
     else:
         fields = [("ne", f"length({T}) > 0"), ("w", "CAST(0 AS BIGINT)"), ("fs", "false"), ("ls", "false")]
     fields += [(f"k{i}", f"contains({lower}, {_raw(k)})") for i, k in enumerate(spec.keywords)]
@@ -62,15 +61,15 @@ def summary(text: Column | str, spec: Spec) -> Column:
     """Summary struct of a text.  ``text`` is a Column, or a column name / SQL
     expression: then the summary is one SQL expression, built with a single call
     into the JVM however many keywords the spec has."""
-    literals = (NON_WS_RUN, _FIRST_NON_WS, _LAST_NON_WS) + spec.keywords + spec.markers + spec.regexes
+    literals = (NON_WS_RUN, _NON_WS) + spec.keywords + spec.markers + spec.regexes
     if isinstance(text, str) and not any("'" in x for x in literals):
         return _summary_sql(text, spec)
     text = F.col(text) if isinstance(text, str) else text
     lower = F.lower(text)
     if spec.words:
         fields = [(F.length(text) > 0).alias("ne"), F.regexp_count(text, F.lit(NON_WS_RUN)).cast("long").alias("w"),
-                  F.regexp_like(text, F.lit(_FIRST_NON_WS)).alias("fs"),
-                  F.regexp_like(text, F.lit(_LAST_NON_WS)).alias("ls")]
+                  F.regexp_like(F.substring(text, 1, 1), F.lit(_NON_WS)).alias("fs"),
+                  F.regexp_like(F.substring(text, -1, 1), F.lit(_NON_WS)).alias("ls")]
     else:
         fields = [(F.length(text) > 0).alias("ne"), F.lit(0).cast("long").alias("w"), F.lit(False).alias("fs"),
                   F.lit(False).alias("ls")]
@@ -98,6 +97,22 @@ def merge(a: str, b: str, spec: Spec) -> Column:
     return F.expr("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields) + ")")
 
 
+def grouped(s: str, spec: Spec, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """A summary with one flag for each group of keywords (any of them) in place of one for each
+    keyword.  It merges like a summary of :func:`group_spec`: any of a group is in the whole
+    where any of it is in a part.  Fewer fields keep the code that Spark generates for merges
+    of expanded rows within what the JVM compiles."""
+    flags = [" OR ".join(f"({s}).k{spec.keywords.index(k)}" for k in g) for g in groups]
+    fields = [(n, f"({s}).{n}") for n in ("ne", "w", "fs", "ls")] + [(f"k{i}", f) for i, f in enumerate(flags)]
+    fields += [(f"m{i}", f"({s}).m{i}") for i in range(len(spec.markers))] + [(f"r{i}", f"({s}).r{i}") for i in range(len(spec.regexes))]
+    return F.expr("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields) + ")")
+
+
+def group_spec(spec: Spec, groups: tuple[tuple[str, ...], ...]) -> Spec:
+    """The shape of summaries that :func:`grouped` makes (its keywords only name the groups)."""
+    return Spec(tuple(" | ".join(g) for g in groups), spec.markers, spec.regexes, spec.words)
+
+
 class View:
     """Read features out of a summary by keyword / marker / regex text."""
 
@@ -117,6 +132,9 @@ class View:
         return self.s[f"r{self.spec.regexes.index(regex)}"]
 
     def any_of(self, kws) -> Column:
+        group = " | ".join(kws)
+        if len(kws) > 1 and group in self.spec.keywords:            # of a grouped summary
+            return F.lit(False) | self.has(group)
         out = F.lit(False)
         for k in kws:
             out = out | self.has(k)
